@@ -26,10 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, U64, Tokens, grouped_texts, materialise, n_groups, table
+from .common import U64, Tokens, grouped_texts, materialise, n_groups, table
 
 WINDOW = 20
 ANCHOR = 8
+#: Text bytes of a group of documents.
+GROUP_BYTES = 2 << 20
 _PART = "part int, g int, data binary"
 _HEAD = np.dtype([("null", "u1"), ("n", "u1"), ("doc_id", "<i8"), ("start", "<i4"), ("pos", "<i4")])
 
