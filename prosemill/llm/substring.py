@@ -59,13 +59,13 @@ class _Group:
         sorted_hash = self.hash[order]
         new = np.concatenate([[True], sorted_hash[1:] != sorted_hash[:-1]])[: len(order)]
         first = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
-        self.local_first = np.zeros(len(order), bool)
-        self.local_first[order[new]] = True
+        local_first = np.zeros(len(order), bool)
+        local_first[order[new]] = True
         # Rows that share an id are one document as far as "earlier" goes: the same start is not earlier.
         doc, start = t.doc[self.at], self.at - t.starts[t.doc[self.at]] if len(self.at) else self.at
         same = np.zeros(len(order), bool)
         same[order] = (t.ids[doc[order]] == t.ids[doc[first]]) & (t.null[doc[order]] == t.null[doc[first]]) & (start[order] == start[first]) if len(order) else False
-        self.marked = ~(self.local_first | same)
+        self.marked = ~(local_first | same)
         self.doc, self.start = doc, start
         if len(self.at):
             grams = t.grams(anchor)
@@ -163,7 +163,8 @@ def _trees(window: int):
         later = deep & ~((null[order] == null[first]) & (doc[order] == doc[first]) & (start[order] == start[first]))
         k = order[later]
         k = k[np.lexsort([pos[k], g[k]])]
-        return pd.concat([pd.DataFrame({"g": np.zeros(0, np.int32), "data": np.zeros(0, object)}), *(_rows(g[k][i:j], int(g[k][i]), lambda a, b, i=i: _runs(pos[k][i + a : i + b]))[["g", "data"]] for i, j in _spans(g[k]))]).astype({"g": "int32"})
+        spans = _spans(g[k])
+        return pd.DataFrame({"g": [int(g[k[i]]) for i, _ in spans], "data": [_runs(pos[k[i:j]]) for i, j in spans]}).astype({"g": "int32", "data": object})
 
     return build
 
