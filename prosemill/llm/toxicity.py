@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -110,54 +112,60 @@ class Field:
         return p, (x / x.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
-def _spread(docs: list[list[str]]) -> tuple[Counter, int]:
-    """In how many documents each feature stands between two words that no earlier document had around it, and the documents with any such place. Copies add nothing."""
-    seen: set[int] = set()
+def _spread(docs: list[list[str]], wanted: set[str] | None = None) -> tuple[Counter, int]:
+    """In how many documents each feature stands between two words that no earlier document had around it, and the documents with any such place. Copies add nothing.
+
+    Places are remembered in a table of hashed bits; a rare clash only loses a place.
+    """
+    seen = bytearray(1 << 26)
+    mask = len(seen) - 1
     count, n = Counter(), 0
     for d in docs:
         new, own = set(), set()
-        for triple in zip(["", *d], d, [*d[1:], ""]):
-            if (h := hash(triple)) not in seen:
+        for a, w, b in zip(["", *d], d, [*d[1:], ""]):
+            h = zlib.crc32(f"{a} {w} {b}".encode()) & mask
+            if not seen[h]:
                 own.add(h)
-                new.add(triple[1])
-        seen |= own
+                new.add(w)
+        for h in own:
+            seen[h] = 1
         n += bool(new)
-        count.update({f for w in new for f in features(w)})
+        found = {f for w in new for f in features(w)}
+        count.update(found if wanted is None else found & wanted)
     return count, n
 
 
-def evidence(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Features in significantly more toxic documents than chance gives, and in next to no clean ones."""
-    (many, n1), (few, n0) = _spread(toxic), _spread(clean)
-    n1, n0 = max(1, n1), max(1, n0)
+def evidence(toxic: list[list[str]], clean: list[list[str]]) -> tuple[set[str], set[str]]:
+    """Features in significantly more toxic documents than chance gives and in next to no clean ones; and narrow prefixes.
+
+    A narrow prefix hardly occurs but in one word or longer prefix, and would carry that word's
+    weight over to strangers; it is no evidence.
+    """
+    many, n1 = _spread(toxic)
     least = 2 * math.log(max(2, len(many))) + 5
+    narrow = set()
+    for w in {w for d in toxic for w in d}:
+        own = features(w)
+        for k, f in enumerate(own[1:], 1):
+            if any(many[g] >= 0.9 * many[f] for g in own[k + 1 :] + own[:1]):
+                narrow.add(f)
+    few, n0 = _spread(clean, {f for f, a in many.items() if a > 1 and f not in narrow})
+    n1, n0 = max(1, n1), max(1, n0)
     out = set()
     for f, a in many.items():
+        if a < 2 or f in narrow:
+            continue
         b = few[f]
         rate = (a + b) / (n1 + n0)
         g2 = 2 * (a * math.log(a / (n1 * rate)) + (b * math.log(b / (n0 * rate)) if b else 0))
         if g2 >= least and b / n0 <= 0.05 * a / n1:
             out.add(f)
-    return out
-
-
-def one_word(docs: list[list[str]]) -> set[str]:
-    """Prefixes that hardly occur but in one word or longer prefix; they would carry that word's weight over to strangers."""
-    count, _ = _spread(docs)
-    out = set()
-    for w in {w for d in docs for w in d}:
-        own = features(w)
-        for f in own[1:]:
-            longer = own[own.index(f) + 1 :] + own[:1]
-            if any(count[g] >= 0.9 * count[f] for g in longer):
-                out.add(f)
-    return out
+    return out, narrow
 
 
 def train(toxic: list[list[str]], clean: list[list[str]], rounds: int = 40, rate: float = 0.3, decay: float = 1e-3) -> Field:
     """Full-batch Adam on the log-likelihood of the weakly labelled tokens."""
-    narrow = one_word(toxic)
-    marks = evidence(toxic, clean) - narrow
+    marks, narrow = evidence(toxic, clean)
     is_toxic = {w: any(f in marks for f in features(w)) for d in toxic for w in d}
     chains = [(d, 1) for d in toxic if any(is_toxic[w] for w in d)][:TRAIN] + [(d, 0) for d in clean if d][:TRAIN]
     words = [w for d, _ in chains for w in d]
@@ -279,12 +287,12 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, value: int, n: int)
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of ``labels.toxic``; without both classes, one that gives 0 to all."""
-    toxic, clean = ([tokens(t) for t in sorted(sample(docs, labels, "toxic", v, n))] for v, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)))
+    toxic, clean = ([[sys.intern(w) for w in tokens(t)] for t in sorted(sample(docs, labels, "toxic", v, n))] for v, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)))
     if not toxic or not clean:
         return Model(None)
     field = train(toxic, clean)
     model = Model(field)
-    x = np.array([m for docs_, y in ((toxic, 1), (clean, 0)) for m in _most(model, docs_)])
+    x = np.array([m for docs_ in (toxic, clean) for i in range(0, len(docs_), 200) for m in _most(model, docs_[i : i + 200])])
     y = np.array([1] * len(toxic) + [0] * len(clean))
     model.a, model.b = calibrate(x, y)
     return model
