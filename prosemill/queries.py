@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from prosemill.plans import corpus_queries, decision_queries, text_queries  # noqa: F401
+from prosemill.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
