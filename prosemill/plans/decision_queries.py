@@ -196,10 +196,10 @@ def recall_at_fp(s, d):
     return hits.select("fp", F.round("cut", 6).alias("cut"), "recall")
 
 
-@query(f"WITH {SCORED} SELECT CASE WHEN c = 0 THEN 'original' WHEN c < 3 THEN 'inventory' ELSE 'negative' END AS origin, round(avg(score), 6) AS mean_score, count(*) AS n FROM g GROUP BY origin")
+@query(f"WITH {SCORED} SELECT CASE WHEN c = 0 THEN 'original' WHEN c < 3 THEN 'inventory' ELSE 'negative' END AS origin, round(avg(score), 9) AS mean_score, count(*) AS n FROM g GROUP BY origin")
 def mean_by_origin(s, d):
     origin = F.when(F.col("c") == 0, "original").when(F.col("c") < 3, "inventory").otherwise("negative")
-    return scored(s, d).groupBy(origin.alias("origin")).agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("n"))
+    return scored(s, d).groupBy(origin.alias("origin")).agg(F.round(F.avg("score"), 9).alias("mean_score"), F.count("*").alias("n"))
 
 
 BEST = f"{SCORED}, best AS (SELECT doc_id, max(score) FILTER (WHERE c = 0) AS original, arg_max(c, score) FILTER (WHERE c > 0) AS c, max(score) FILTER (WHERE c > 0) AS score, arg_max(target, score) FILTER (WHERE c > 0) AS target FROM g GROUP BY doc_id)"

@@ -178,9 +178,17 @@ good AS (SELECT doc_id, source, lang, sent_no, sentence, n AS n_tok, md5(array_t
 kept AS (SELECT *, row_number() OVER (ORDER BY doc_id, sent_no) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, sent_no) AS rn FROM good) WHERE rn = 1)"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt out to all cores if the scan has fewer parts than that, as a single small file has; a large table is left as it is scanned."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def all_sentences(df: DataFrame) -> DataFrame:
     """``doc_id, source, lang, sent_no, sentence`` of every sentence."""
-    return df.select("doc_id", "source", "lang", F.posexplode(X.document_sentences(F.col("text"))).alias("sent_no", "sentence"))
+    return spread(df.select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", F.posexplode_outer(X.document_sentences(F.col("text"))).alias("sent_no", "sentence")).filter("sent_no is not null")
 
 
 def good_sentences(df: DataFrame) -> DataFrame:
@@ -344,7 +352,7 @@ GRID = [(lo, hi) for lo in (1.0, 2.5, 5.0, 10.0) for hi in (5.0, 20.0, 50.0, 100
 
 
 @query(
-    f"""WITH {SENTENCES}, {REASON}, {RATES}, grid(lo, hi) AS (VALUES {", ".join(map(str, GRID))}),
+    f"""WITH {SENTENCES}, {REASON}, {RATES}, grid(lo, hi) AS (VALUES {", ".join(f"({lo}::DOUBLE, {hi}::DOUBLE)" for lo, hi in GRID)}),
 p AS (SELECT pos, list(DISTINCT per_million) AS rs FROM (SELECT pos, unnest(regexp_extract_all(lower(sentence), '{W}')) AS form FROM kept) JOIN r USING (form) WHERE per_million <= 200 GROUP BY pos)
 SELECT lo, hi, count(pos) AS hits, round(count(pos) / (SELECT count(*) FROM kept), 6) AS share, round(count(pos) / (SELECT count(*) FROM kept) * 0.98 + 0.02, 6) AS combined
 FROM grid LEFT JOIN p ON len(list_filter(rs, lambda x: x BETWEEN lo AND hi)) > 0 GROUP BY lo, hi"""
