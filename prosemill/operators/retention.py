@@ -11,7 +11,7 @@ from prosemill.operators.dedup import written
 
 def hits(sentences: DataFrame, words: DataFrame, order=("doc_id", "sent_no"), extra=()) -> DataFrame:
     """The distinct wanted words of each sentence; common words leave before any window."""
-    tokens = sentences.select(*order, *extra, F.explode(F.array_distinct(X.words(F.col("sentence")))).alias("form"))
+    tokens = sentences.select(*order, *extra, F.explode_outer(F.array_distinct(X.words(F.col("sentence")))).alias("form"))
     return tokens.join(words.select("form"), "form", "left_semi")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prosemill.functions import text as X
 from prosemill.operators import dedup, retention
 from prosemill.plans.registry import query, table
-from prosemill.plans.text_queries import CAP, HIGH, LOW, RATES, REASON, SENTENCES, W, band, counts, docs, first_of_key, good_sentences
+from prosemill.plans.text_queries import CAP, HIGH, LOW, RATES, REASON, SENTENCES, W, band, counts, docs, first_of_key, good_sentences, spread
 
 
 
@@ -24,7 +24,7 @@ sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELEC
 
 def shingled(s, d) -> DataFrame:
     """Written, since a filter pushed below the words' column would put their extraction into the lambdas."""
-    return dedup.written(docs(s, d).filter("lang = 'en'").select("doc_id", X.words(F.col("text")).alias("w")).select("doc_id", X.shingles(F.col("w")).alias("sh")))
+    return dedup.written(spread(docs(s, d).filter("lang = 'en'").select("doc_id", "text")).select("doc_id", X.words(F.col("text")).alias("w")).select("doc_id", X.shingles(F.col("w")).alias("sh")))
 
 
 @query(f"WITH {SHINGLED}, s AS (SELECT unnest(range(0, 8)) AS seed) SELECT doc_id, CAST(seed AS INT) AS seed, min(md5(seed || ':' || x)) AS least FROM sh, s GROUP BY doc_id, seed")
@@ -145,7 +145,7 @@ MIN_BIGRAM, MIN_PMI, MIN_LLR = 10, 1.0, 50.0
 
 
 def bigram_counts(df: DataFrame) -> DataFrame:
-    w = df.select(X.words(F.col("text")).alias("w"))
+    w = spread(df.select("text")).select(X.words(F.col("text")).alias("w"))
     pairs = F.transform(F.when(F.size("w") > 1, F.sequence(F.lit(1), F.size("w") - 1)), lambda i: F.struct(F.element_at("w", i).alias("w1"), F.element_at("w", i + 1).alias("w2")))
     # The outer form: no filter on the array is inferred and pushed below the words' column.
     return w.select(F.explode_outer(pairs).alias("p")).filter("p is not null").groupBy("p.w1", "p.w2").agg(F.count("*").alias("n"))

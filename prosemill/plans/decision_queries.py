@@ -332,3 +332,146 @@ def bank_percentile(s, d):
     scored_ = u.join(every).select("vec_id", "label", F.transform("banks", lambda b: F.struct(b["bank"].alias("bank"), dot(b["m"]).alias("dot"))).alias("s"))
     own = scored_.select("vec_id", "s", F.filter("s", lambda b: b["bank"] == F.col("label"))[0]["dot"].alias("own"))
     return own.select("vec_id", F.round(F.size(F.filter("s", lambda b: b["dot"] < F.col("own") - 1e-12)) / F.size("s"), 6).alias("percentile"))
+
+
+# Items: spans with candidates, negatives and vetoes.
+
+
+@query(
+    f"""WITH {RULES_SQL}, {SPANS}, names AS (SELECT lower(w) AS form FROM (SELECT unnest(regexp_extract_all(text, '{W}')) AS w FROM documents) GROUP BY 1 HAVING count(*) FILTER (WHERE w ~ '^[A-Z].*') >= 20 AND count(*) FILTER (WHERE w ~ '^[A-Z].*') / count(*) >= 0.1)
+SELECT doc_id, CAST(n AS BIGINT) AS n, surface FROM spans WHERE start > 0 AND surface ~ '^[A-Z].*' AND trigger IN (SELECT form FROM names)"""
+)
+def proper_noun_veto(s, d):
+    """Capitalised spans away from the start whose word is often a name."""
+    from prosemill.plans.text_queries import case_table
+
+    names = case_table(docs(s, d)).filter("capitals >= 20 AND capitals / (capitals + lowers) >= 0.1").select(F.col("form").alias("trigger"))
+    found = spans(ascii_docs(s, d), [r[0] for r in RULES]).filter((F.col("start") > 0) & F.col("surface").rlike("^[A-Z]"))
+    return found.join(names, "trigger", "left_semi").select("doc_id", F.col("n").cast("long").alias("n"), "surface")
+
+
+@query(
+    f"""WITH {RULES_SQL}, {SPANS}, first AS (SELECT * FROM spans JOIN rules USING (trigger) WHERE n = 0), capped AS (SELECT *, row_number() OVER (PARTITION BY replacement ORDER BY md5('item:' || doc_id), doc_id) AS rn FROM first),
+neg AS (SELECT a.trigger AS trigger, arg_min(b.replacement, md5('easy:' || a.trigger || ':' || b.replacement)) AS easy FROM rules a, rules b WHERE a.pos <> b.pos GROUP BY a.trigger)
+SELECT doc_id, surface, substr(text, 1, CAST(start AS BIGINT)) || '____' || substr(text, CAST(start AS BIGINT) + length(surface) + 1) AS blanked, replacement, easy, 'inventory:' || replacement || '|easy_neg:' || easy || '|original:' || surface AS candidates
+FROM capped JOIN neg USING (trigger) JOIN documents USING (doc_id) WHERE rn <= 25"""
+)
+def items(s, d):
+    """A document's first span as an item: blanked text, the rule's word, a negative of another part of speech, the original; at most 25 a word."""
+    found = spans(ascii_docs(s, d), [r[0] for r in RULES]).filter("n = 0").join(F.broadcast(rules(s).select("trigger", "replacement", "pos")), "trigger")
+    order = F.md5(F.concat(F.lit("item:"), F.col("doc_id").cast("string")).cast("binary"))
+    capped = found.withColumn("rn", F.row_number().over(Window.partitionBy("replacement").orderBy(order, "doc_id"))).filter("rn <= 25")
+    # The rules are a short list: each one's negative is worked out from the list itself.
+    import hashlib
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    easy = {t: min((md5(f"easy:{t}:{r}"), r) for _, r, q, *_ in RULES if q != p)[1] for t, _, p, *_ in RULES}
+    negative = F.create_map(*(F.lit(x) for kv in easy.items() for x in kv))
+    i = capped.withColumn("easy", F.element_at(negative, F.col("trigger"))).join(docs(s, d).select("doc_id", "text"), "doc_id")
+    blanked = F.concat(F.substring("text", F.lit(1), F.col("start").cast("int")), F.lit("____"), F.substring("text", (F.col("start") + F.length("surface") + 1).cast("int"), F.length("text")))
+    candidates = F.concat(F.lit("inventory:"), "replacement", F.lit("|easy_neg:"), "easy", F.lit("|original:"), "surface")
+    return i.select("doc_id", "surface", blanked.alias("blanked"), "replacement", "easy", candidates.alias("candidates"))
+
+
+@query(
+    f"""WITH {RULES_SQL}, {SPANS}, pos AS (SELECT doc_id, n, trigger, replacement, pos FROM spans JOIN rules USING (trigger) WHERE n = 1),
+k AS (SELECT p.doc_id AS doc_id, p.replacement AS replacement, r.replacement AS wrong, row_number() OVER (PARTITION BY p.doc_id ORDER BY md5('wrong:' || p.doc_id || ':' || r.replacement)) AS rn FROM pos p, rules r WHERE r.pos <> 'VERB' AND r.replacement <> p.replacement)
+SELECT doc_id, replacement, wrong FROM k WHERE rn = 1"""
+)
+def wrong_sense_negatives(s, d):
+    """For each positive another rule's word that is no verb, picked by a hash. The rules are an array beside the row."""
+    p = spans(ascii_docs(s, d), [r[0] for r in RULES]).filter("n = 1").join(F.broadcast(rules(s).select("trigger", "replacement")), "trigger")
+    others = F.filter(F.array(*(F.lit(r) for _, r, q, *_ in RULES if q != "VERB")), lambda r: r != F.col("replacement"))
+    keyed = F.transform(others, lambda r: F.struct(F.md5(F.concat(F.lit("wrong:"), F.col("doc_id").cast("string"), F.lit(":"), r).cast("binary")).alias("h"), r.alias("r")))
+    return p.select("doc_id", "replacement", F.array_min(keyed)["r"].alias("wrong"))
+
+
+@query(
+    f"""WITH {SCORED}, x AS (SELECT doc_id, c, CASE WHEN c = 0 THEN 1 - (SELECT max(y.target) FROM g y WHERE y.doc_id = g.doc_id AND y.c > 0) ELSE target END AS t, score FROM g),
+b AS (SELECT doc_id, arg_max(t, score) AS picked, max(t) AS top, arg_max(c, score) AS c, arg_max(c, t) AS want FROM x GROUP BY doc_id)
+SELECT count(*) AS groups, round(avg(CASE WHEN picked >= top - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(count(*) FILTER (WHERE c = 0) / count(*), 6) AS abstained FROM b"""
+)
+def top1_abstain(s, d):
+    """Share of groups whose best scored option (the original counts as the identity) has the best target, ties credited; and of those that keep the original."""
+    x = scored(s, d)
+    identity = F.max(F.when(F.col("c") > 0, F.col("target")))
+    per = x.groupBy("doc_id").agg(identity.alias("sub"), F.max_by(F.struct("c", "target"), "score").alias("b"))
+    picked = F.when(F.col("b.c") == 0, 1 - F.col("sub")).otherwise(F.col("b.target"))
+    top = F.greatest(F.col("sub"), 1 - F.col("sub"))
+    return per.agg(F.count("*").alias("groups"), F.round(F.avg(F.when(picked >= top - 1e-9, 1.0).otherwise(0.0)), 6).alias("top1"), F.round(F.count_if(F.col("b.c") == 0) / F.count("*"), 6).alias("abstained"))
+
+
+@query(
+    f"""WITH {SCORED}, x AS ({DECISIVE}), t AS (SELECT quantile_cont(score, 0.98) AS threshold FROM x WHERE NOT good)
+SELECT round(any_value(threshold), 6) AS threshold, round(count(*) FILTER (WHERE good AND score >= threshold) / count(*) FILTER (WHERE good), 6) AS recall, round(count(*) FILTER (WHERE NOT good AND score >= threshold) / count(*) FILTER (WHERE NOT good), 6) AS false_rate FROM x, t"""
+)
+def operating_threshold(s, d):
+    x = decisive(s, d)
+    t = x.filter(~F.col("good")).agg(F.percentile("score", F.lit(0.98)).alias("threshold"))  # one row
+    hit = F.col("score") >= F.col("threshold")
+    return x.join(F.broadcast(t)).agg(
+        F.round(F.max("threshold"), 6).alias("threshold"), F.round(F.count_if(hit & F.col("good")) / F.count_if("good"), 6).alias("recall"), F.round(F.count_if(hit & ~F.col("good")) / F.count_if(~F.col("good")), 6).alias("false_rate")
+    )
+
+
+@query(
+    f"""WITH {SPANS}, {RULES_SQL}, w AS (SELECT sum(len(regexp_extract_all(lower(text), '{W}'))) AS words FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
+a AS (SELECT replacement, ('0x' || substr(md5(doc_id || ':' || n), 1, 8))::BIGINT % 1000 >= 600 AS taken FROM spans JOIN rules USING (trigger))
+SELECT CAST(any_value(words) AS BIGINT) AS words, count(*) AS spans, count(*) FILTER (WHERE taken) AS swaps, round(1000.0 * count(*) FILTER (WHERE taken) / any_value(words), 6) AS per_1k, count(DISTINCT replacement) FILTER (WHERE taken) AS distinct_swaps FROM a, w"""
+)
+def delivery_rate(s, d):
+    """Spans and accepted swaps a thousand words."""
+    w = ascii_docs(s, d).agg(F.sum(F.size(X.words(F.col("text")))).cast("long").alias("words"))  # one row
+    h = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("n").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    a = spans(ascii_docs(s, d), [r[0] for r in RULES]).join(F.broadcast(rules(s).select("trigger", "replacement")), "trigger").withColumn("taken", h % 1000 >= 600)
+    c = a.agg(F.count("*").alias("spans"), F.count_if("taken").alias("swaps"), F.count_distinct(F.when(F.col("taken"), F.col("replacement"))).alias("distinct_swaps"))
+    return c.join(F.broadcast(w)).select("words", "spans", "swaps", F.round(1000.0 * F.col("swaps") / F.col("words"), 6).alias("per_1k"), "distinct_swaps")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '{W}'), lambda x: length(x) > 2)) AS w FROM documents), i AS (SELECT doc_id, unnest(w) AS form FROM t),
+b AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '{W}'), lambda x: length(x) > 2))) AS form FROM benchmark),
+df AS (SELECT form, ln((SELECT count(*) FROM documents) / count(*)) AS idf FROM i GROUP BY form), n AS (SELECT doc_id, sqrt(sum(idf * idf)) AS norm FROM i JOIN df USING (form) GROUP BY doc_id),
+m AS (SELECT item_id, sqrt(sum(idf * idf)) AS norm FROM b JOIN df USING (form) GROUP BY item_id)
+SELECT item_id, round(max(s), 6) AS best FROM (SELECT item_id, doc_id, sum(idf) / (any_value(n.norm) * any_value(m.norm)) AS s FROM b JOIN df USING (form) JOIN i USING (form) JOIN n USING (doc_id) JOIN m USING (item_id) WHERE idf > 1 GROUP BY item_id, doc_id) GROUP BY item_id"""
+)
+def context_overlap(s, d):
+    """Best idf-weighted overlap of each test item with any document, over words that at most a third of the documents hold."""
+    content = lambda t, i: t.select(i, F.explode(F.array_distinct(F.filter(X.words(F.col("text")), lambda x: F.length(x) > 2))).alias("form"))
+    i, b = content(docs(s, d), "doc_id"), content(table(s, d, "benchmark"), "item_id")
+    every = docs(s, d).agg(F.count("*").alias("every"))  # one row
+    df = i.groupBy("form").agg(F.count("*").alias("n")).join(F.broadcast(every)).select("form", F.log(F.col("every") / F.col("n")).alias("idf"))
+    norm = lambda x, k, name: x.join(df, "form").groupBy(k).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias(name))
+    shared = b.join(df.filter("idf > 1"), "form").join(i, "form").groupBy("item_id", "doc_id").agg(F.sum("idf").alias("dot"))
+    scored_ = shared.join(norm(i, "doc_id", "dn"), "doc_id").join(norm(b, "item_id", "bn"), "item_id")
+    return scored_.groupBy("item_id").agg(F.round(F.max(F.col("dot") / (F.col("dn") * F.col("bn"))), 6).alias("best"))
+
+
+@query(f"WITH {SCORED}, th AS (SELECT unnest(range(1, 60)) / 60 AS cut) SELECT round(cut, 6) AS cut, round(count(*) FILTER (WHERE target >= 0.8 AND score >= cut) / count(*) FILTER (WHERE target >= 0.8), 6) AS kept, round(count(*) FILTER (WHERE target <= 0.2 AND score < cut) / count(*) FILTER (WHERE target <= 0.2), 6) AS blocked FROM g, th WHERE c > 0 GROUP BY cut")
+def gate_sweep(s, d):
+    """Keep and block rates of a context gate at 59 cutoffs, in one pass."""
+    x = scored(s, d).filter("c > 0").withColumn("cut", F.explode(F.transform(F.sequence(F.lit(1), F.lit(59)), lambda i: i / 60)))
+    good, bad, over = F.col("target") >= 0.8, F.col("target") <= 0.2, F.col("score") >= F.col("cut")
+    return x.groupBy("cut").agg(F.round(F.count_if(good & over) / F.count_if(good), 6).alias("kept"), F.round(F.count_if(bad & ~over) / F.count_if(bad), 6).alias("blocked")).withColumn("cut", F.round("cut", 6))
+
+
+@query(
+    """WITH a AS (SELECT conv_id, turn, role, ('0x' || substr(md5('tag:' || conv_id || ':' || turn), 1, 1))::BIGINT % 4 AS guess, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS truth FROM conversations)
+SELECT truth, guess, count(*) AS n FROM a GROUP BY truth, guess"""
+)
+def tagger_agreement(s, d):
+    """The confusion table of two taggings."""
+    guess = F.conv(F.substring(F.md5(F.concat(F.lit("tag:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).cast("binary")), 1, 1), 16, 10).cast("long") % 4
+    truth = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
+    return table(s, d, "conversations").groupBy(truth.alias("truth"), guess.alias("guess")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {RATES}, x AS (SELECT count(*) AS docs, sum(length(text)) AS chars FROM documents), y AS (SELECT any_value(total) AS total, count(*) AS forms FROM r)
+SELECT docs, CAST(chars AS BIGINT) AS chars, total, forms, round(chars / total, 6) AS chars_a_word, round(forms * sqrt(1e9 / total), 4) AS forms_at_1b, round(1e9 / 500000 / 3600, 6) AS core_hours FROM x, y"""
+)
+def projection(s, d):
+    """What a billion words would hold: vocabulary by the square root of the scale, core hours at the accepted floor."""
+    x = docs(s, d).agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+    y = rates(docs(s, d)).agg(F.max("total").alias("total"), F.count("*").alias("forms"))
+    return x.join(F.broadcast(y)).select("docs", "chars", "total", "forms", F.round(F.col("chars") / F.col("total"), 6).alias("chars_a_word"), F.round(F.col("forms") * F.sqrt(F.lit(1e9) / F.col("total")), 4).alias("forms_at_1b"), F.round(F.lit(1e9) / 500000 / 3600, 6).alias("core_hours"))

@@ -248,7 +248,7 @@ def line_islands(s, d):
 
 
 def tokens(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", "source", F.explode(X.words(F.col("text"))).alias("form"))
+    return spread(df.select("doc_id", "source", "text")).select("doc_id", "source", F.explode_outer(X.words(F.col("text"))).alias("form")).filter("form is not null")
 
 
 def counts(df: DataFrame) -> DataFrame:
@@ -324,7 +324,7 @@ CASED = f"SELECT unnest(regexp_extract_all(text, '{W}')) AS w FROM documents"
 
 
 def case_table(df: DataFrame) -> DataFrame:
-    w = df.select(F.explode(F.regexp_extract_all("text", F.lit(X.WORD), F.lit(0))).alias("w"))
+    w = spread(df.select("text")).select(F.explode_outer(F.regexp_extract_all("text", F.lit(X.WORD), F.lit(0))).alias("w")).filter("w is not null")
     capital = F.col("w").rlike("^[A-Z]")
     return w.groupBy(F.lower("w").alias("form")).agg(F.count_if(capital).alias("capitals"), F.count_if(~capital).alias("lowers"))
 
