@@ -220,3 +220,17 @@ def test_query_equals_its_sql(spark, name):
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == sorted(repr(r) for r in want.select(*(f'"{x}"' for x in columns)).fetchall())
+
+
+def test_comments_of_a_thread(spark):
+    from prosemill.functions import pages as P
+
+    text = "Some_User\n2h ago\nThis is the first\ncomment here.\nReply\n12\nu/other-one\nhttps://x.y\nok\nA second body of text\n\n3 more replies\nlast words stand alone"
+    assert of(spark, P.comments, text, "") == [["This is the first comment here.", "ok A second body of text", "last words stand alone"], []]
+
+
+def test_blocks_of_a_page(spark):
+    from prosemill.functions import pages as P
+
+    html = "<html><head><title>T</title></head><body><p>A paragraph of <b>running</b> text stands here.</p><pre>code that is long enough to count</pre><div>short</div><li>An <a href='x'>unwanted link</a> item of the list goes on</li></body>"
+    assert of(spark, P.blocks, html) == [["A paragraph of running text stands here.", "An item of the list goes on"]]
