@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     Columns of the input that clash with the two new names are replaced.
     """
     docs = docs.drop("fingerprint", "component_id")
-    (fp,) = free_name(docs, "fp")
+    fp, class_fp = free_name(docs, "fp", "class_fp")
     known = docs.withColumn(fp, fingerprint_udf("text"))
     known = materialise(known if keep_text else known.drop("text"))
     nodes = materialise(known.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("least_id")))
@@ -125,8 +125,8 @@ def near_duplicates(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     class_id = found.groupBy("component").agg(F.min("least_id").alias("component_id"))
     linked = found.join(class_id, "component").select(F.col("fp").alias("linked_fp"), "component_id")
     # Written first, so that a fingerprint with a large share of the rows is an ordinary skewed join, which is split.
-    classes = materialise(nodes.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component_id", "least_id").alias("component_id")))
-    out = known.join(classes, F.col(fp) == F.col("class_fp"))
+    classes = materialise(nodes.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias(class_fp), F.coalesce("component_id", "least_id").alias("component_id")))
+    out = known.join(classes, F.col(fp) == F.col(class_fp))
     return out.select(*(c for c in known.columns if c != fp), F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -81,7 +81,7 @@ def test_simhash_keeps_one_of_each(make):
     docs = [(5, prose(1, 90)), (3, prose(1, 90)), (9, prose(2, 90)), (9, prose(2, 90)), (7, None), (8, "")]
     assert sorted(r[0] for r in simhash.keep_one(make(docs)).select("doc_id").collect()) == [3, 7, 9]
     assert simhash.keep_one(make([])).count() == 0
-    clash = make(docs).withColumn("fingerprint", F.lit("mine")).withColumn("fp", F.lit(1))
+    clash = make(docs).withColumn("fingerprint", F.lit("mine")).withColumn("fp", F.lit(1)).withColumn("class_fp", F.lit(2))
     assert simhash.near_duplicates(clash).filter("fingerprint = 'mine'").count() == 0
 
 
