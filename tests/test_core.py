@@ -234,3 +234,10 @@ def test_blocks_of_a_page(spark):
 
     html = "<html><head><title>T</title></head><body><p>A paragraph of <b>running</b> text stands here.</p><pre>code that is long enough to count</pre><div>short</div><li>An <a href='x'>unwanted link</a> item of the list goes on</li></body>"
     assert of(spark, P.blocks, html) == [["A paragraph of running text stands here.", "An item of the list goes on"]]
+
+
+def test_alignment_of_two_tokenisations(spark):
+    assert udfs.aligned(["a", "the", "sea", "xx", "end"], ["The", "sea", "yy", "End"]) == [(1, 0), (2, 1), (4, 3)]
+    assert udfs.aligned(["Do", "n't", "go"], ["don't", "go"]) == []
+    df = spark.createDataFrame([(["a", "b"], ["A", "c", "b"]), (None, ["x"])], "l array<string>, r array<string>")
+    assert [[tuple(p) for p in r[0]] for r in df.select(udfs.align(F.col("l"), F.col("r"))).collect()] == [[(0, 0), (1, 2)], []]
