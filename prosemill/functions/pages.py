@@ -18,11 +18,18 @@ CHROME = (
 LINE = r"(?i)^[\d.,]+[km]?$|^\d+[hdmy]o?\s*ago$|^edited\s|^â¢$|^•$|^\d+\s+more repl(y|ies)$|^\d+\s+more$|^rule \d+ -"
 LOWERED = r"^https?://|\.com$|\.org$|\.tech$|\.io$|^clickable image|^thumbnail image|^created jan|^r/|^0:00|avatar"
 USER = r"^u/[\w-]+|^[\w-]{3,20}$"
+# Fixed value: what pasting leaves of a typographic apostrophe, and what stands for it.
+MOJIBAKE = ("â", "'")
 # Elements whose text is not prose, and elements that end a block of text.
 SKIPPED = "script style noscript code pre kbd samp var textarea select button svg math title head iframe object canvas a".split()
 BLOCKS = "p|li|td|tr|ul|ol|table|blockquote|article|section|div|body|html|h[1-6]|br|nav|header|footer|main"
 
 
+def repair(c: Column) -> Column:
+    """A pasted text with its damaged apostrophes mended, trimmed."""
+    return trim_all(F.replace(c, *map(F.lit, MOJIBAKE)))
+
+
 def comments(c: Column) -> Column:
     """Comment bodies of a pasted thread: runs of lines between page lines and user names, each joined by spaces; of two words at least."""
     low = lambda x: F.lower(x)
@@ -32,6 +39,7 @@ def comments(c: Column) -> Column:
     close = lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
     grow = lambda acc, x: F.when(acc["open"] == "", x).otherwise(F.concat(acc["open"], F.lit(" "), x))
     runs = F.aggregate(lines, start, lambda acc, l: F.when(l["page"], F.struct(close(acc).alias("done"), F.lit("").alias("open"))).otherwise(F.struct(acc["done"].alias("done"), grow(acc, l["x"]).alias("open"))), close)
+    runs = F.transform(runs, repair)
     return F.filter(runs, lambda r: F.regexp_count(r, F.lit(r"\S+")) >= 2)
 
 

@@ -32,8 +32,14 @@ def report(df: DataFrame, path: str) -> None:
     df.limit(1).coalesce(1).write.json(path)
 
 
-def rules(df: DataFrame, path: str) -> None:
-    df.write.option("sep", "\t").option("header", True).csv(path)
+def rules(df: DataFrame, path: str, about: tuple[str, ...] = ()) -> None:
+    """A rule table as TSV; ``about`` are comment lines above the header. A rule table is a short list, so with comments it is one file."""
+    if not about:
+        df.write.option("sep", "	").option("header", True).csv(path)
+        return
+    line = F.concat_ws("	", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))
+    head = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate([*(f"# {a}" for a in about), "	".join(df.columns)])], "at int, value string")
+    head.unionByName(df.select(F.lit(len(about) + 1).alias("at"), line.alias("value"))).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
 
 
 def runtime_rules(df: DataFrame) -> DataFrame:

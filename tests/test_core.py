@@ -241,3 +241,43 @@ def test_alignment_of_two_tokenisations(spark):
     assert udfs.aligned(["Do", "n't", "go"], ["don't", "go"]) == []
     df = spark.createDataFrame([(["a", "b"], ["A", "c", "b"]), (None, ["x"])], "l array<string>, r array<string>")
     assert [[tuple(p) for p in r[0]] for r in df.select(udfs.align(F.col("l"), F.col("r"))).collect()] == [[(0, 0), (1, 2)], []]
+
+
+def test_swaps_prompts_and_tags(spark):
+    swap = lambda c: X.swap_first(c, F.lit("big"), F.lit("Unusual"))
+    assert of(spark, swap, "A big dog, a big cat", "The bigger one", "Big news", "", None) == ["An Unusual dog, a big cat", None, "Unusual news", None, None]
+    got = spark.createDataFrame([(["Noun", "Verb"],), (["ProperNoun", "Noun"],), (["Copula", "Verb"],), ([],), (None,)], "t array<string>").select(X.universal_pos(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["VERB", "PROPN", "AUX", "X", "X"]
+    one = X.prompt(F.lit("7"), F.lit("a ____ b"), F.lit("x"), F.lit("s"), F.lit("w"), F.lit("g"), F.array(F.lit("p"), F.lit("q")))
+    assert spark.range(1).select(one).first()[0] == '[7]\nSentence: a ____ b\nRemoved:  "x"  (intended sense: s)\nTarget word gloss: w = g\nCandidates:\n  - p\n  - q\n'
+
+
+def test_sentences_with_offsets(spark):
+    from prosemill.operators import order
+
+    text = "  Dr. Wu left.  Then he\ncame back... Yes! J. B. stayed "
+    rows = order.sentences_with_offsets(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "  ")], "doc_id long, text string")).orderBy("doc_id", "start").collect()
+    assert [r["sentence"] for r in rows] == ["Dr. Wu left.", "Then he\ncame back...", "Yes!", "J. B. stayed"]
+    assert all(text[r["start"] : r["end"]].strip() == r["sentence"] for r in rows) and rows[-1]["end"] == len(text)
+
+
+def test_value_at_an_index_equals_sorting(spark):
+    from prosemill.operators import order
+
+    rng = random.Random(5)
+    rows = [(k, rng.choice([None, *range(-9, 60)])) for k in "aab" for _ in range(rng.randint(1, 90))]
+    df = spark.createDataFrame([*rows, ("none", None)], "k string, v long")
+    for share in (0.0, 0.5, 0.95):
+        got = dict(order.at_index(df, ["k"], "v", lambda n: F.floor(n * share), F.floor(F.col("v") / 7), "x").collect())
+        sets = {k: sorted(v for q, v in rows if q == k and v is not None) for k in "ab"}
+        assert got == {k: v[int(len(v) * share)] for k, v in sets.items() if v}
+
+
+def test_rules_with_comment_lines(spark, tmp_path):
+    columns = [x.split()[0] for x in readers.RULE.split(", ")]
+    table = spark.createDataFrame([("big", "vast", "vast", "ADJ", "s", "apple", None, "n")], ", ".join(f"{c} string" for c in columns))
+    sinks.rules(table, str(tmp_path / "rules"), ("made by hand", "second line"))
+    (part,) = (tmp_path / "rules").glob("part-*")
+    assert part.read_text().split("\n")[:3] == ["# made by hand", "# second line", "\t".join(columns)]
+    (row,) = readers.rule_table(spark, str(tmp_path / "rules")).collect()
+    assert (row["trigger"], row["block_context"], row["require_context"]) == ("big", ["apple"], [])
