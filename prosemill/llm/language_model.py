@@ -2,9 +2,11 @@
 
 Each group of documents sends its distinct n-grams, as 64-bit hashes with their counts, to the
 partitions of the count tables; these add up the counts of all groups and answer each group in the
-order it asked. So a frequent n-gram costs one row of a group, however often it occurs. Counts of
-an order above two are asked only for n-grams whose both parts were seen ``CUTOFF`` times: no other
-could be. N-grams of order two and more under the cutoff are pruned, and scores back off.
+order it asked. So a frequent n-gram costs one row of a group, however often it occurs.
+
+The query prunes nothing (cutoff 1). Counts of an order above two are asked only for n-grams whose
+both parts stand twice: any other stands exactly once, which needs no exchange. With a higher
+cutoff, n-grams of order two and more under it are pruned, and scores back off.
 """
 
 from __future__ import annotations
@@ -41,8 +43,9 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
 class _Group:
     """A group's n-grams of each order, and their counts in the corpus as far as known."""
 
-    def __init__(self, docs: pd.DataFrame):
+    def __init__(self, docs: pd.DataFrame, cutoff: int):
         self.t = Tokens(docs, lower=True)
+        self.cutoff = cutoff
         self.total: dict[int, np.ndarray] = {}
 
     def ask(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,7 +53,8 @@ class _Group:
         at = self.t.fits(k)
         if k > 2:
             below = self.total[k - 1]
-            at = at[(below[at] >= CUTOFF) & (below[at + 1] >= CUTOFF)]
+            least = max(2, self.cutoff)
+            at = at[(below[at] >= least) & (below[at + 1] >= least)]
         h = self.t.grams(k)[at] if len(at) else np.zeros(0, U64)
         unique, where, n = np.unique(h, return_inverse=True, return_counts=True)
         return at, unique, where, n
@@ -58,6 +62,9 @@ class _Group:
     def hear(self, answers: pd.DataFrame, k: int) -> None:
         at, unique, where, _ = self.ask(k)
         self.total[k] = np.zeros(self.t.n + 1, np.int64)
+        if self.cutoff == 1:
+            # What is not asked for holds a part that stands once, and so stands once itself.
+            self.total[k][self.t.fits(k)] = 1
         own = answers[answers["k"] == k].sort_values("part")
         if len(own):
             self.total[k][at] = np.concatenate([_unplanes(b, np.uint32) for b in own["counts"]])[where]
@@ -70,17 +77,17 @@ class _Group:
         return pd.DataFrame(out, columns=["part", "g", "k", "hashes", "counts"]).astype({"part": "int32", "g": "int32", "k": "int32"})
 
 
-def _first(parts: int, order: int):
+def _first(parts: int, order: int, cutoff: int):
     def ask(key, docs: pd.DataFrame) -> pd.DataFrame:
-        group = _Group(docs)
+        group = _Group(docs, cutoff)
         return pd.concat([group.rows(key[0], k, parts) for k in range(1, min(2, order) + 1)])
 
     return ask
 
 
-def _next(parts: int, k: int):
+def _next(parts: int, k: int, cutoff: int):
     def ask(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        group = _Group(docs)
+        group = _Group(docs, cutoff)
         for below in range(2, k):
             group.hear(answers, below)
         return group.rows(key[0], k, parts)
@@ -88,22 +95,25 @@ def _next(parts: int, k: int):
     return ask
 
 
-def _count(key, asked: pd.DataFrame) -> pd.DataFrame:
-    """The table of one partition and order, and each group's answer: 0 for what is pruned."""
-    each = [np.cumsum(_unplanes(b, U64), dtype=U64) for b in asked["hashes"]]
-    unique, where = np.unique(np.concatenate(each), return_inverse=True)
-    total = np.zeros(len(unique), np.int64)
-    np.add.at(total, where, np.concatenate([_unplanes(b, np.uint32) for b in asked["counts"]]))
-    if key[1] > 1:
-        total[total < CUTOFF] = 0
-    ends = np.cumsum([len(h) for h in each])
-    answer = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)[where]
-    return asked.assign(counts=[_planes(answer[b - len(h) : b]) for h, b in zip(each, ends)])[["g", "k", "part", "counts"]]
+def _count(cutoff: int):
+    def count(key, asked: pd.DataFrame) -> pd.DataFrame:
+        """The table of one partition and order, and each group's answer: 0 for what is pruned."""
+        each = [np.cumsum(_unplanes(b, U64), dtype=U64) for b in asked["hashes"]]
+        unique, where = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.zeros(len(unique), np.int64)
+        np.add.at(total, where, np.concatenate([_unplanes(b, np.uint32) for b in asked["counts"]]))
+        if key[1] > 1:
+            total[total < cutoff] = 0
+        ends = np.cumsum([len(h) for h in each])
+        answer = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)[where]
+        return asked.assign(counts=[_planes(answer[b - len(h) : b]) for h, b in zip(each, ends)])[["g", "k", "part", "counts"]]
+
+    return count
 
 
-def _score(order: int, words: int):
+def _score(order: int, words: int, cutoff: int):
     def score(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        group = _Group(docs)
+        group = _Group(docs, cutoff)
         t = group.t
         for k in range(1, order + 1):
             group.hear(answers, k)
@@ -129,26 +139,27 @@ def _score(order: int, words: int):
     return score
 
 
-def backoff_scores(docs: DataFrame, order: int = ORDER, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = ORDER, group_bytes: int = GROUP_BYTES, cutoff: int = CUTOFF) -> DataFrame:
     """``doc_id, n_words, n_by_order, log10_prob, score`` of every row of ``docs(doc_id, text)``.
 
     ``n_by_order`` counts the words scored at each order, ``log10_prob`` sums the words' log10 scores
     and ``score`` is their mean (null without words). ASCII letters are lower-cased. The corpus is
-    ``docs`` itself, repeated rows included; null texts have no words.
+    ``docs`` itself, repeated rows included; null texts have no words. N-grams of order two and more
+    that stand fewer than ``cutoff`` times are pruned; 1 prunes none.
     """
     n = n_groups(docs, group_bytes)
     words = docs.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
     by_g = grouped_texts(docs, n).groupBy("g")
-    answers = materialise(by_g.applyInPandas(_first(n, order), _ASK).groupBy("part", "k").applyInPandas(_count, _ANSWER))
+    answers = materialise(by_g.applyInPandas(_first(n, order, cutoff), _ASK).groupBy("part", "k").applyInPandas(_count(cutoff), _ANSWER))
     for k in range(3, order + 1):
-        asked = by_g.cogroup(answers.groupBy("g")).applyInPandas(_next(n, k), _ASK)
-        answers = answers.union(materialise(asked.groupBy("part", "k").applyInPandas(_count, _ANSWER)))
-    return by_g.cogroup(answers.groupBy("g")).applyInPandas(_score(order, words), "doc_id long, n_words long, n_by_order array<long>, log10_prob double, score double")
+        asked = by_g.cogroup(answers.groupBy("g")).applyInPandas(_next(n, k, cutoff), _ASK)
+        answers = answers.union(materialise(asked.groupBy("part", "k").applyInPandas(_count(cutoff), _ANSWER)))
+    return by_g.cogroup(answers.groupBy("g")).applyInPandas(_score(order, words, cutoff), "doc_id long, n_words long, n_by_order array<long>, log10_prob double, score double")
 
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of every document against trigram counts of all documents."""
-    out = backoff_scores(table(spark, sf_dir, "documents"))
+    """Scores of every document against the counts of all n-grams of all documents, none pruned."""
+    out = backoff_scores(table(spark, sf_dir, "documents"), cutoff=1)
     by = F.col("n_by_order")
     return out.select("doc_id", "n_words", *(by[k].alias(f"n_order{k + 1}") for k in range(ORDER)), F.round("log10_prob", 4).alias("log10_prob"), F.round("score", 6).alias("score"))
 

@@ -390,3 +390,35 @@ def test_backoff_against_dictionaries(make, order):
     got = language_model.backoff_scores(make(docs), order=order, group_bytes=500)
     assert rows(got.select("doc_id", "n_words", "n_by_order", F.round("log10_prob", 6))) == plain_backoff(docs, order)
     assert language_model.backoff_scores(make([])).count() == 0
+
+
+def every_gram_backoff(docs, order=3):
+    """Scores against the counts of all n-grams, those that stand once included."""
+    toks = [words((t or "").lower()) for _, t in docs]
+    grams = Counter(tuple(x[i : i + k]) for x in toks for k in range(1, order + 1) for i in range(len(x) - k + 1))
+    n, out = sum(map(len, toks)), []
+    for (i, _), x in zip(docs, toks):
+        levels, total = [0] * order, 0.0
+        for j in range(len(x)):
+            # The whole corpus is counted, so the longest n-gram that ends here has a count.
+            k = min(j + 1, order)
+            g = tuple(x[j - k + 1 : j + 1])
+            total += np.log10(grams[g] / (grams[g[:-1]] if k > 1 else n))
+            levels[k - 1] += 1
+        out.append((i, len(x), levels, round(float(total), 6)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_backoff_without_pruning_counts_every_gram(make, order):
+    docs = [(i, prose(i % 40, 50, 30)) for i in range(60)] + [(i, t) for i, t, _ in ODD]
+    got = language_model.backoff_scores(make(docs), order=order, group_bytes=500, cutoff=1)
+    assert rows(got.select("doc_id", "n_words", "n_by_order", F.round("log10_prob", 6))) == every_gram_backoff(docs, order)
+
+
+def test_backoff_query_prunes_nothing(spark, make, tmp_path):
+    docs = [(1, "a b c a b d"), (2, "a b c e"), (3, "solo words once")]
+    make(docs).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in language_model.op10_stupid_backoff(spark, str(tmp_path)).collect()}
+    for i, n, levels, total in every_gram_backoff(docs):
+        assert (got[i]["n_words"], [got[i][f"n_order{k}"] for k in (1, 2, 3)], got[i]["log10_prob"]) == (n, levels, round(total, 4))
