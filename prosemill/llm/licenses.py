@@ -1,4 +1,7 @@
-"""License scans as an exact set-similarity join of text blocks (lines) with license templates.
+"""License scans as an exact set-similarity join of text blocks with license templates.
+
+A block is a line, or for notices wrapped over lines any window of as many words as the longest
+template has.
 
 A template is found in a block if at least ``threshold`` of its distinct words stand there. Words
 are ordered by their count over all documents, rarest first. A block that meets the threshold
@@ -71,6 +74,7 @@ class Index:
     def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float):
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         self.templates = []
+        self.window = max(len(tokens(text.encode())) for _, text in templates)
         for n, (label, text) in enumerate(templates):
             ordered = sorted(set(tokens(text.encode())), key=lambda w: (counts.get(w, 0), w))
             k = needed(len(ordered), threshold)
@@ -98,6 +102,28 @@ class Index:
                     out.append((label, both / len(words)))
         return out
 
+    def find_wrapped(self, text: bytes, words: list[bytes]) -> list[tuple[str, float]]:
+        """Label and largest containment of each template that some window of ``window`` of the text's ``words`` meets, whatever line breaks it spans.
+
+        Such a window holds a word of the template's prefix, so only the words around one are looked at.
+        """
+        if not self.any.search(text):
+            return []
+        best: dict[int, int] = {}
+        for at, w in enumerate(words):
+            for n, i in self.prefix.get(w, ()):
+                label, own, k = self.templates[n]
+                # If an earlier word of the order is in the window, that word's own place finds it.
+                if len(own) - i < max(k, best.get(n, 0) + 1):
+                    continue
+                near = words[max(0, at - self.window + 1) : at + self.window]
+                if len(own.intersection(near)) < k:
+                    continue
+                both = max(len(own.intersection(near[a : a + self.window])) for a in range(max(1, len(near) - self.window + 1)))
+                if both >= k:
+                    best[n] = max(both, best.get(n, 0))
+        return [(self.templates[n][0], both / len(self.templates[n][1])) for n, both in best.items()]
+
 
 def base_places(words: list[bytes], phrases: list[tuple[tuple[bytes, ...], str]]) -> list[tuple[int, str]]:
     """Start and label of each place where a phrase's words stand one after the other."""
@@ -107,9 +133,10 @@ def base_places(words: list[bytes], phrases: list[tuple[tuple[bytes, ...], str]]
 _FOUND = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """``docs`` plus a struct ``license`` with the places and labels found in ``text``.
 
+    The blocks are lines; with ``wrapped`` also windows of words across line breaks.
     A null text is empty: no words, no labels, score 0. The score is 1 if a base phrase is there,
     else the largest containment found. One pass counts the templates' words over all documents
     (the order decides speed, never the result); the join itself needs no shuffle, since all
@@ -129,7 +156,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
                 b = t.encode().lower() if t else b""
                 words = _WORD.findall(b)
                 places = base_places(words, phrases) if any(p[-1] in b for p, _ in phrases) else []
-                found = index.find(b)
+                found = index.find(b) + (index.find_wrapped(b, words) if wrapped else [])
                 base = {label for _, label in places}
                 at = [i for i, _ in places]
                 score = 1.0 if base else max((s for _, s in found), default=0.0)
@@ -141,8 +168,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places, labels and score of every document."""
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license.*")
+    """Places, labels and score of every document, notices wrapped over lines included."""
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), wrapped=True).select("doc_id", "license.*")
 
 
 def _sql() -> str:

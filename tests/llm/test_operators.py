@@ -359,6 +359,29 @@ def test_license_filters_lose_nothing():
             assert sorted(index.find(b" ".join(line))) == want
 
 
+def test_license_query_finds_wrapped_notices(spark, make, tmp_path):
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\r\n\r\nof this software and associated documentation files (the Software)"
+    docs = [(1, f"A file.\n\n{bsd}\nend"), (2, mit), (3, "All rights\nreserved."), (4, "all\n" + "filler " * 30 + "rights reserved"), (5, None)]
+    make(docs).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.op9_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("all-rights-reserved", 1.0), 4: ("", 0.0), 5: ("", 0.0)}
+
+
+def test_license_windows_lose_nothing():
+    r = random.Random(9)
+    vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in licenses.tokens(t.encode())})
+    for threshold in (0.5, 0.7, 0.9):
+        index = licenses.Index(licenses.TEMPLATES, {w: r.randrange(5) for w in vocabulary}, threshold)
+        for _ in range(200):
+            base = licenses.tokens(r.choice(licenses.TEMPLATES)[1].encode())
+            body = r.choices(vocabulary, k=r.randint(0, 30)) + base[: r.randint(1, len(base))] + r.choices([*vocabulary, b"filler"], k=r.randint(0, 30))
+            windows = [set(body[a : a + index.window]) for a in range(max(1, len(body) - index.window + 1))]
+            most = [(label, max(len(words & x) for x in windows), words, k) for label, words, k in index.templates]
+            want = sorted((label, both / len(words)) for label, both, words, k in most if both >= k)
+            assert sorted(index.find_wrapped(b" ".join(body), body)) == want
+
+
 # 10
 
 
