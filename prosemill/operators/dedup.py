@@ -79,16 +79,16 @@ def jaccard_pairs(sets: DataFrame, least: float = 0.8, key: str = "doc_id") -> D
     return every.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "jaccard")
 
 
-def first_wins(nodes: DataFrame, pairs: DataFrame, key: str = "doc_id", rounds: int = 50) -> DataFrame:
+def first_wins(nodes: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The nodes that a scan in order keeps, if it drops each one paired with a kept earlier one.
 
-    Rounds decide every node whose earlier partners are all decided; each round is written.
+    Rounds decide every node whose earlier partners are all decided, until none is open; each round is written.
     """
     edges = written(pairs.select("a", "b"))
     later = edges.select("b").distinct()
     kept = written(edges.select("a").join(later, F.col("a") == F.col("b"), "left_anti").distinct())
     decided = kept.select(F.col("a").alias("id"), F.lit(True).alias("keep"))
-    for _ in range(rounds):
+    while True:
         dropped = edges.join(decided.filter("keep").select(F.col("id").alias("a")), "a").select("b").distinct()
         decided = written(decided.union(dropped.join(decided.select(F.col("id").alias("b")), "b", "left_anti").select(F.col("b").alias("id"), F.lit(False).alias("keep"))))
         open_ = edges.join(decided.select(F.col("id").alias("b")), "b", "left_anti")

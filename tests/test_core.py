@@ -155,6 +155,12 @@ def test_first_wins_equals_the_scan(spark):
         assert sorted(x[0] for x in got.collect()) == kept
 
 
+def test_first_wins_on_a_long_chain(spark):
+    n = 107
+    kept = dedup.first_wins(spark.range(n).withColumnRenamed("id", "doc_id"), spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long"))
+    assert sorted(r[0] for r in kept.collect()) == list(range(0, n, 2))
+
+
 def test_jaccard_pairs_equal_all_pairs(spark):
     r = random.Random(2)
     sets = [sorted({r.randrange(14) for _ in range(10)}) for _ in range(60)]
