@@ -161,6 +161,13 @@ def test_first_wins_on_a_long_chain(spark):
     assert sorted(r[0] for r in kept.collect()) == list(range(0, n, 2))
 
 
+def test_near_dedup_reads_all_languages(spark, tmp_path):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a, "en"), (2, a, "fr"), (3, b, None), (4, b, "de"), (5, "", "es")]
+    spark.createDataFrame([(i, t, x, "s", len(t)) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r[0] for r in Q.QUERIES["near_dedup_greedy"](spark, str(tmp_path)).collect()) == [1, 3, 5]
+
+
 def test_jaccard_pairs_equal_all_pairs(spark):
     r = random.Random(2)
     sets = [sorted({r.randrange(14) for _ in range(10)}) for _ in range(60)]
