@@ -109,25 +109,26 @@ def links(fps: DataFrame) -> DataFrame:
     return near.union(spanned).distinct()
 
 
-def near_duplicates(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, keep_text: bool = True, class_name: str | None = None) -> DataFrame:
     """All columns of ``docs`` (with ``doc_id``, ``text``) plus ``fingerprint`` and ``component_id``.
 
     Null or empty texts have fingerprint zero and are linked like any other; repeated rows stay;
     ``component_id`` is the least id that is not null among the rows reachable (null if none).
-    Columns of the input that clash with the two new names are replaced.
+    Columns of the input that clash with the two new names are replaced. ``class_name`` names one
+    more column, the fingerprint that stands for the row's component, which no other component has.
     """
     docs = docs.drop("fingerprint", "component_id")
-    fp, class_fp = free_name(docs, "fp", "class_fp")
+    fp, class_fp, whole = free_name(docs, "fp", "class_fp", class_name or "class")
     known = docs.withColumn(fp, fingerprint_udf("text"))
     known = materialise(known if keep_text else known.drop("text"))
     nodes = materialise(known.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("least_id")))
     found = nodes.join(components(links(nodes.select("fp"))).withColumnRenamed("node", "fp"), "fp")
     class_id = found.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    linked = found.join(class_id, "component").select(F.col("fp").alias("linked_fp"), "component_id")
+    linked = found.join(class_id, "component").select(F.col("fp").alias("linked_fp"), "component_id", F.col("component").alias("linked_class"))
     # Written first, so that a fingerprint with a large share of the rows is an ordinary skewed join, which is split.
-    classes = materialise(nodes.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias(class_fp), F.coalesce("component_id", "least_id").alias("component_id")))
+    classes = materialise(nodes.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias(class_fp), F.coalesce("component_id", "least_id").alias("component_id"), *([F.coalesce("linked_class", "fp").alias(whole)] if class_name else [])))
     out = known.join(classes, F.col(fp) == F.col(class_fp))
-    return out.select(*(c for c in known.columns if c != fp), F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(*(c for c in known.columns if c != fp), F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint"), "component_id", *([F.col(whole).alias(class_name)] if class_name else []))
 
 
 def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +142,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows whose group has no id at all keep one row of each fingerprint.
     """
     whole = docs.columns
-    out = near_duplicates(docs)
-    key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "fingerprint"))
+    [own] = free_name(docs, "class")
+    out = near_duplicates(docs, class_name=own)
+    # Not the least id: where an id is repeated, two components can share it.
+    key = F.when(F.col("component_id").isNull(), F.concat(F.lit("fp"), "fingerprint")).otherwise(F.col(own).cast("string"))
     k, r = free_name(out, "class_key", "nth")
     # Only rows that could be the one kept reach the window: the class's least id.
     first = out.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).withColumn(k, key)

@@ -85,6 +85,12 @@ def test_simhash_keeps_one_of_each(make):
     assert simhash.near_duplicates(clash).filter("fingerprint = 'mine'").count() == 0
 
 
+def test_simhash_keeps_unrelated_rows_of_one_id(make):
+    a, b = prose(101, 80), prose(202, 80)
+    got = simhash.keep_one(make([(1, a), (1, b), (2, a), (3, b)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(1, a), (1, b)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, 2), (3, 2), (7, 7), (9, 8), (8, 9)]
     found = dict(rows(components.components(spark.createDataFrame(edges, "u long, v long"))))
