@@ -17,18 +17,20 @@ import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, held_out, table
 
-#: Labelled documents, at most, from which the words' weights of evidence are counted; those of over LONG bytes are not drawn.
-SAMPLE_TOXIC, SAMPLE_CLEAN, LONG = 2000, 3000, 1 << 16
-#: Of them, those whose tokens train the field, of each class.
-TRAIN = 600
+#: Bounds of the labelled sample, all of them parameters of ``fit``: toxic and clean rows from which evidence is counted, bytes of
+#: a row that is drawn (a longer one gives its place to the next), and rows of each class whose tokens train the field.
+SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_BYTES, TRAIN = 2000, 3000, 1 << 17, 600
+#: Documents that one gradient step adds up at a time.
+CHUNK = 250
 #: A document is toxic from this score on.
 THRESHOLD = 0.7
 SPAN = 0.5
@@ -40,7 +42,8 @@ BATCH_TOKENS = 500_000
 
 
 def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall(text.lower()) if text else []
+    """Runs of letters, each lower-cased by itself, so that places in the text stay what they are."""
+    return [w.lower() for w in _TOKEN.findall(text)] if text else []
 
 
 def features(word: str) -> list[str]:
@@ -142,7 +145,7 @@ def evidence(toxic: list[list[str]], clean: list[list[str]]) -> tuple[set[str],
     weight over to strangers; it is no evidence.
     """
     many, n1 = _spread(toxic)
-    least = 2 * math.log(max(2, len(many))) + 5
+    least = 2 * math.log(max(2, len(many))) - 4
     narrow = set()
     for w in {w for d in toxic for w in d}:
         own = features(w)
@@ -158,45 +161,59 @@ def evidence(toxic: list[list[str]], clean: list[list[str]]) -> tuple[set[str],
         b = few[f]
         rate = (a + b) / (n1 + n0)
         g2 = 2 * (a * math.log(a / (n1 * rate)) + (b * math.log(b / (n0 * rate)) if b else 0))
-        if g2 >= least and b / n0 <= 0.05 * a / n1:
+        if g2 >= least and b / n0 <= 0.02 * a / n1:
             out.add(f)
     return out, narrow
 
 
-def train(toxic: list[list[str]], clean: list[list[str]], rounds: int = 40, rate: float = 0.3, decay: float = 1e-3) -> Field:
-    """Full-batch Adam on the log-likelihood of the weakly labelled tokens."""
+def _layout(chains: list[tuple[list[str], int]], is_toxic: dict[str, bool], code: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers, marks and first-token flags of a chunk of documents laid end to end."""
+    codes = np.fromiter((code[w] for d, _ in chains for w in d), np.int32)
+    y = np.fromiter((bool(t and is_toxic[w]) for d, t in chains for w in d), bool, len(codes))
+    starts = np.zeros(len(codes), bool)
+    starts[np.cumsum([0, *(len(d) for d, _ in chains)])[:-1]] = True
+    return codes, y, starts
+
+
+def train(toxic: list[list[str]], clean: list[list[str]], rounds: int = 40, rate: float = 0.3, decay: float = 1e-3, most: int = TRAIN) -> Field:
+    """Adam on the log-likelihood of the weakly labelled tokens of the first ``most`` documents of each class.
+
+    Each step takes all of them; their gradients are added up chunk by chunk, so that memory holds one chunk's messages.
+    """
     marks, narrow = evidence(toxic, clean)
     is_toxic = {w: any(f in marks for f in features(w)) for d in toxic for w in d}
-    chains = [(d, 1) for d in toxic if any(is_toxic[w] for w in d)][:TRAIN] + [(d, 0) for d in clean if d][:TRAIN]
-    words = [w for d, _ in chains for w in d]
-    codes, unique = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, int), [])
-    y = np.array([y and is_toxic[w] for d, y in chains for w in d], float)
+    # Classes alternate, so that every chunk holds both.
+    pair = [[(d, 1) for d in toxic if any(is_toxic[w] for w in d)][:most], [(d, 0) for d in clean if d][:most]]
+    chains = [x for both in zip_longest(*pair) for x in both if x is not None]
+    code: dict[str, int] = {}
+    for d, _ in chains:
+        for w in d:
+            code.setdefault(w, len(code))
     field = Field({}, -4.0, np.zeros((2, 2)), np.zeros(2))
-    if not len(y) or not y.any():
+    if not pair[0]:
         field.bias = -30.0
         return field
     slot: dict[str, int] = {"": 0}  # 0 stands for no feature
-    slots = np.zeros((len(unique), 4), np.int64)
-    for i, w in enumerate(unique):
+    slots = np.zeros((len(code), 4), np.int64)
+    for w, i in code.items():
         for j, f in enumerate(features(w)):
             if f not in narrow:
                 slots[i, j] = slot.setdefault(f, len(slot))
-    starts = np.zeros(len(words), bool)
-    starts[np.cumsum([0, *(len(d) for d, _ in chains)])[:-1]] = True
-    state = y.astype(int)
-    inner = np.flatnonzero(~starts[1:])
-    seen = np.bincount(2 * state[inner] + state[inner + 1], minlength=4).reshape(2, 2)
-    at_start = np.bincount(state[starts], minlength=2)
+    chunks = [_layout(chains[i : i + CHUNK], is_toxic, code) for i in range(0, len(chains), CHUNK)]
     x, m, v = np.zeros(len(slot) + 7), 0.0, 0.0
     for k in range(1, rounds + 1):
         field.bias, field.move, field.first = x[-7] - 4.0, x[-6:-2].reshape(2, 2), x[-2:]
         e = np.clip(x[slots].sum(axis=1) + field.bias, -30, 30)
-        p, moved = field.run(e[codes], starts)
-        by_word = np.bincount(codes, y - p, len(unique))
-        p_start = p[starts].sum()
+        by_word, by_move, by_first = np.zeros(len(code)), np.zeros((2, 2)), np.zeros(2)
+        for codes, y, starts in chunks:
+            p, moved = field.run(e[codes], starts)
+            state, inner = y.astype(int), np.flatnonzero(~starts[1:])
+            by_word += np.bincount(codes, y - p, len(code))
+            by_move += np.bincount(2 * state[inner] + state[inner + 1], minlength=4).reshape(2, 2) - moved
+            by_first += np.bincount(state[starts], minlength=2) - [(1 - p[starts]).sum(), p[starts].sum()]
         by_slot = np.bincount(slots.ravel(), np.repeat(by_word, 4), len(slot))
         by_slot[0] = 0.0
-        grad = np.concatenate([by_slot, [by_word.sum()], (seen - moved).ravel(), [at_start[0] - (starts.sum() - p_start), at_start[1] - p_start]]) - decay * x
+        grad = np.concatenate([by_slot, [by_word.sum()], by_move.ravel(), by_first]) - decay * x
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         x = x + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     field.bias, field.move, field.first = x[-7] - 4.0, x[-6:-2].reshape(2, 2), x[-2:]
@@ -204,15 +221,19 @@ def train(toxic: list[list[str]], clean: list[list[str]], rounds: int = 40, rate
     return field
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
-    """Slope (at least 0) and offset of a logistic curve, fitted by Newton steps with Platt's smoothed targets."""
+def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 200, balanced: bool = False) -> tuple[float, float]:
+    """Slope (at least 0) and offset of a logistic curve, fitted by Newton steps with Platt's smoothed targets.
+
+    ``balanced`` gives both classes the same weight, as if they were equally frequent.
+    """
     pos, neg = y.sum(), len(y) - y.sum()
     goal = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 0.0, math.log((pos + 1) / (neg + 1))
+    each = np.where(y > 0, len(y) / (2 * max(1, pos)), len(y) / (2 * max(1, neg))) if balanced else np.ones(len(y))
+    a, b = 0.0, 0.0 if balanced else math.log((pos + 1) / (neg + 1))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((goal - p) * x).sum() - 1e-3 * a, (goal - p).sum()])
+        w = each * np.maximum(p * (1 - p), 1e-6)
+        g = np.array([(each * (goal - p) * x).sum() - 1e-3 * a, (each * (goal - p)).sum()])
         h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         a, b = a + np.clip(step[0], -1, 1), b + np.clip(step[1], -1, 1)
@@ -261,7 +282,7 @@ class Model:
             most = min(max(most, 1e-6), 1 - 1e-6)
             spans = []
             if len(d) and most >= SPAN:
-                for k, m in enumerate(_TOKEN.finditer(text.lower())):
+                for k, m in enumerate(_TOKEN.finditer(text)):
                     if own[k] >= SPAN:
                         if spans and spans[-1][3] == k - 1:
                             spans[-1][1:] = [m.end(), max(spans[-1][2], float(own[k])), k]
@@ -276,25 +297,40 @@ class Model:
         return [(1 / (1 + math.exp(-min(30.0, max(-30.0, self.a * x + self.b)))), spans) for x, spans in self.evidence_of(texts)]
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, value: int, n: int) -> list[str]:
-    """Texts of at most ``n`` rows labelled ``value`` that are not held out, in the order of a hash of their id."""
+def by_hash(doc_id: Column) -> Column:
+    """A random order of the ids that every run repeats."""
+    return F.md5(doc_id.cast("string").cast("binary"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, column: str, value: int, n: int, max_bytes: int = MAX_BYTES) -> list[str]:
+    """Texts of at most ``n`` rows labelled ``value`` that are not held out: the first in the order of a hash of their id.
+
+    Ids with a text of over ``max_bytes`` are passed over before the ``n`` are counted, so the next ones take their place.
+    """
+    if not n:
+        return []
     open_ = labels.filter((F.col(column) == value) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    ids = open_.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n)
-    short = docs.filter(F.octet_length("text") <= LONG).select("doc_id", "text")
-    rows = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return [r["text"] for r in rows.collect()[: 2 * n]] if n else []
+    short = docs.filter(F.octet_length("text") <= max_bytes)
+    ids = short.select("doc_id").join(open_, "doc_id").distinct().withColumn("h", by_hash(F.col("doc_id"))).orderBy("h", "doc_id").limit(n)
+    rows = short.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("h", "doc_id").agg(F.min("text").alias("text"))  # n rows
+    return [r["text"] for r in sorted(rows.collect(), key=lambda r: (r["h"], r["doc_id"]))]
+
+
+def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN, max_bytes: int = MAX_BYTES, n_train: int = TRAIN) -> Model:
+    """A model of ``labels.toxic`` from a bounded sample of open rows; without both classes, one that gives 0 to all."""
+    toxic, clean = ([[sys.intern(w) for w in tokens(t)] for t in sample(docs, labels, "toxic", v, n, max_bytes)] for v, n in ((1, n_toxic), (0, n_clean)))
+    return learn(toxic, clean, n_train)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of ``labels.toxic``; without both classes, one that gives 0 to all."""
-    toxic, clean = ([[sys.intern(w) for w in tokens(t)] for t in sorted(sample(docs, labels, "toxic", v, n))] for v, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)))
+def learn(toxic: list[list[str]], clean: list[list[str]], n_train: int = TRAIN) -> Model:
+    """A model from the tokens of labelled documents: the field, and the calibration of its largest marginals."""
     if not toxic or not clean:
         return Model(None)
-    field = train(toxic, clean)
+    field = train(toxic, clean, most=n_train)
     model = Model(field)
     x = np.array([m for docs_ in (toxic, clean) for i in range(0, len(docs_), 200) for m in _most(model, docs_[i : i + 200])])
     y = np.array([1] * len(toxic) + [0] * len(clean))
-    model.a, model.b = calibrate(x, y)
+    model.a, model.b = calibrate(x, y, balanced=True)
     return model
 
 
@@ -309,7 +345,7 @@ def _most(model: Model, docs: list[list[str]]) -> list[float]:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` plus a struct ``toxicity`` of ``score`` and ``spans`` (offsets into the lower-cased text). A null text is empty."""
+    """``docs`` plus a struct ``toxicity`` of ``score`` and ``spans`` (offsets into the text). A null text is empty."""
 
     @F.pandas_udf("score double, spans array<struct<start: int, end: int, p: double>>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
