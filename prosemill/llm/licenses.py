@@ -1,13 +1,14 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or for notices wrapped over lines any window of as many words as the longest
-template has.
-
-A template is found in a block if at least ``threshold`` of its distinct words stand there. Words
-are ordered by their count over all documents, rarest first. A block that meets the threshold
-must hold one of a template's first ``size - needed + 1`` words (prefix filter), have ``needed``
-words at all (length filter), and, if the first shared word is the i-th, still be able to share
-enough from there on (positional filter). What passes is counted in full, so nothing is lost.
+A block is a run of as many words as the longest template has (a shorter text is one block), whatever
+lines it spans. A template is found in a block if at least ``threshold`` of its distinct words stand there.
+
+The words of all templates are ordered by their count over all documents, rarest first, and both
+sides of the join are kept in that order; other words of a block can match nothing and are left out.
+A block that meets the threshold shares a word with the template's first ``size - needed + 1`` (prefix
+filter), holds ``needed`` such words at all (length filter), and from the first shared word on, the i-th
+of the template and the j-th of the block, both still have enough words left (positional filter).
+What passes is counted in full, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -69,58 +70,61 @@ def word_counts(docs: DataFrame, words: list[bytes]) -> dict[bytes, int]:
 
 
 class Index:
-    """Templates by the words of their prefixes."""
+    """Templates as ranks of the global order, by the ranks of their prefixes."""
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float):
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
-        self.templates = []
+        sets = [frozenset(tokens(text.encode())) for _, text in templates]
         self.window = max(len(tokens(text.encode())) for _, text in templates)
-        for n, (label, text) in enumerate(templates):
-            ordered = sorted(set(tokens(text.encode())), key=lambda w: (counts.get(w, 0), w))
-            k = needed(len(ordered), threshold)
-            self.templates.append((label, frozenset(ordered), k))
-            for i, w in enumerate(ordered[: len(ordered) - k + 1]):
-                self.prefix.setdefault(w, []).append((n, i))
-        self.any = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + b"|".join(map(re.escape, sorted(self.prefix))) + rb")(?![0-9a-z\x80-\xff])")
-
-    def find(self, text: bytes) -> list[tuple[str, float]]:
-        """Label and containment of each (line, template) pair that meets the threshold; ``text`` is lower-cased."""
-        if not self.any.search(text):
-            return []
-        out = []
-        for line in text.split(b"\n"):
-            if not (shared := set(self.any.findall(line))):
-                continue
-            block = set(_WORD.findall(line))
-            first: dict[int, int] = {}
-            for w in shared:
-                for n, i in self.prefix[w]:
-                    first[n] = min(i, first.get(n, i))
-            for n, i in first.items():
-                label, words, k = self.templates[n]
-                if len(block) >= k and len(words) - i >= k and (both := len(words & block)) >= k:
-                    out.append((label, both / len(words)))
-        return out
-
-    def find_wrapped(self, text: bytes, words: list[bytes]) -> list[tuple[str, float]]:
-        """Label and largest containment of each template that some window of ``window`` of the text's ``words`` meets, whatever line breaks it spans.
-
-        Such a window holds a word of the template's prefix, so only the words around one are looked at.
+        order = sorted(frozenset().union(*sets), key=lambda w: (counts.get(w, 0), w))
+        self.rank = {w: r for r, w in enumerate(order)}
+        self.templates: list[tuple[str, list[int], frozenset[int], int]] = []
+        self.prefix: dict[int, list[tuple[int, int]]] = {}
+        for n, ((label, _), words) in enumerate(zip(templates, sets)):
+            ranks, k = sorted(self.rank[w] for w in words), needed(len(words), threshold)
+            self.templates.append((label, ranks, frozenset(ranks), k))
+            for i, r in enumerate(ranks[: len(ranks) - k + 1]):
+                self.prefix.setdefault(r, []).append((n, i))
+        self.least = min(k for *_, k in self.templates)
+        #: Pairs that each filter turned away, and pairs counted in full.
+        self.turned_away = {"length": 0, "position": 0, "counted": 0}
+
+    def pairs(self, block: list[int]) -> Iterator[tuple[int, int]]:
+        """Template and shared words of every template that ``block``, ascending ranks, meets."""
+        seen = set()
+        for j, r in enumerate(block):
+            for n, i in self.prefix.get(r, ()):
+                if n in seen:
+                    continue
+                seen.add(n)  # r is the first word that both share: all before it in either order was looked at
+                _, ranks, own, k = self.templates[n]
+                if len(block) < k:
+                    self.turned_away["length"] += 1
+                elif len(ranks) - i < k or len(block) - j < k:
+                    self.turned_away["position"] += 1
+                else:
+                    self.turned_away["counted"] += 1
+                    if (both := len(own.intersection(block))) >= k:
+                        yield n, both
+
+    def find(self, words: list[bytes]) -> list[tuple[str, float]]:
+        """Label and largest containment of each template that some block of ``words`` meets.
+
+        A block can be moved on to its first template word without losing one, and must hold a word of a prefix: only such
+        blocks are looked at.
         """
-        if not self.any.search(text):
-            return []
+        at = [(p, r) for p, w in enumerate(words) if (r := self.rank.get(w)) is not None]
+        near = [p for p, r in at if r in self.prefix]
         best: dict[int, int] = {}
-        for at, w in enumerate(words):
-            for n, i in self.prefix.get(w, ()):
-                label, own, k = self.templates[n]
-                # If an earlier word of the order is in the window, that word's own place finds it.
-                if len(own) - i < max(k, best.get(n, 0) + 1):
-                    continue
-                near = words[max(0, at - self.window + 1) : at + self.window]
-                if len(own.intersection(near)) < k:
-                    continue
-                both = max(len(own.intersection(near[a : a + self.window])) for a in range(max(1, len(near) - self.window + 1)))
-                if both >= k:
+        end, wanted = 0, 0
+        for s, (start, _) in enumerate(at):
+            while wanted < len(near) and near[wanted] < start:
+                wanted += 1
+            if wanted == len(near):
+                break
+            while end < len(at) and at[end][0] < start + self.window:
+                end += 1
+            if near[wanted] < start + self.window and end - s >= self.least:
+                for n, both in self.pairs(sorted({r for _, r in at[s:end]})):
                     best[n] = max(both, best.get(n, 0))
         return [(self.templates[n][0], both / len(self.templates[n][1])) for n, both in best.items()]
 
@@ -133,14 +137,14 @@ def base_places(words: list[bytes], phrases: list[tuple[tuple[bytes, ...], str]]
 _FOUND = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` plus a struct ``license`` with the places and labels found in ``text``.
 
-    The blocks are lines; with ``wrapped`` also windows of words across line breaks.
-    A null text is empty: no words, no labels, score 0. The score is 1 if a base phrase is there,
-    else the largest containment found. One pass counts the templates' words over all documents
-    (the order decides speed, never the result); the join itself needs no shuffle, since all
-    templates, a fixed list, go to every task.
+    A null or empty text has no words, no labels and score 0; texts of any length are read whole, one at a time. The score
+    is 1 if a base phrase is there, else the largest containment found. Repeated rows stay, an empty table gives an empty
+    result, an input column ``license`` is replaced and all others stay. One pass counts the templates' words over all
+    documents (the order decides speed, never the result); the join itself needs no shuffle, since all templates, a fixed
+    list, go to every task.
     """
     templates = templates or TEMPLATES
     vocabulary = sorted({w for _, t in templates for w in tokens(t.encode())})
@@ -156,7 +160,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
                 b = t.encode().lower() if t else b""
                 words = _WORD.findall(b)
                 places = base_places(words, phrases) if any(p[-1] in b for p, _ in phrases) else []
-                found = index.find(b) + (index.find_wrapped(b, words) if wrapped else [])
+                found = index.find(words)
                 base = {label for _, label in places}
                 at = [i for i, _ in places]
                 score = 1.0 if base else max((s for _, s in found), default=0.0)
@@ -168,13 +172,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places, labels and score of every document, notices wrapped over lines included."""
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), wrapped=True).select("doc_id", "license.*")
+    """Places, labels and score of every document."""
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license.*")
 
 
 def _sql() -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    rows = []
+    rows, window = [], max(len(tokens(text.encode())) for _, text in TEMPLATES)
     for label, text in TEMPLATES:
         words = sorted({w.decode() for w in tokens(text.encode())})
         rows.append(f"('{label}', {words}, {needed(len(words), THRESHOLD)})")
@@ -189,10 +193,12 @@ WITH d AS (
   FROM (SELECT doc_id, ws, unnest(range(0, len(ws))) AS i FROM w), phrases
   WHERE array_to_string(ws[i + 1:i + k], ' ') = phrase GROUP BY doc_id
 ), templates(label, words, needed) AS (VALUES {", ".join(rows)}
-), l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS ws FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+), o AS (SELECT doc_id, ws, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w
+), l AS (
+  SELECT doc_id, label, words, needed, list_distinct(ws[i:i + {window - 1}]) AS ws FROM o JOIN (SELECT label, words, needed, unnest(words) AS x FROM templates) USING (x)
 ), m AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(shared / len(words)) AS score
-  FROM (SELECT doc_id, label, words, needed, len(list_intersect(ws, words)) AS shared FROM l, templates) WHERE shared >= needed GROUP BY doc_id
+  FROM (SELECT doc_id, label, words, needed, len(list_intersect(ws, words)) AS shared FROM l) WHERE shared >= needed GROUP BY doc_id
 )
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.a AS BIGINT) AS first_word, CAST(b.z AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,

@@ -3,7 +3,8 @@
 One view is the text's content (words and word shapes), the other the page's metadata (language,
 source, and the layout of lines and characters). Each view has a logistic model of its own. In
 each round both give the unlabelled rows they are surest of to a common set, from which the other
-one learns too. In the end each view is calibrated, and the mean of their log-odds scores all documents.
+one learns too. In the end each view is calibrated on labelled rows that trained neither of them, and the mean of their log-odds
+scores all documents.
 
 Only the samples that the parameters bound come to the driver.
 """
@@ -19,13 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
-from .toxicity import calibrate
+from .common import held_out, materialise, table
+from .toxicity import by_hash, calibrate
 
-#: Labelled rows of each class and unlabelled rows drawn for training, at most; rounds; rows that a view gives of each class in a round.
-LABELLED, POOL, ROUNDS, GIVEN = 1500, 3000, 4, 100
-#: Documents of more bytes are scored like any other but not drawn for training.
-LONG = 1 << 16
+#: Bounds of what is drawn for training, all of them parameters of ``fit``: labelled rows of each class, unlabelled rows, and bytes of a
+#: row (a longer one gives its place to the next).
+LABELLED, POOL, MAX_BYTES = 1500, 3000, 1 << 17
+#: Rounds, and rows that a view gives of each class in a round; every CALIBRATED-th labelled row calibrates the views and trains none.
+ROUNDS, GIVEN, CALIBRATED = 4, 100, 4
 THRESHOLD = 0.5
 _DIMS = 1 << 15
 _RUN = re.compile(r"(.)\1+")
@@ -135,7 +137,9 @@ class Model:
             return
         docs = labelled + pool
         x = self._features(docs)
-        know, goal, left = np.arange(len(y)), y, np.arange(len(y), len(docs))
+        apart = self._apart(y)
+        know, left = np.setdiff1d(np.arange(len(y)), apart), np.arange(len(y), len(docs))
+        goal = y[know]
         for r in range(ROUNDS + 1):
             for view, rows in zip(self.views, x):
                 view.fit(_pick(rows, know), goal, rounds=120 if not r else 40)
@@ -155,9 +159,16 @@ class Model:
                 break
             know, goal = np.append(know, list(given)).astype(np.int64), np.append(goal, list(given.values()))
             left = left[~np.isin(left, list(given))]
-        own = np.arange(len(y))
         for view, rows in zip(self.views, x):
-            view.a, view.c = calibrate(view.raw(_pick(rows, own), len(y)), y)
+            view.a, view.c = calibrate(view.raw(_pick(rows, apart), len(apart)), y[apart], balanced=True)
+
+    @staticmethod
+    def _apart(y: np.ndarray) -> np.ndarray:
+        """Every ``CALIBRATED``-th row of each class; all rows if a class has too few to give some away."""
+        of = [np.flatnonzero(y == v) for v in (0, 1)]
+        if min(map(len, of)) < 2 * CALIBRATED:
+            return np.arange(len(y))
+        return np.sort(np.concatenate([i[CALIBRATED - 1 :: CALIBRATED] for i in of]))
 
     @staticmethod
     def _features(docs: list[tuple], content: Content | None = None) -> tuple[tuple, tuple]:
@@ -170,26 +181,45 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((odds[0] + odds[1]) / 2, -30, 30)))
 
 
-def _drawn(docs: DataFrame, ids: DataFrame) -> list[tuple]:
-    """One row of each id, in the order of a hash; ``ids`` is bounded by a parameter."""
-    one = docs.filter(F.octet_length("text") <= LONG).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source")).alias("d")).select("doc_id", "d.*")
-    return sorted((r["doc_id"], r["text"], r["lang"], r["source"]) for r in one.collect())
+def _drawn(docs: DataFrame, of: DataFrame | None, n: int, max_bytes: int) -> list[tuple]:
+    """``doc_id, text, lang, source`` of at most ``n`` ids, the first in the order of a hash; of the ids in ``of``, or of all.
+
+    The hash's range is cut first (twice what ``n`` rows need, by the exact count), so that the sort sees few rows.
+    """
+    short = docs.filter((F.octet_length("text") <= max_bytes) & F.col("doc_id").isNotNull())
+    ids = (short.select("doc_id").join(of.select("doc_id").distinct(), "doc_id") if of is not None else short.select("doc_id")).withColumn("h", by_hash(F.col("doc_id")))
+    ids = materialise(ids)
+    rows = ids.count()
+    if rows > 4 * n:
+        # Repeated ids share a hash, so the cut is widened until it holds enough distinct ones.
+        share = 2 * n / rows
+        while share < 1:
+            part = ids.filter(F.col("h") < f"{int(share * (1 << 32)):08x}").distinct()
+            if part.limit(n).count() == n:
+                ids = part
+                break
+            share *= 4
+    ids = ids.distinct().orderBy("h", "doc_id").limit(n)
+    one = short.join(F.broadcast(ids), "doc_id").groupBy("h", "doc_id").agg(F.min(F.struct("text", "lang", "source")).alias("d")).select("h", "doc_id", "d.*")
+    return [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in sorted(one.collect(), key=lambda r: (r["h"], r["doc_id"]))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
-    """A model of ``labels.quality`` from rows that are not held out."""
-    by_hash = lambda ids, n: ids.filter("doc_id is not null").distinct().orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n)
+def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", labelled: int = LABELLED, pool: int = POOL, max_bytes: int = MAX_BYTES) -> Model:
+    """A model of ``labels.quality`` from rows that are not held out, and of unlabelled ones. Without both classes it gives one score to all."""
     open_ = labels.filter(~held_out(F.col("doc_id")))
     rows, y, seen = [], [], set()
     for value in (0, 1):
-        for i, *d in _drawn(docs, by_hash(open_.filter(F.col(column) == value).select("doc_id"), LABELLED)):
+        for i, *d in _drawn(docs, open_.filter(F.col(column) == value), labelled, max_bytes):
             rows.append(tuple(d)), y.append(value), seen.add(i)
-    pool = [tuple(d) for i, *d in _drawn(docs, by_hash(docs.select("doc_id"), POOL)) if i not in seen]
-    return Model(rows, y, pool)
+    unlabelled = [tuple(d) for i, *d in _drawn(docs, None, pool, max_bytes) if i not in seen] if seen else []
+    return Model(rows, y, unlabelled)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (``text, lang, source``) plus ``quality_score``. Nulls are values like any other; a null text is empty."""
+    """``docs`` (``text, lang, source``) plus ``quality_score``. Nulls are values like any other; a null text is empty.
+
+    An input column of that name is replaced, other columns stay; an empty table gives an empty result. Texts of any length are read whole.
+    """
 
     @F.pandas_udf("double")
     def udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -348,23 +348,11 @@ def test_licenses(make):
     docs = [(1, "Code.\nReleased under the MIT License.\nMIT license, mit LICENSE"), (2, "All rights\nreserved."), (3, "reserved: ALL RIGHTS"), (4, "the mit\nlicense"), (5, "GNU General Public License version 3 of this work is licensed under the"), *((10 + k, d[1]) for k, d in enumerate(ODD))]
     got = {r["doc_id"]: r["license"] for r in licenses.scan(make(docs).withColumn("license", F.lit(1))).collect()}
     assert tuple(got[1]) == (10, 3, 4, 8, "mit", "mit", 1.0)
-    assert got[2]["labels"] == "" and got[3]["labels"] == "all-rights-reserved" and got[3]["base_labels"] == ""
+    assert got[2]["labels"] == "all-rights-reserved" and got[3]["labels"] == "all-rights-reserved" and got[3]["base_labels"] == ""
     assert got[4]["labels"] == "mit" and got[4]["first_word"] == 1 and got[5]["labels"] == "gpl"
     assert tuple(got[10]) == (0, 0, None, None, "", "", 0.0)
 
 
-def test_license_filters_lose_nothing():
-    r = random.Random(8)
-    vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in licenses.tokens(t.encode())})
-    for threshold in (0.5, 0.7, 0.9):
-        index = licenses.Index(licenses.TEMPLATES, {w: r.randrange(5) for w in vocabulary}, threshold)
-        for _ in range(200):
-            base = licenses.tokens(r.choice(licenses.TEMPLATES)[1].encode())
-            line = r.sample(base, r.randint(1, len(base))) + r.choices(vocabulary, k=3)
-            want = sorted((label, len(words & set(line)) / len(words)) for label, words, k in index.templates if len(words & set(line)) >= k)
-            assert sorted(index.find(b" ".join(line))) == want
-
-
 def test_license_query_finds_wrapped_notices(spark, make, tmp_path):
     bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\r\n\r\nof this software and associated documentation files (the Software)"
@@ -374,7 +362,7 @@ def test_license_query_finds_wrapped_notices(spark, make, tmp_path):
     assert got == {1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("all-rights-reserved", 1.0), 4: ("", 0.0), 5: ("", 0.0)}
 
 
-def test_license_windows_lose_nothing():
+def test_license_filters_lose_nothing():
     r = random.Random(9)
     vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in licenses.tokens(t.encode())})
     for threshold in (0.5, 0.7, 0.9):
@@ -383,9 +371,14 @@ def test_license_windows_lose_nothing():
             base = licenses.tokens(r.choice(licenses.TEMPLATES)[1].encode())
             body = r.choices(vocabulary, k=r.randint(0, 30)) + base[: r.randint(1, len(base))] + r.choices([*vocabulary, b"filler"], k=r.randint(0, 30))
             windows = [set(body[a : a + index.window]) for a in range(max(1, len(body) - index.window + 1))]
-            most = [(label, max(len(words & x) for x in windows), words, k) for label, words, k in index.templates]
-            want = sorted((label, both / len(words)) for label, both, words, k in most if both >= k)
-            assert sorted(index.find_wrapped(b" ".join(body), body)) == want
+            plain = [(label, set(licenses.tokens(t.encode()))) for label, t in licenses.TEMPLATES]
+            most = [(label, max(len(own & x) for x in windows), len(own)) for label, own in plain]
+            assert sorted(index.find(body)) == sorted((label, both / size) for label, both, size in most if both >= licenses.needed(size, threshold))
+        assert all(index.turned_away[f] > 0 for f in ("length", "position", "counted"))
+
+
+def test_licenses_of_an_empty_table(make):
+    assert licenses.scan(make([])).count() == 0
 
 
 # 10
