@@ -1,165 +1,159 @@
-"""Stupid-backoff scores against n-gram counts of the whole corpus.
-
-Each group of documents sends its distinct n-grams, as 64-bit hashes with their counts, to the
-partitions of the count tables; these add up the counts of all groups and answer each group in the
-order it asked. So a frequent n-gram costs one row of a group, however often it occurs.
-
-The query prunes nothing (cutoff 1). Counts of an order above two are asked only for n-grams whose
-both parts stand twice: any other stands exactly once, which needs no exchange. With a higher
-cutoff, n-grams of order two and more under it are pruned, and scores back off.
+"""Stupid-backoff scores against n-gram counts of the whole corpus, as a relational plan.
+
+With the corpus scored against itself and nothing pruned, the n-gram that ends at a word has a count at the
+longest order that the word's place allows, so a word scores log10 of count(n-gram) / count(context), and
+the first words of a document, which have fewer words before them, score at a lower order. Their ratios
+cancel but for the first whole context: a document's sum is the log-ratios of its n-grams of the highest
+order, and of the count of its first n-gram to the number of all words.
+
+1. Documents are exploded to one row an n-gram: hash of the context, hash of the word, id of the document.
+   A document's last context has a row without a word, since it counts as a context too.
+2. Rows are partitioned by the hash of the context. The count tables lie there as windowed sums over
+   the exploded rows themselves, so that joining both moves nothing.
+3. The log-ratios are added up for each document, within the partitions and then between them.
+
+A context with over ``1 / HEAVY`` of the rows is dealt out by its next word, and an n-gram that frequent by its
+document. Their counts, a bounded table, come from an aggregate that adds up before it shuffles. A sample of documents
+says which they are, which decides the route of a row and no result.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import U64, Tokens, grouped_texts, materialise, n_groups, table, word_count
+from .common import WORD, materialise, table
 
 ORDER = 3
-CUTOFF = 2
 BACKOFF = 0.4
-GROUP_BYTES = 8 << 20
-_ASK = "part int, g int, k int, hashes binary, counts binary"
-_ANSWER = "g int, k int, part int, counts binary"
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, all first bytes first: planes of zeros compress to nothing."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def _unplanes(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> U64(32)) * U64(parts)) >> U64(32)
-
-
-class _Group:
-    """A group's n-grams of each order, and their counts in the corpus as far as known."""
-
-    def __init__(self, docs: pd.DataFrame, cutoff: int):
-        self.t = Tokens(docs, lower=True)
-        self.cutoff = cutoff
-        self.total: dict[int, np.ndarray] = {}
-
-    def ask(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions asked for, sorted distinct hashes, the place of each position among them, and counts."""
-        at = self.t.fits(k)
-        if k > 2:
-            below = self.total[k - 1]
-            least = max(2, self.cutoff)
-            at = at[(below[at] >= least) & (below[at + 1] >= least)]
-        h = self.t.grams(k)[at] if len(at) else np.zeros(0, U64)
-        unique, where, n = np.unique(h, return_inverse=True, return_counts=True)
-        return at, unique, where, n
-
-    def hear(self, answers: pd.DataFrame, k: int) -> None:
-        at, unique, where, _ = self.ask(k)
-        self.total[k] = np.zeros(self.t.n + 1, np.int64)
-        if self.cutoff == 1:
-            # What is not asked for holds a part that stands once, and so stands once itself.
-            self.total[k][self.t.fits(k)] = 1
-        own = answers[answers["k"] == k].sort_values("part")
-        if len(own):
-            self.total[k][at] = np.concatenate([_unplanes(b, np.uint32) for b in own["counts"]])[where]
-
-    def rows(self, g: int, k: int, parts: int) -> pd.DataFrame:
-        _, h, _, n = self.ask(k)
-        p = _part(h, parts)
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [len(p)]]) if len(p) else [0]
-        out = [(int(p[a]), g, k, _planes(np.diff(h[a:b], prepend=U64(0))), _planes(n[a:b].astype(np.uint32))) for a, b in zip(cut, cut[1:])]
-        return pd.DataFrame(out, columns=["part", "g", "k", "hashes", "counts"]).astype({"part": "int32", "g": "int32", "k": "int32"})
-
-
-def _first(parts: int, order: int, cutoff: int):
-    def ask(key, docs: pd.DataFrame) -> pd.DataFrame:
-        group = _Group(docs, cutoff)
-        return pd.concat([group.rows(key[0], k, parts) for k in range(1, min(2, order) + 1)])
-
-    return ask
-
-
-def _next(parts: int, k: int, cutoff: int):
-    def ask(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        group = _Group(docs, cutoff)
-        for below in range(2, k):
-            group.hear(answers, below)
-        return group.rows(key[0], k, parts)
-
-    return ask
-
-
-def _count(cutoff: int):
-    def count(key, asked: pd.DataFrame) -> pd.DataFrame:
-        """The table of one partition and order, and each group's answer: 0 for what is pruned."""
-        each = [np.cumsum(_unplanes(b, U64), dtype=U64) for b in asked["hashes"]]
-        unique, where = np.unique(np.concatenate(each), return_inverse=True)
-        total = np.zeros(len(unique), np.int64)
-        np.add.at(total, where, np.concatenate([_unplanes(b, np.uint32) for b in asked["counts"]]))
-        if key[1] > 1:
-            total[total < cutoff] = 0
-        ends = np.cumsum([len(h) for h in each])
-        answer = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)[where]
-        return asked.assign(counts=[_planes(answer[b - len(h) : b]) for h, b in zip(each, ends)])[["g", "k", "part", "counts"]]
-
-    return count
-
-
-def _score(order: int, words: int, cutoff: int):
-    def score(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        group = _Group(docs, cutoff)
-        t = group.t
-        for k in range(1, order + 1):
-            group.hear(answers, k)
-        n = t.n
-        place = np.arange(n) - t.starts[t.doc] if n else np.zeros(0, np.int64)
-        value, level = np.zeros(n), np.zeros(n, np.int64)
-        for k in range(order, 0, -1):
-            # The n-gram that ends at each word starts k - 1 words before it.
-            i = np.flatnonzero((level == 0) & (place >= k - 1))
-            if k > 1:
-                i = i[group.total[k][i - k + 1] > 0]
-            level[i] = k
-            below = group.total[k - 1][i - k + 1] if k > 1 else np.full(len(i), words)
-            backed_off = np.minimum(place[i] + 1, order) - k
-            value[i] = np.log10(group.total[k][i - k + 1] / below) + backed_off * np.log10(BACKOFF)
-        rows = []
-        levels = [np.concatenate([[0], np.cumsum(level == k)]) for k in range(1, order + 1)]
-        for j, (a, b) in enumerate(zip(t.starts, t.ends)):
-            total = float(value[a:b].sum())
-            rows.append((None if t.null[j] else int(t.ids[j]), int(b - a), [int(x[b] - x[a]) for x in levels], total, total / (b - a) if b > a else None))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_by_order", "log10_prob", "score"]).astype({"doc_id": "Int64", "score": "Float64"})
-
-    return score
-
-
-def backoff_scores(docs: DataFrame, order: int = ORDER, group_bytes: int = GROUP_BYTES, cutoff: int = CUTOFF) -> DataFrame:
-    """``doc_id, n_words, n_by_order, log10_prob, score`` of every row of ``docs(doc_id, text)``.
+#: A key with this part of the sampled rows, and LEAST_HEAVY of them, takes a route of its own: at most HEAVY keys.
+HEAVY, LEAST_HEAVY, SAMPLED = 2048, 64, 64
+#: Parts that a frequent context is dealt out to.
+SPREAD = 64
+
+
+def lower_ascii(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def word_hashes(text: Column) -> Column:
+    """64-bit hashes of the words; a null text has none."""
+    return F.coalesce(F.transform(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)), F.array().cast("array<long>"))
+
+
+def _gram(h: Column, at: Column, k: int) -> Column:
+    """Hash of ``k`` words from ``at`` (from 0) on."""
+    return F.xxhash64(*(F.get(h, at + j) for j in range(k)))
+
+
+def exploded(docs: DataFrame, order: int) -> DataFrame:
+    """``doc, alt, ctx, word, first`` of every n-gram of order ``order``; ``word`` is null behind the last context of a document."""
+
+    def grams(h: Column) -> Column:
+        n = F.size(h) - (order - 2)  # places of a context
+        row = lambda i: F.struct(_gram(h, i, order - 1).alias("ctx"), F.get(h, i + order - 1).alias("word"), (i == 0).alias("first"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), row))
+
+    # The inner array binds the hashes once a document.
+    rows = F.flatten(F.transform(F.array(word_hashes(F.col("text"))), grams))
+    return docs.select("doc", "alt", F.inline(rows))
+
+
+def low_counts(docs: DataFrame, order: int, contexts: list[int], grams: list[tuple[int, int]]) -> DataFrame:
+    """``k, h, h2, n``: counts of all n-grams under order ``order - 1``, and of the frequent contexts and n-grams asked for (k = 0 and -1)."""
+
+    def low_grams(h: Column, k: int) -> Column:
+        n = F.size(h) - (k - 1)
+        row = lambda i: F.struct(F.lit(k).alias("k"), (F.get(h, i) if k == 1 else _gram(h, i, k)).alias("h"), F.lit(None).cast("long").alias("h2"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), row))
+
+    every = lambda h: F.flatten(F.filter(F.array(*(low_grams(h, k) for k in range(1, max(2, order - 1)))), lambda a: a.isNotNull()))
+    low = docs.select(F.inline(F.flatten(F.transform(F.array(word_hashes(F.col("text"))), every))))
+    if contexts:  # both lists are short
+        spark = docs.sparkSession
+        e = exploded(docs, order).select("ctx", "word").join(F.broadcast(spark.createDataFrame([(c,) for c in contexts], "ctx long")), "ctx")
+        low = low.unionByName(e.select(F.lit(0).alias("k"), F.col("ctx").alias("h"), F.lit(None).cast("long").alias("h2")))
+        if grams:
+            e = e.join(F.broadcast(spark.createDataFrame(grams, "ctx long, word long")), ["ctx", "word"])
+            low = low.unionByName(e.select(F.lit(-1).alias("k"), F.col("ctx").alias("h"), F.col("word").alias("h2")))
+    return low.groupBy("k", "h", "h2").agg(F.count("*").alias("n"))
+
+
+def frequent(docs: DataFrame, order: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Contexts, and n-grams of these, that a sample of documents shows to be frequent: at most HEAVY of each."""
+    part = docs.filter(F.pmod(F.xxhash64("doc", "alt"), F.lit(SAMPLED)) == 0)
+    by_gram = materialise(exploded(part, order).groupBy("ctx", "word").agg(F.count("*").alias("n")))
+    total = by_gram.agg(F.sum("n")).first()[0] or 0
+    least = max(LEAST_HEAVY, -(-total // HEAVY))
+    contexts = [r[0] for r in by_gram.groupBy("ctx").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("ctx").collect()]
+    grams = [(r[0], r[1]) for r in by_gram.filter((F.col("n") >= least) & F.col("word").isNotNull()).select("ctx", "word").collect()]
+    return sorted(contexts), sorted(grams)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc, alt, text``: ``doc_id`` and, only where an id is null or repeated, a hash that tells its texts apart. Rows with equal keys are equal."""
+    again = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("again"), F.lit(True).alias("is_again")))
+    j = docs.select("doc_id", "text").join(again, F.col("doc_id").eqNullSafe(F.col("again")), "left")
+    alt = F.when(F.col("is_again"), F.xxhash64(F.col("doc_id").isNull(), "text")).otherwise(F.lit(0))
+    return j.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), alt.alias("alt"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+
+
+def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``doc_id, n_words, n_by_order, log10_prob, score`` of every row of ``docs(doc_id, text)``; ``order`` is 2 or more.
 
     ``n_by_order`` counts the words scored at each order, ``log10_prob`` sums the words' log10 scores
     and ``score`` is their mean (null without words). ASCII letters are lower-cased. The corpus is
-    ``docs`` itself, repeated rows included; null texts have no words. N-grams of order two and more
-    that stand fewer than ``cutoff`` times are pruned; 1 prunes none.
+    ``docs`` itself, repeated rows included, and no n-gram is pruned, whatever its count; so no word has to
+    back off (the factor would be ``BACKOFF``) but those at the start of a document, which have no longer n-gram.
+    Null and empty texts have no words; an empty table gives an empty result; texts of any length are read whole; other
+    columns of the input are left out.
     """
-    n = n_groups(docs, group_bytes)
-    words = docs.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
-    by_g = grouped_texts(docs, n).groupBy("g")
-    answers = materialise(by_g.applyInPandas(_first(n, order, cutoff), _ASK).groupBy("part", "k").applyInPandas(_count(cutoff), _ANSWER))
-    for k in range(3, order + 1):
-        asked = by_g.cogroup(answers.groupBy("g")).applyInPandas(_next(n, k, cutoff), _ASK)
-        answers = answers.union(materialise(asked.groupBy("part", "k").applyInPandas(_count(cutoff), _ANSWER)))
-    return by_g.cogroup(answers.groupBy("g")).applyInPandas(_score(order, words, cutoff), "doc_id long, n_words long, n_by_order array<long>, log10_prob double, score double")
+    docs = keyed(docs)
+    contexts, grams = frequent(docs, order)
+    low = materialise(low_counts(docs, order, contexts, grams))
+    total = low.filter("k = 1").agg(F.sum("n")).first()[0] or 0
+
+    e = exploded(docs, order)
+    salt: Column = F.lit(0)
+    c2 = c3 = F.lit(None).cast("long")
+    if contexts:  # at most HEAVY rows each
+        hot2 = low.filter("k = 0").select(F.col("h").alias("ctx"), F.col("n").alias("hot2"))
+        hot3 = low.filter("k = -1").select(F.col("h").alias("ctx"), F.col("h2").alias("word"), F.col("n").alias("hot3"))
+        e = e.join(F.broadcast(hot2), "ctx", "left").join(F.broadcast(hot3), ["ctx", "word"], "left")
+        c2, c3 = F.col("hot2"), F.col("hot3")
+        # Salts of their own keep the three kinds of rows apart.
+        salt = F.when(c3.isNotNull(), F.lit(-1)).when(c2.isNotNull(), 1 + F.pmod(F.coalesce("word", F.lit(0)), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
+        e = e.withColumn("salt", salt).withColumn("ctx", F.when(F.col("salt") == -1, F.xxhash64("doc", "alt")).otherwise(F.col("ctx")))
+    else:
+        e = e.withColumn("salt", salt)
+    n3 = F.coalesce(c3, F.count("*").over(Window.partitionBy("ctx", "salt", "word")))
+    e = e.withColumn("n3", n3)
+    e = e.withColumn("n2", F.coalesce(c2, F.count("*").over(Window.partitionBy("ctx", "salt"))))
+    # The first context is there for all words before it.
+    ratio = F.when(F.col("word").isNotNull(), F.log10(F.col("n3") / F.col("n2"))).otherwise(F.lit(0.0))
+    ratio = ratio + F.when(F.col("first"), F.log10(F.col("n2") / F.lit(float(max(total, 1))))).otherwise(F.lit(0.0))
+    sums = e.groupBy("doc", "alt").agg(F.sum(ratio).alias("sum"))
+
+    # Documents too short for a context, as one n-gram.
+    h = word_hashes(F.col("text"))
+    rows = docs.withColumn("h", F.transform(F.array(h), lambda x: F.struct(F.size(x).alias("n"), F.when(F.size(x) < order - 1, x).alias("short")))[0]).select("doc", "alt", "doc_id", F.col("h.n").alias("n_words"), F.col("h.short").alias("short"))
+    rows = rows.groupBy("doc", "alt", "doc_id", "n_words", "short").agg(F.count("*").alias("times"))
+    key = F.coalesce(*(F.when(F.col("n_words") == k, F.get("short", F.lit(0)) if k == 1 else _gram(F.col("short"), F.lit(0), k)) for k in range(1, max(2, order - 1))))
+    short = rows.filter((F.col("n_words") > 0) & (F.col("n_words") < order - 1)).withColumn("h", key)
+    counts = low.filter("k > 0").select(F.col("k").alias("n_words"), "h", F.col("n").alias("c"))
+    short = short.join(counts, ["n_words", "h"]).select("doc", "alt", (F.log10(F.col("c") / F.lit(float(max(total, 1)))) * F.col("times")).alias("sum"))
+    out = rows.join(sums.unionByName(short), ["doc", "alt"], "left")
+    n = F.col("n_words")
+    by_order = F.array(*(F.least(F.lit(1), F.greatest(n - (k - 1), F.lit(0))).cast("long") for k in range(1, order)), F.greatest(n - (order - 1), F.lit(0)).cast("long"))
+    prob = F.coalesce(F.col("sum") / F.col("times"), F.lit(0.0))
+    out = out.select("doc_id", n.cast("long").alias("n_words"), by_order.alias("n_by_order"), prob.alias("log10_prob"), F.when(n > 0, prob / n).alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"))
+    return out.drop("copy")
 
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document against the counts of all n-grams of all documents, none pruned."""
-    out = backoff_scores(table(spark, sf_dir, "documents"), cutoff=1)
+    out = backoff_scores(table(spark, sf_dir, "documents"))
     by = F.col("n_by_order")
     return out.select("doc_id", "n_words", *(by[k].alias(f"n_order{k + 1}") for k in range(ORDER)), F.round("log10_prob", 4).alias("log10_prob"), F.round("score", 6).alias("score"))
 
@@ -170,8 +164,8 @@ WITH d AS (
 ), t AS (
   SELECT doc_id, i, w, lag(w) OVER o AS w1, lag(w, 2) OVER o AS w2 FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d) WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), u AS (SELECT w, count(*) AS c FROM t GROUP BY w
-), b AS (SELECT w1, w, count(*) AS c FROM t WHERE i > 1 GROUP BY w1, w HAVING count(*) >= {CUTOFF}
-), g AS (SELECT w2, w1, w, count(*) AS c FROM t WHERE i > 2 GROUP BY w2, w1, w HAVING count(*) >= {CUTOFF}
+), b AS (SELECT w1, w, count(*) AS c FROM t WHERE i > 1 GROUP BY w1, w
+), g AS (SELECT w2, w1, w, count(*) AS c FROM t WHERE i > 2 GROUP BY w2, w1, w
 ), s AS (
   SELECT t.doc_id, CASE WHEN g.c > 0 THEN 3 WHEN b.c > 0 THEN 2 ELSE 1 END AS k,
          CASE WHEN g.c > 0 THEN log10(g.c / CAST(b2.c AS DOUBLE))

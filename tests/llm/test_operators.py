@@ -384,36 +384,6 @@ def test_licenses_of_an_empty_table(make):
 # 10
 
 
-def plain_backoff(docs, order=3):
-    grams = Counter()
-    toks = [words((t or "").lower()) for _, t in docs]
-    for x in toks:
-        for k in range(1, order + 1):
-            grams.update(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
-    n = sum(map(len, toks))
-    kept = {g: c for g, c in grams.items() if len(g) == 1 or c >= 2}
-    out = []
-    for (i, _), x in zip(docs, toks):
-        levels, total = [0] * order, 0.0
-        for j in range(len(x)):
-            top = k = min(j + 1, order)
-            while tuple(x[j - k + 1 : j + 1]) not in kept:
-                k -= 1
-            g = tuple(x[j - k + 1 : j + 1])
-            total += np.log10(kept[g] / (kept[g[:-1]] if k > 1 else n)) + (top - k) * np.log10(0.4)
-            levels[k - 1] += 1
-        out.append((i, len(x), levels, round(float(total), 6)))
-    return sorted(out, key=repr)
-
-
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_backoff_against_dictionaries(make, order):
-    docs = [(i, prose(i % 40, 50, 30)) for i in range(60)] + [(i, t) for i, t, _ in ODD]
-    got = language_model.backoff_scores(make(docs), order=order, group_bytes=500)
-    assert rows(got.select("doc_id", "n_words", "n_by_order", F.round("log10_prob", 6))) == plain_backoff(docs, order)
-    assert language_model.backoff_scores(make([])).count() == 0
-
-
 def every_gram_backoff(docs, order=3):
     """Scores against the counts of all n-grams, those that stand once included."""
     toks = [words((t or "").lower()) for _, t in docs]
@@ -431,13 +401,23 @@ def every_gram_backoff(docs, order=3):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("order", [1, 3, 4])
-def test_backoff_without_pruning_counts_every_gram(make, order):
-    docs = [(i, prose(i % 40, 50, 30)) for i in range(60)] + [(i, t) for i, t, _ in ODD]
-    got = language_model.backoff_scores(make(docs), order=order, group_bytes=500, cutoff=1)
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("heavy", [False, True])
+def test_backoff_against_dictionaries(make, monkeypatch, order, heavy):
+    if heavy:  # nearly every key takes the route of frequent ones
+        monkeypatch.setattr(language_model, "HEAVY", 300)
+        monkeypatch.setattr(language_model, "LEAST_HEAVY", 2)
+        monkeypatch.setattr(language_model, "SAMPLED", 1)
+    docs = [(i, prose(i % 40, 50, 30 if i % 2 else 4)) for i in range(60)] + [(i, t) for i, t, _ in ODD]
+    assert not heavy or all(language_model.frequent(language_model.keyed(make(docs)), order))
+    got = language_model.backoff_scores(make(docs), order=order)
     assert rows(got.select("doc_id", "n_words", "n_by_order", F.round("log10_prob", 6))) == every_gram_backoff(docs, order)
 
 
+def test_backoff_of_an_empty_table(make):
+    assert language_model.backoff_scores(make([])).count() == 0
+
+
 def test_backoff_query_prunes_nothing(spark, make, tmp_path):
     docs = [(1, "a b c a b d"), (2, "a b c e"), (3, "solo words once")]
     make(docs).write.parquet(str(tmp_path / "documents.parquet"))
