@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosemill.operators.scratch import written
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder: its lineage ends there."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "prosemill-checkpoints")
-    path = f"{at.rstrip('/')}/prosemill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def minhash(sh: Column, hashes: int = 128, seed: int = 1) -> Column:
+    """Least value of the hashed shingles under each of ``hashes`` random linear maps of 64 bits; all the largest value for no shingles.
 
-def minhash(sh: Column, hashes: int = 128) -> Column:
-    """Least salted hash of the shingles for each seed; empty for no shingles."""
-    return F.when(F.size(sh) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda k: F.array_min(F.transform(sh, lambda x: F.xxhash64(x, k)))))
+    ``sh`` is an array of 64-bit hashes. One Arrow batch is a few numpy calls, where a lambda would run once a shingle and seed.
+    """
+    r = np.random.default_rng(seed)
+    a, b = r.integers(0, 1 << 63, hashes, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, hashes, np.uint64)
+
+    @F.pandas_udf("array<long>")
+    def signature(rows: pd.Series) -> pd.Series:
+        out = []
+        for x in rows:
+            least = np.full(hashes, np.iinfo(np.uint64).max)
+            x = np.zeros(0, np.uint64) if x is None else np.asarray(x, np.int64).view(np.uint64)
+            for at in range(0, len(x), 1 << 14):
+                with np.errstate(over="ignore"):
+                    # The high half of a product is mixed best, so it goes first.
+                    y = x[None, at : at + (1 << 14)] * a[:, None] + b[:, None]
+                    y = (y >> np.uint64(32)) | (y << np.uint64(32))
+                least = np.minimum(least, y.min(axis=1))
+            out.append(least.view(np.int64))
+        return pd.Series(out, dtype=object)
+
+    return signature(sh)
 
 
 def minhash_md5(sh: Column, hashes: int = 16) -> Column:
@@ -38,45 +50,64 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def lsh_pairs(signatures: DataFrame, bands: int = 32, least: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """``a, b, estimate`` of pairs that share a band and reach the estimate.
+    """``a, b, estimate`` of pairs of signatures ``sig`` that share a band and reach the estimate.
 
-    Equal signatures are one class while pairs are made, so that copies do not multiply, and are
-    paired again only in the result.
+    Equal signatures are one class, and pairs are those of the classes' least keys, so that copies do not multiply.
     """
-    classes = signatures.groupBy("sig").agg(F.min(key).alias("rep"))
+    classes = written(signatures.groupBy("sig").agg(F.min(key).alias("rep")))
     k = F.size("sig") / bands
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("sig", (i * k).cast("int") + 1, k.cast("int"))).alias("h")))
-    keyed = classes.select("rep", "sig", F.explode(band).alias("b")).select("rep", "sig", "b.i", "b.h")
-    x, y = keyed.select("i", "h", F.col("rep").alias("ra"), F.col("sig").alias("sa")), keyed.select("i", "h", F.col("rep").alias("rb"), F.col("sig").alias("sb"))
-    reps = x.join(y, ["i", "h"]).filter("ra < rb").select("ra", "rb", estimate(F.col("sa"), F.col("sb")).alias("estimate")).filter(F.col("estimate") >= least).distinct()
-    reps = reps.union(classes.select("rep", F.col("rep"), F.lit(1.0)))
-    members = signatures.join(classes, "sig").select("rep", key)
-    left, right = members.select(F.col("rep").alias("ra"), F.col(key).alias("ka")), members.select(F.col("rep").alias("rb"), F.col(key).alias("kb"))
-    every = reps.join(left, "ra").join(right, "rb").filter("(ra = rb and ka < kb) or ra < rb")
-    return every.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "estimate")
+    # Only the keys meet in a band; signatures are joined to the distinct pairs.
+    keyed = classes.select("rep", F.explode(band).alias("b")).select("rep", "b.i", "b.h")
+    x, y = keyed.withColumnRenamed("rep", "ra"), keyed.withColumnRenamed("rep", "rb")
+    close = x.join(y, ["i", "h"]).filter("ra < rb").select("ra", "rb").distinct()
+    side = lambda r, s: classes.select(F.col("rep").alias(r), F.col("sig").alias(s))
+    scored = close.join(side("ra", "sa"), "ra").join(side("rb", "sb"), "rb")
+    return scored.select(F.col("ra").alias("a"), F.col("rb").alias("b"), estimate(F.col("sa"), F.col("sb")).alias("estimate")).filter(F.col("estimate") >= least)
+
+
+def set_classes(sets: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, rep`` of every row whose set ``sh`` is not empty: equal sets have one ``rep``, their least key."""
+    known = sets.filter(F.size("sh") > 0).select(key, F.array_sort(F.array_distinct(F.transform("sh", lambda x: F.xxhash64(x)))).alias("sh"))
+    hashed = known.select(key, F.xxhash64("sh").alias("h"), F.hash("sh").alias("h2"))
+    return hashed.join(hashed.groupBy("h", "h2").agg(F.min(key).alias("rep")), ["h", "h2"]).select(key, "rep")
 
 
 def jaccard_pairs(sets: DataFrame, least: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """``a, b, jaccard`` of all pairs of sets ``sh`` with at least that similarity, exactly.
+    """``a, b, jaccard`` of all pairs of different sets ``sh`` with at least that similarity, exactly; each class of equal sets stands as its least key (``set_classes``).
 
-    Prefix filter: elements are ordered by a hash, and two sets this similar share one of the
-    first ``n - ceil(least * n) + 1`` of each. Equal sets are one class while pairs are made.
+    Elements are ordered by their count over all classes, rarest first. Two sets this similar share one of the first
+    ``n - ceil(least * n) + 1`` elements of each (prefix filter), their sizes are alike (length filter), and behind a
+    shared element enough are left on both sides (positional filter).
     """
-    known = sets.filter(F.size("sh") > 0).select(key, F.array_sort(F.transform("sh", lambda x: F.xxhash64(x))).alias("sh"))
-    known = known.select(key, F.array_distinct("sh").alias("sh")).withColumn("c", F.md5(F.to_json(F.struct("sh")).cast("binary")))
-    classes = known.groupBy("c").agg(F.min(key).alias("rep"), F.first("sh").alias("sh"))
-    n = F.size("sh")
-    token = classes.select("rep", n.alias("n"), F.explode(F.slice("sh", 1, (n - F.ceil(n * least) + 1).cast("int"))).alias("x"))
-    a, b = token.select("x", F.col("rep").alias("ra"), F.col("n").alias("na")), token.select("x", F.col("rep").alias("rb"), F.col("n").alias("nb"))
-    close = a.join(b, "x").filter("ra < rb").filter((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("ra", "rb").distinct()
-    body = lambda r, s: classes.select(F.col("rep").alias(r), F.col("sh").alias(s))
+    rep = written(set_classes(sets, key))
+    body = sets.join(rep.filter(F.col(key) == F.col("rep")), key).select("rep", F.array_distinct(F.transform("sh", lambda x: F.xxhash64(x))).alias("sh"))
+    body = written(body)
+    token = body.select("rep", F.explode("sh").alias("x"))
+    often = token.groupBy("x").agg(F.count("*").alias("m"))
+    # A set's own element that no other set has can open no pair; in the order it comes first all the same, and so shortens the prefix.
+    ordered = token.join(often, "x").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("m", "x"))).alias("o"))
+    n = F.size("o")
+    prefix = ordered.select("rep", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), (n - F.ceil(n * least) + 1).cast("int"))).alias("i", "e")).filter("e.m > 1").select(F.col("e.x").alias("x"), "rep", "n", "i")
+    a, b = (prefix.select("x", F.col("rep").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("i").alias(f"i{s}")) for s in "ab")
+    needed = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
+    reach = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    close = a.join(b, "x").filter("ra < rb").filter((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")) & (reach >= needed)).select("ra", "rb").distinct()
+    side = lambda r, s: body.select(F.col("rep").alias(r), F.col("sh").alias(s))
     both = F.size(F.array_intersect("sa", "sb"))
-    scored = close.join(body("ra", "sa"), "ra").join(body("rb", "sb"), "rb").select("ra", "rb", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).filter(F.col("jaccard") >= least)
-    reps = scored.union(classes.select("rep", F.col("rep"), F.lit(1.0)))
-    members = known.join(classes.select("c", "rep"), "c").select("rep", key)
-    left, right = members.select(F.col("rep").alias("ra"), F.col(key).alias("ka")), members.select(F.col("rep").alias("rb"), F.col(key).alias("kb"))
-    every = reps.join(left, "ra").join(right, "rb").filter("(ra = rb and ka < kb) or ra < rb")
-    return every.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "jaccard")
+    scored = close.join(side("ra", "sa"), "ra").join(side("rb", "sb"), "rb").select("ra", "rb", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
+    return scored.filter(F.col("jaccard") >= least).select(F.col("ra").alias("a"), F.col("rb").alias("b"), "jaccard")
+
+
+def near_first_wins(sets: DataFrame, least: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """``key, rep, kept`` of every row: whether a scan in order keeps it, if it drops each row whose set is as similar to that of a kept earlier one.
+
+    Only a class's first row can stay: the others equal it, or what it was dropped for. Empty sets resemble nothing and stay.
+    """
+    rep = written(set_classes(sets, key))
+    stay = first_wins(rep.filter(F.col(key) == F.col("rep")).select(key), jaccard_pairs(sets, least, key), key).withColumn("stays", F.lit(True))
+    known = sets.select(key).join(rep, key, "left").join(stay, key, "left")
+    return known.select(key, F.coalesce("rep", key).alias("rep"), (F.col("rep").isNull() | F.coalesce("stays", F.lit(False))).alias("kept"))
 
 
 def first_wins(nodes: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -26,6 +26,20 @@ def at_index(df: DataFrame, keys: list[str], value: str, index: Callable[[Column
     return inside.filter("_end > _rest AND _end - _n <= _rest").select(*keys, F.col("_v").alias(out))
 
 
+def log_bin(value: Column) -> Column:
+    """At most some thousands of bins for numbers of any size, growing with the value: 64 to each doubling of its distance from 0."""
+    return F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * 64)
+
+
+def quantile(df: DataFrame, keys: list[str], value: str, share: float, out: str) -> DataFrame:
+    """``keys, out``: the linearly interpolated quantile of each key's values, from the values at the two places around it."""
+    place = lambda n: (n - 1) * F.lit(share)
+    at = lambda f, name: at_index(df, keys, value, f, log_bin(F.col(value)), name)
+    n = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
+    both = at(lambda n: F.floor(place(n)), "_lo").join(at(lambda n: F.ceil(place(n)), "_hi"), keys).join(n, keys)
+    return both.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (place(F.col("_n")) - F.floor(place(F.col("_n"))))).alias(out))
+
+
 def sentences_with_offsets(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, nth, sentence, start, end`` of a running text, line breaks included: offsets in code points, ``end`` without trailing white space but for the last sentence, which ends with the text.
 

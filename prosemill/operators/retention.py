@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as X
-from prosemill.operators.dedup import written
+from prosemill.operators.scratch import written
 
 
 def hits(sentences: DataFrame, words: DataFrame, order=("doc_id", "sent_no"), extra=()) -> DataFrame:
@@ -27,10 +27,22 @@ def coverage_capped(sentences: DataFrame, words: DataFrame, cap: int, order=("do
     return sentences.join(chosen, list(order), "left_semi")
 
 
+def running(df: DataFrame, by: str, order: str, value: Column | str, out: str) -> DataFrame:
+    """``df`` plus ``out``: the sum of ``value`` over the earlier rows of the same ``by``, in the order of ``order``.
+
+    Range partitions are written, summed a group each, and these few sums are added up; so a group of any size is spread over the cluster.
+    """
+    parts = written(df.repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("part", F.spark_partition_id()).withColumn("value", F.col(value) if isinstance(value, str) else value))
+    sums = parts.groupBy(F.col(by).alias("group"), F.col("part").alias("in_part")).agg(F.sum("value").alias("sum"))
+    start = sums.select("group", "in_part", F.coalesce(F.sum("sum").over(Window.partitionBy("group").orderBy("in_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    inner = F.coalesce(F.sum("value").over(Window.partitionBy("part", by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.withColumn("inner", inner).join(start, F.col(by).eqNullSafe(F.col("group")) & (F.col("part") == F.col("in_part")))
+    return placed.select(*df.columns, (F.col("start") + F.col("inner")).alias(out))
+
+
 def within_budget(df: DataFrame, by: str, order: str, size: str, budget: int) -> DataFrame:
     """Rows of each group until their running size reaches the budget, the row that crosses it included."""
-    before = F.sum(size).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("before", F.coalesce(before, F.lit(0))).filter((F.col("before") < budget)).drop("before")
+    return running(df, by, order, size, "before").filter(F.col("before") < budget).drop("before")
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
@@ -44,5 +56,5 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
 
 def interleave(df: DataFrame, by: str, order: str, run: int = 25) -> DataFrame:
     """``df`` plus ``pos``: ``run`` rows of each group in turn; groups that have ended drop out."""
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return numbered(df.withColumn("nth", nth).withColumn("turn", F.floor(F.col("nth") / run)), ["turn", by, "nth"]).drop("nth", "turn")
+    nth = running(df, by, order, F.lit(1), "nth")
+    return numbered(nth.withColumn("turn", F.floor(F.col("nth") / run)), ["turn", by, "nth"]).drop("nth", "turn")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prosemill.functions import text as X
 from prosemill.operators import dedup, retention
 from prosemill.plans.registry import query, table
-from prosemill.plans.text_queries import CAP, HIGH, LOW, RATES, REASON, SENTENCES, W, band, counts, docs, first_of_key, good_sentences, spread
+from prosemill.plans.text_queries import CAP, HIGH, LOW, PLAIN, RATES, REASON, SENTENCES, SHINGLES, W, band, counts, docs, first_of_key, good_sentences, spread
 
 
 
@@ -18,55 +18,82 @@ def exact_dedup(s, d):
     return first_of_key(good_sentences(docs(s, d))).select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), "sentence")
 
 
-SHINGLED = f"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS w FROM documents WHERE lang = 'en'),
-sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0))"""
+def shingled(s, d) -> DataFrame:
+    """Shingles of all documents. Written, since a filter pushed below the words' column would put their extraction into the lambdas."""
+    return dedup.written(spread(docs(s, d).select("doc_id", "text")).select("doc_id", X.plain_tokens(F.col("text")).alias("w")).select("doc_id", X.shingles(F.col("w")).alias("sh")))
 
 
-def shingled(s, d, rows: str = "lang = 'en'") -> DataFrame:
-    """Shingles of the documents that ``rows`` asks for. Written, since a filter pushed below the words' column would put their extraction into the lambdas."""
-    return dedup.written(spread(docs(s, d).filter(rows).select("doc_id", "text")).select("doc_id", X.words(F.col("text")).alias("w")).select("doc_id", X.shingles(F.col("w")).alias("sh")))
-
-
-@query(f"WITH {SHINGLED}, s AS (SELECT unnest(range(0, 8)) AS seed) SELECT doc_id, CAST(seed AS INT) AS seed, min(md5(seed || ':' || x)) AS least FROM sh, s GROUP BY doc_id, seed")
+@query(f"WITH {SHINGLES}, s AS (SELECT unnest(range(0, 8)) AS seed) SELECT doc_id, CAST(seed AS INT) AS seed, min(md5(seed || ':' || x)) AS least FROM sh, s GROUP BY doc_id, seed")
 def minhash_signature(s, d):
+    """Eight hashes of the kind that SQL has too; ``lsh_pairs`` takes 128 of a faster kind."""
     sig = shingled(s, d).select("doc_id", dedup.minhash_md5(F.col("sh"), 8).alias("sig")).filter(F.size("sig") > 0)
     return sig.select("doc_id", F.posexplode("sig").alias("seed", "least"))
 
 
-@query(
-    f"""WITH {SHINGLED}, s AS (SELECT unnest(range(0, 8)) AS seed), m AS (SELECT doc_id, seed, min(md5(seed || ':' || x)) AS least FROM sh, s GROUP BY doc_id, seed)
-SELECT a.doc_id AS a, b.doc_id AS b, count(*) / 8.0 AS estimate FROM m a JOIN m b ON a.seed = b.seed AND a.least = b.least AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 7"""
-)
+@query()
 def lsh_pairs(s, d):
-    """Pairs that share a band of one row and agree in seven of eight hashes; one-row bands lose no such pair."""
-    sig = shingled(s, d).select("doc_id", dedup.minhash_md5(F.col("sh"), 8).alias("sig")).filter(F.size("sig") > 0)
-    return dedup.lsh_pairs(sig, bands=2, least=7 / 8).select("a", "b", F.col("estimate").cast("double").alias("estimate"))
+    """Pairs of distinct signatures of 128 hashes that share one of 32 bands of four and agree in 0.8 of all; the tests hold them against the exact pairs."""
+    hashed = shingled(s, d).filter(F.size("sh") > 0).select("doc_id", F.transform("sh", lambda x: F.xxhash64(x)).alias("sh"))
+    return dedup.lsh_pairs(hashed.select("doc_id", dedup.minhash(F.col("sh")).alias("sig")))
 
 
-@query(
-    f"""WITH {SHINGLED}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a, b, round(shared / (na.n + nb.n - shared), 6) AS jaccard FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE shared / (na.n + nb.n - shared) >= 0.8"""
-)
+SETS = f"""{SHINGLES}, sets AS (SELECT doc_id, list(x ORDER BY x) AS xs FROM sh GROUP BY doc_id), cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY xs) AS rep FROM sets),
+reps AS (SELECT doc_id, x, count(*) OVER (PARTITION BY doc_id) AS n FROM sh JOIN cls USING (doc_id) WHERE rep = doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM reps a JOIN reps b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT a, b, k / (na + nb - k) AS jaccard FROM shared WHERE k / (na + nb - k) >= 0.8)"""
+
+
+@query(f"WITH {SETS} SELECT a, b, round(jaccard, 6) AS jaccard FROM near")
 def jaccard_pairs(s, d):
+    """Similar pairs of different shingle sets, each by the least id that has it; ``jaccard_classes`` says who that is."""
     return dedup.jaccard_pairs(shingled(s, d), 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query()
+@query(f"WITH {SETS}, l AS (SELECT r, count(*) AS n FROM (SELECT a AS r FROM near UNION ALL SELECT b FROM near) GROUP BY r) SELECT doc_id, rep, coalesce(n, 0) AS links FROM cls LEFT JOIN l ON rep = r")
+def jaccard_classes(s, d):
+    """The class of every document with words, and how many other classes are similar to it."""
+    sh = shingled(s, d)
+    pairs = dedup.jaccard_pairs(sh, 0.8)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return dedup.set_classes(sh).join(links, "rep", "left").select("doc_id", "rep", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+GREEDY = f"""{SETS}, nodes AS (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS i FROM near GROUP BY b),
+scan(i, gone) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT nodes.i, CASE WHEN len(list_filter(before, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, b) ELSE gone END FROM scan JOIN nodes ON nodes.i = scan.i + 1),
+dropped AS (SELECT unnest(gone) AS doc_id FROM (SELECT gone FROM scan ORDER BY i DESC LIMIT 1) UNION SELECT doc_id FROM cls WHERE rep <> doc_id)"""
+
+
+@query(f"WITH RECURSIVE {GREEDY} SELECT doc_id FROM documents ANTI JOIN dropped USING (doc_id)")
 def near_dedup_greedy(s, d):
-    """The documents of all languages kept by first-wins near-deduplication at 0.8; held against a loop in the tests."""
-    sh = shingled(s, d, "true")
-    return dedup.first_wins(sh.select("doc_id"), dedup.jaccard_pairs(sh, 0.8).select("a", "b"))
+    """The documents kept by first-wins near-deduplication at 0.8."""
+    return dedup.near_first_wins(shingled(s, d)).filter("kept").select("doc_id")
+
+
+@query(
+    f"""WITH RECURSIVE first AS (SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY md5(array_to_string(regexp_extract_all(lower(text), '{PLAIN}'), ' ')) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1),
+{GREEDY.replace("FROM documents)", "FROM first)", 1)} SELECT (SELECT count(*) FROM documents) AS seen, (SELECT count(*) FROM documents) - (SELECT count(*) FROM first) AS exact_duplicates,
+(SELECT count(*) FROM dropped) AS near_duplicates, (SELECT count(*) FROM first) - (SELECT count(*) FROM dropped) AS kept"""
+)
+def dedup_counters(s, d):
+    """Exact copies by key go first, then near ones: how many each step saw, dropped and kept."""
+    keyed = docs(s, d).select("doc_id", X.exact_key(F.col("text")).alias("key"), "text")
+    first = dedup.written(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    sh = shingled(s, d).join(first, "doc_id", "left_semi")
+    near = dedup.near_first_wins(dedup.written(sh)).agg(F.count("*").alias("first"), F.count_if("kept").alias("kept"))
+    seen = docs(s, d).agg(F.count("*").alias("seen"))
+    return seen.join(F.broadcast(near)).select("seen", (F.col("seen") - F.col("first")).alias("exact_duplicates"), (F.col("first") - F.col("kept")).alias("near_duplicates"), "kept")
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS w FROM documents), q AS (SELECT item_id, regexp_extract_all(lower(text), '{W}') AS w FROM benchmark),
+    f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{PLAIN}') AS w FROM documents), q AS (SELECT item_id, regexp_extract_all(lower(text), '{PLAIN}') AS w FROM benchmark),
 a AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM t WHERE len(w) > 0)),
 b AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM q WHERE len(w) > 0))
 SELECT doc_id, item_id, count(*) AS shared FROM a JOIN b USING (x) GROUP BY doc_id, item_id HAVING count(*) >= 5"""
 )
 def benchmark_overlap(s, d):
     """Documents and test items that share at least five shingles: an equi-join on the shingle."""
-    side = lambda t, i: t.select(i, X.words(F.col("text")).alias("w")).select(i, F.explode_outer(X.shingles(F.col("w"))).alias("x")).filter("x is not null")
+    side = lambda t, i: t.select(i, X.plain_tokens(F.col("text")).alias("w")).select(i, F.explode_outer(X.shingles(F.col("w"))).alias("x")).filter("x is not null")
     return side(docs(s, d), "doc_id").join(side(table(s, d, "benchmark"), "item_id"), "x").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).filter("shared >= 5")
 
 

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from prosemill.functions import text as X
 from prosemill.plans.corpus_queries import PHRASES, fixed_phrase_table
-from prosemill.plans.registry import query, table
-from prosemill.plans.text_queries import RATES, W, docs, rates
+from prosemill.plans.registry import SQL, query, table
+from prosemill.operators import order
+from prosemill.plans.text_queries import RATES, W, case_table, docs, pieces_sql, rates, spread
 
 # trigger, replacement, part of speech, block words, require words
 RULES = [
@@ -29,7 +30,7 @@ RULES = [
 DEFERRED = ["andonre"]
 _ALTERNATION = "|".join(re.escape(t).replace("\\ ", " ") for t in sorted((r[0] for r in RULES), key=len, reverse=True))
 SPANS = rf"""
-raw_spans AS (SELECT doc_id, string_split(regexp_replace(text, '\b((?i:{_ALTERNATION}))\b', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+raw_spans AS (SELECT doc_id, {pieces_sql('text', _ALTERNATION)} AS ps FROM documents),
 spans AS (SELECT doc_id, i // 2 - 1 AS n, ps[i] AS surface, lower(ps[i]) AS trigger, list_sum(list_transform(ps[1:i - 1], lambda x: length(x))) AS start FROM (SELECT doc_id, ps, unnest(range(2, len(ps) + 1, 2)) AS i FROM raw_spans))"""
 _list = lambda x: "[" + ", ".join(f"'{y}'" for y in x) + "]::VARCHAR[]"
 RULES_SQL = "rules(trigger, replacement, pos, block, require) AS (VALUES " + ", ".join(f"('{t}', '{r}', '{p}', {_list(b)}, {_list(q)})" for t, r, p, b, q in RULES) + ")"
@@ -39,23 +40,27 @@ def rules(s) -> DataFrame:
     return s.createDataFrame(RULES, "trigger string, replacement string, pos string, block array<string>, require array<string>")
 
 
-def ascii_docs(s, d) -> DataFrame:
-    return docs(s, d).filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+def pieces(c: Column, triggers: list[str]) -> Column:
+    """A text cut at the whole-word matches of the triggers, the longest first, not overlapping: what is between them and they themselves in turn. One pass of one pattern; the triggers are a small list."""
+    alternation = "|".join(re.escape(t).replace("\\ ", " ") for t in sorted(triggers, key=len, reverse=True))
+    return F.split(F.regexp_replace(c, F.lit(X.whole_words(alternation)), F.lit("\u0001$1\u0001")), "\u0001")
 
 
 def spans(df: DataFrame, triggers: list[str], key: str = "doc_id") -> DataFrame:
-    """``key, n, start, surface, trigger``: non-overlapping whole-word matches, the longest trigger first. One pass of one pattern; the triggers are a small list."""
-    alternation = "|".join(re.escape(t).replace("\\ ", " ") for t in sorted(triggers, key=len, reverse=True))
-    parts = F.split(F.regexp_replace("text", F.lit(rf"\b((?i:{alternation}))\b"), F.lit("\u0001$1\u0001")), "\u0001")
-    found = df.select(key, F.posexplode(parts).alias("i", "surface"))
-    # Offsets are running lengths inside a document's own pieces.
-    start = F.coalesce(F.sum(F.length("surface")).over(Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return found.withColumn("start", start).filter("i % 2 = 1").select(key, F.expr("i div 2").alias("n"), "start", "surface", F.lower("surface").alias("trigger"))
+    """``key, n, start, surface, trigger`` of every match; offsets are running lengths inside a row's own pieces, without a shuffle."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, surface: string>>").alias("out"))
+    found = F.aggregate(
+        pieces(F.col("text"), triggers), empty,
+        lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x.alias("surface")))).alias("out")),
+        lambda acc: F.filter(acc["out"], lambda x, i: i % 2 == 1),
+    )
+    rows = spread(df.select(key, "text")).select(key, F.posexplode_outer(found).alias("n", "x")).filter("n is not null")
+    return rows.select(key, "n", "x.start", "x.surface", F.lower("x.surface").alias("trigger"))
 
 
 @query(f"WITH {SPANS} SELECT doc_id, CAST(n AS BIGINT) AS n, CAST(start AS BIGINT) AS start, surface, trigger FROM spans")
 def propose_spans(s, d):
-    return spans(ascii_docs(s, d), [r[0] for r in RULES]).withColumn("n", F.col("n").cast("long"))
+    return spans(docs(s, d), [r[0] for r in RULES]).withColumns({c: F.col(c).cast("long") for c in ("n", "start")})
 
 
 @query(f"WITH {RULES_SQL} SELECT trigger, replacement FROM rules WHERE replacement NOT IN ('{DEFERRED[0]}')")
@@ -87,17 +92,24 @@ def sense_constraints(s, d):
     return m.select("conv_id", "turn", "r.trigger", "r.replacement", allowed(F.col("t"), own, F.col("r.block"), F.col("r.require")).alias("allowed"))
 
 
+FIRSTS = [(t, t.split()[0]) for t, *_ in RULES]
+
+
 @query(
-    f"""WITH {PHRASES}, t AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS w FROM documents),
-p AS (SELECT doc_id, i, w[i] AS w1, w[i + 1] AS w2 FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t))
-SELECT doc_id, count(*) AS vetoed FROM p SEMI JOIN phrases ON p.w1 = phrases.w1 AND p.w2 = phrases.w2 GROUP BY doc_id"""
+    f"""WITH {PHRASES}, w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '{W}') AS w FROM conversations), f(trigger, head) AS (VALUES {", ".join(f"('{t}', '{h}')" for t, h in FIRSTS)}),
+p AS (SELECT conv_id, turn, trigger, w, list_position(w, head) AS i FROM w, f WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || trigger || ' '))
+SELECT conv_id, turn, trigger, r.w1 IS NOT NULL OR l.w1 IS NOT NULL AS vetoed FROM p LEFT JOIN phrases r ON r.w1 = w[i] AND r.w2 = w[i + 1] LEFT JOIN phrases l ON i > 1 AND l.w1 = w[i - 1] AND l.w2 = w[i]"""
 )
 def phrase_veto(s, d):
-    """Places of a document that a fixed phrase covers."""
-    w = docs(s, d).select("doc_id", X.words(F.col("text")).alias("w"))
-    pairs = F.transform(F.when(F.size("w") > 1, F.sequence(F.lit(1), F.size("w") - 1)), lambda i: F.struct(F.element_at("w", i).alias("w1"), F.element_at("w", i + 1).alias("w2")))
-    p = w.select("doc_id", F.explode_outer(pairs).alias("p")).filter("p is not null").groupBy("doc_id", "p.w1", "p.w2").agg(F.count("*").alias("n"))
-    return p.join(fixed_phrase_table(docs(s, d)).select("w1", "w2"), ["w1", "w2"], "left_semi").groupBy("doc_id").agg(F.sum("n").alias("vetoed"))
+    """Turns that hold a trigger, and whether the trigger's first word, at its first place, forms a fixed phrase with the word after or before it."""
+    w = table(s, d, "conversations").select("conv_id", "turn", X.words(F.col("text")).alias("w"))
+    heads = F.array(*(F.struct(F.lit(t).alias("trigger"), F.lit(h).alias("head")) for t, h in FIRSTS))
+    m = w.select("conv_id", "turn", "w", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"), F.explode_outer(heads).alias("r"))
+    m = m.filter(F.contains("t", F.concat(F.lit(" "), F.col("r.trigger"), F.lit(" ")))).withColumn("i", F.array_position("w", F.col("r.head")).cast("int") - 1)
+    at = lambda j: F.get("w", F.col("i") + j)
+    pairs = m.select("conv_id", "turn", "r.trigger", F.explode(F.array(F.struct(at(0).alias("w1"), at(1).alias("w2")), F.struct(F.when(F.col("i") > 0, at(-1)).alias("w1"), at(0).alias("w2")))).alias("p")).select("conv_id", "turn", "trigger", "p.*")
+    known = pairs.join(fixed_phrase_table(docs(s, d)).select("w1", "w2", F.lit(True).alias("fixed")), ["w1", "w2"], "left")
+    return known.groupBy("conv_id", "turn", "trigger").agg(F.coalesce(F.max("fixed"), F.lit(False)).alias("vetoed"))
 
 
 @query(
@@ -111,7 +123,7 @@ def difficulty_floor(s, d):
 
 
 @query(
-    rf"""WITH {RULES_SQL}, parts AS (SELECT doc_id, string_split(regexp_replace(text, '\b((?i:{_ALTERNATION}))\b', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+    rf"""WITH {RULES_SQL}, parts AS (SELECT doc_id, {pieces_sql('text', _ALTERNATION)} AS ps FROM documents),
 one AS (SELECT doc_id, i, ps[i] AS x, lower(ps[i]) AS trigger FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM parts)),
 swapped AS (SELECT doc_id, i, CASE WHEN i % 2 = 1 THEN x WHEN x[1] <> lower(x[1]) THEN upper(replacement[1]) || replacement[2:] ELSE replacement END AS x FROM one LEFT JOIN rules ON i % 2 = 0 AND rules.trigger = one.trigger)
 SELECT doc_id, string_agg(x, '' ORDER BY i) AS swapped FROM swapped GROUP BY doc_id"""
@@ -119,15 +131,50 @@ SELECT doc_id, string_agg(x, '' ORDER BY i) AS swapped FROM swapped GROUP BY doc
 def apply_swaps(s, d):
     """Every span replaced, left to right, keeping a capital first letter. Pieces are put together inside the row, without a shuffle."""
     to = F.create_map(*(F.lit(x) for t, r, *_ in RULES for x in (t, r)))
-    parts = F.split(F.regexp_replace("text", F.lit(rf"\b((?i:{_ALTERNATION}))\b"), F.lit("\u0001$1\u0001")), "\u0001")
     new = F.transform("ps", lambda x, i: F.when(i % 2 == 0, x).otherwise(X.match_case(x, F.element_at(to, F.lower(x)))))
-    return ascii_docs(s, d).select("doc_id", parts.alias("ps")).select("doc_id", F.array_join(new, "").alias("swapped"))
+    return docs(s, d).select("doc_id", pieces(F.col("text"), [r[0] for r in RULES]).alias("ps")).select("doc_id", F.array_join(new, "").alias("swapped"))
+
+
+def _entry_sql(extra: str = "") -> str:
+    return f"SELECT lower(trigger) AS trigger, string_agg(replacement || '/' || pos || '/' || array_to_string(block, ',') || '/' || array_to_string(require, ','), '|' ORDER BY ordinal) AS entries, count(*) AS n FROM {extra} GROUP BY 1"
+
 
+def ordered_rules(s) -> DataFrame:
+    """The rules with their place in the list."""
+    return s.createDataFrame([(i, *r) for i, r in enumerate(ALL_RULES)], "ordinal int, trigger string, replacement string, pos string, block array<string>, require array<string>")
 
-@query(f"WITH {RULES_SQL} SELECT trigger[1] AS initial, string_agg(trigger || '>' || replacement, '|' ORDER BY trigger) AS entries, count(*) AS n FROM rules GROUP BY initial")
+
+#: The rules and second choices for some of their triggers, one of them in capitals.
+ALL_RULES = [*RULES, ("The", "erthe", "NOUN", [], ["of"]), ("with", "withal", "ADV", [], []), ("in", "in", "ADV", [], [])]
+ALL_RULES_SQL = "ruled(ordinal, trigger, replacement, pos, block, require) AS (VALUES " + ", ".join(f"({i}, '{t}', '{r}', '{p}', {_list(b)}, {_list(q)})" for i, (t, r, p, b, q) in enumerate(ALL_RULES)) + ")"
+
+
+def runtime_entries(rules_: DataFrame) -> DataFrame:
+    """``trigger, entries, n``: the rules of a trigger, whatever its case, in the order of the list."""
+    entry = F.struct("ordinal", F.concat_ws("/", "replacement", "pos", F.array_join("block", ","), F.array_join("require", ",")).alias("e"))
+    grouped = rules_.groupBy(F.lower("trigger").alias("trigger")).agg(F.array_sort(F.collect_list(entry)).alias("es"))  # a rule list is short
+    return grouped.select("trigger", F.array_join(F.transform("es", lambda x: x["e"]), "|").alias("entries"), F.size("es").cast("long").alias("n"))
+
+
+@query(f"WITH {ALL_RULES_SQL} {_entry_sql('ruled')}")
 def runtime_table(s, d):
-    entries = F.array_sort(F.collect_list(F.struct("trigger", "replacement")))
-    return rules(s).groupBy(F.substring("trigger", 1, 1).alias("initial")).agg(F.array_join(F.transform(entries, lambda x: F.concat(x["trigger"], F.lit(">"), x["replacement"])), "|").alias("entries"), F.count("*").alias("n"))
+    return runtime_entries(ordered_rules(s))
+
+
+@query(
+    f"""WITH {ALL_RULES_SQL}, {RATES}, easy AS (SELECT * FROM ruled LEFT JOIN (SELECT form, per_million AS a FROM r) x ON x.form = lower(trigger) LEFT JOIN (SELECT form, per_million AS b FROM r) y ON y.form = lower(replacement)),
+kept AS (SELECT * FROM easy WHERE lower(trigger) <> lower(replacement) AND b > 0 AND a / b >= 2), e AS ({_entry_sql('kept')})
+SELECT e.trigger, entries, n, (SELECT count(*) FROM kept) AS rules_kept, (SELECT count(*) FROM ruled) - (SELECT count(*) FROM kept) AS rules_dropped FROM e"""
+)
+def runtime_export(s, d):
+    """The runtime table of the rules that make a text harder by a factor of two, and how many rules that leaves and drops."""
+    r = rates(docs(s, d)).select("form", "per_million")
+    side = lambda of, out: r.select(F.col("form").alias(f"{out}_form"), F.col("per_million").alias(out))
+    every = ordered_rules(s)
+    j = every.join(side("t", "a"), F.lower("trigger") == F.col("a_form"), "left").join(side("r", "b"), F.lower("replacement") == F.col("b_form"), "left")
+    kept = j.filter((F.lower("trigger") != F.lower("replacement")) & (F.col("b") > 0) & (F.col("a") / F.col("b") >= 2)).select(every.columns)
+    n = kept.agg(F.count("*").alias("rules_kept"), (F.lit(len(ALL_RULES)) - F.count("*")).alias("rules_dropped"))
+    return runtime_entries(kept).join(F.broadcast(n))  # one row
 
 
 # Scored candidates: five for each labelled document, of which 0 is the original.
@@ -189,9 +236,11 @@ SELECT fp, round(cut, 6) AS cut, round((SELECT count(*) FROM x WHERE good AND sc
 )
 def recall_at_fp(s, d):
     x = decisive(s, d)
-    cuts = x.filter(~F.col("good")).agg(F.percentile("score", F.array(F.lit(0.99), F.lit(0.98), F.lit(0.97), F.lit(0.95))).alias("cuts"))
-    rows = F.explode(F.arrays_zip(F.array(*map(F.lit, (0.01, 0.02, 0.03, 0.05))).alias("fp"), F.col("cuts").alias("cut"))).alias("x")
-    known = cuts.select(rows).select("x.fp", "x.cut")  # four rows
+    bad = x.filter(~F.col("good")).withColumn("one", F.lit(1))
+    known = None
+    for fp in (0.01, 0.02, 0.03, 0.05):  # four rows
+        row = order.quantile(bad, ["one"], "score", 1 - fp, "cut").select(F.lit(fp).alias("fp"), "cut")
+        known = row if known is None else known.union(row)
     hits = x.filter("good").join(F.broadcast(known)).groupBy("fp", "cut").agg(F.round(F.count_if(F.col("score") >= F.col("cut")) / F.count("*"), 6).alias("recall"))
     return hits.select("fp", F.round("cut", 6).alias("cut"), "recall")
 
@@ -230,6 +279,12 @@ def threshold_sweep(s, d):
     return b.groupBy("threshold").agg(F.round(F.count_if(taken) / n, 6).alias("coverage"), F.round(F.count_if(taken & (F.col("target") >= 0.8)) / F.count_if(taken), 6).alias("precision_"), F.round(100.0 * F.count_if(taken & (F.col("target") < 0.5)) / n, 4).alias("errors"))
 
 
+@query(f"WITH t AS ({SQL['threshold_sweep']}) SELECT threshold, coverage, precision_, errors FROM t WHERE precision_ >= 0.3 ORDER BY coverage DESC, threshold LIMIT 1")
+def threshold_pick(s, d):
+    """The threshold of the largest coverage among those with enough precision, the lowest of equals. (Hashes as scores reach 0.3, not the 0.9 of a model.)"""
+    return threshold_sweep(s, d).filter("precision_ >= 0.3").orderBy(F.desc("coverage"), "threshold").limit(1)
+
+
 @query(
     f"""WITH {SCORED}, l AS (SELECT doc_id, target / sum(target) OVER (PARTITION BY doc_id) AS q, score - max(score) OVER (PARTITION BY doc_id) AS z FROM g),
 m AS (SELECT doc_id, -sum(q * z) + ln(sum(exp(z))) AS loss FROM l GROUP BY doc_id) SELECT round(avg(loss), 6) AS loss, count(*) AS groups FROM m"""
@@ -265,7 +320,8 @@ def per_key_cap(s, d):
 def stratified_pick(s, d):
     order = F.md5(F.concat(F.lit("pick:"), F.col("doc_id").cast("string")).cast("binary"))
     nth = docs(s, d).select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")).alias("rn"))
-    return nth.orderBy("rn", "lang").limit(90).drop("rn")
+    # No stratum gives more than all: the limit within each keeps only its first rows in any task.
+    return nth.filter("rn <= 90").orderBy("rn", "lang").limit(90).drop("rn")
 
 
 @query("SELECT doc_id, CASE WHEN substr(h, 1, 2) < '1a' THEN 'test' WHEN substr(h, 1, 2) < '33' THEN 'dev' ELSE 'train' END AS split FROM (SELECT doc_id, md5('split:' || source) AS h FROM documents)")
@@ -277,8 +333,10 @@ def word_disjoint_split(s, d):
 
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(s, d):
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), q.alias("q")).select("event_type", "n", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p95"))
+    e = table(s, d, "events").select("event_type", "value")
+    n = e.groupBy("event_type").agg(F.count("*").alias("n"))
+    both = order.quantile(e, ["event_type"], "value", 0.5, "median").join(order.quantile(e, ["event_type"], "value", 0.95, "p95"), "event_type")
+    return n.join(both, "event_type", "left").select("event_type", "n", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
 
 
 # Vectors. A stated query set is held against all rows in blocks; each row keeps only its best few.
@@ -299,12 +357,8 @@ def knn_neighbours(s, d):
     import pandas as pd
 
     u = units(s, d)
-    queries = u.filter("vec_id % 20 = 0").select("vec_id", "e")
     out = None
-    blocks = max(1, -(-queries.count() // 20_000))
-    for b in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for ids, q, _ in _blocks(u, "label"):
 
         def nearest(batches, ids=ids, q=q):
             for pdf in batches:
@@ -321,46 +375,97 @@ def knn_neighbours(s, d):
     return out.withColumn("rn", F.row_number().over(best_)).filter("rn <= 6").select("vec_id", "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
-@query(f"WITH {VECTORS}, c AS (SELECT label, list(avg ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS avg FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM u) GROUP BY label, i) GROUP BY label), k AS (SELECT vec_id, u.label AS own, c.label AS bank, list_dot_product(e, m) AS dot FROM u, c) SELECT vec_id, round(count(*) FILTER (WHERE dot < o - 1e-12) / count(*), 6) AS percentile FROM (SELECT *, max(dot) FILTER (WHERE own = bank) OVER (PARTITION BY vec_id) AS o FROM k) GROUP BY vec_id")
-def bank_percentile(s, d):
-    """Share of the label banks' centres that are strictly less like a vector than its own bank's centre. The centres, one a label, are joined by size."""
+BANKED = f"{VECTORS}, dots AS (SELECT a.vec_id AS vec_id, a.label AS own, b.label AS bank, round(max(list_dot_product(a.e, b.e)), 9) AS dot FROM u a, u b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2, 3), mine AS (SELECT vec_id, dot AS o FROM dots WHERE own = bank), pct AS (SELECT vec_id, any_value(own) AS own, CASE WHEN count(o) > 0 THEN round(count(*) FILTER (WHERE dot < o) / count(*), 6) END AS percentile FROM dots LEFT JOIN mine USING (vec_id) GROUP BY vec_id)"
+
+
+def bank_dots(s, d) -> DataFrame:
+    """``vec_id, own, bank, dot``: the largest product of each query vector (id divisible by 20) with any other vector of each bank (label)."""
+    import numpy as np
+    import pandas as pd
+
     u = units(s, d)
-    mean = u.select("label", F.posexplode("e").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
-    banks = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("p")).select(F.col("label").alias("bank"), F.transform("p", lambda x: x["m"]).alias("m"))
-    every = banks.agg(F.collect_list(F.struct("bank", "m")).alias("banks"))
-    dot = lambda m: F.aggregate(F.zip_with("e", m, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    scored_ = u.join(every).select("vec_id", "label", F.transform("banks", lambda b: F.struct(b["bank"].alias("bank"), dot(b["m"]).alias("dot"))).alias("s"))
-    own = scored_.select("vec_id", "s", F.filter("s", lambda b: b["bank"] == F.col("label"))[0]["dot"].alias("own"))
-    return own.select("vec_id", F.round(F.size(F.filter("s", lambda b: b["dot"] < F.col("own") - 1e-12)) / F.size("s"), 6).alias("percentile"))
+    out = None
+    for ids, q, own in _blocks(u, "label"):
+
+        def most(batches, ids=ids, q=q, own=own):
+            for pdf in batches:
+                if not len(pdf) or not len(ids):
+                    continue
+                sim = np.round(q @ np.stack(pdf["e"]).T, 9)
+                sim[ids[:, None] == pdf["vec_id"].to_numpy()[None]] = -9
+                for bank, at in pdf.reset_index(drop=True).groupby("label").groups.items():
+                    dot = sim[:, at.to_numpy()].max(axis=1)
+                    yield pd.DataFrame({"vec_id": ids, "own": own, "bank": bank, "dot": dot})[dot > -9]
+
+        part = u.mapInPandas(most, "vec_id long, own long, bank long, dot double")
+        out = part if out is None else out.union(part)
+    return out.groupBy("vec_id", "own", "bank").agg(F.max("dot").alias("dot"))
+
+
+def _blocks(u: DataFrame, extra: str, size: int = 20_000):
+    """The query vectors in blocks of about ``size``; one block at a time is held here."""
+    import numpy as np
+
+    queries = u.filter("vec_id % 20 = 0").select("vec_id", "e", extra)
+    n = max(1, -(-queries.count() // size))
+    for b in range(n):
+        rows = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == b).collect()
+        yield np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+
+def percentiles(s, d) -> DataFrame:
+    """``vec_id, own, percentile``: the share of all banks that are strictly less like the vector than its own; null where its own bank holds nothing else."""
+    dots = bank_dots(s, d)
+    own = F.max(F.when(F.col("own") == F.col("bank"), F.col("dot")))
+    per = dots.groupBy("vec_id", "own").agg(own.alias("o"), F.collect_list("dot").alias("ds"))  # as many as there are banks
+    return per.select("vec_id", "own", F.when(F.col("o").isNotNull(), F.round(F.size(F.filter("ds", lambda x: x < F.col("o"))) / F.size("ds"), 6)).alias("percentile"))
+
+
+@query(f"WITH {BANKED} SELECT vec_id, percentile FROM pct")
+def bank_percentile(s, d):
+    return percentiles(s, d).select("vec_id", "percentile")
+
+
+@query(f"WITH {BANKED} SELECT vec_id, own, coalesce(percentile >= 0.34, true) AS passes FROM pct")
+def context_gate(s, d):
+    """A vector passes if its own bank is liker to it than 34 % of all banks; one without a bank passes."""
+    return percentiles(s, d).select("vec_id", F.col("own").cast("int").alias("own"), F.coalesce(F.col("percentile") >= 0.34, F.lit(True)).alias("passes"))
 
 
 # Items: spans with candidates, negatives and vetoes.
 
 
+NAMES = f"names AS (SELECT lower(w) AS form FROM (SELECT unnest(regexp_extract_all(text, '{W}')) AS w FROM documents) GROUP BY 1 HAVING count(*) FILTER (WHERE w ~ '^[A-Z].*') >= 20 AND count(*) FILTER (WHERE w ~ '^[A-Z].*') / count(*) >= 0.9)"
+
+
+def name_forms(s, d) -> DataFrame:
+    return case_table(docs(s, d)).filter("capitals >= 20 AND capitals / (capitals + lowers) >= 0.9").select("form")
+
+
 @query(
-    f"""WITH {RULES_SQL}, {SPANS}, names AS (SELECT lower(w) AS form FROM (SELECT unnest(regexp_extract_all(text, '{W}')) AS w FROM documents) GROUP BY 1 HAVING count(*) FILTER (WHERE w ~ '^[A-Z].*') >= 20 AND count(*) FILTER (WHERE w ~ '^[A-Z].*') / count(*) >= 0.1)
-SELECT doc_id, CAST(n AS BIGINT) AS n, surface FROM spans WHERE start > 0 AND surface ~ '^[A-Z].*' AND trigger IN (SELECT form FROM names)"""
+    f"""WITH {NAMES}, l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM conversations),
+m AS (SELECT conv_id, turn, k, unnest(regexp_extract_all(line, '{W}')) AS w, generate_subscripts(regexp_extract_all(line, '{W}'), 1) AS i FROM l)
+SELECT conv_id, turn, w, count(*) AS n FROM m WHERE i > 1 AND w ~ '^[A-Z].*' AND lower(w) IN (SELECT form FROM names) GROUP BY conv_id, turn, w"""
 )
 def proper_noun_veto(s, d):
-    """Capitalised spans away from the start whose word is often a name."""
-    from prosemill.plans.text_queries import case_table
-
-    names = case_table(docs(s, d)).filter("capitals >= 20 AND capitals / (capitals + lowers) >= 0.1").select(F.col("form").alias("trigger"))
-    found = spans(ascii_docs(s, d), [r[0] for r in RULES]).filter((F.col("start") > 0) & F.col("surface").rlike("^[A-Z]"))
-    return found.join(names, "trigger", "left_semi").select("doc_id", F.col("n").cast("long").alias("n"), "surface")
+    """Capitalised words of a turn, not the first of their line, that are names: nothing may stand for them."""
+    lines = table(s, d, "conversations").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
+    w = lines.select("conv_id", "turn", F.posexplode_outer(F.regexp_extract_all("line", F.lit(X.WORD), F.lit(0))).alias("i", "w")).filter(F.col("i").isNotNull() & (F.col("i") > 0) & F.col("w").rlike("^[A-Z]"))
+    found = w.withColumn("form", F.lower("w")).join(name_forms(s, d), "form", "left_semi")
+    return found.groupBy("conv_id", "turn", "w").agg(F.count("*").alias("n"))
 
 
 @query(
-    f"""WITH {RULES_SQL}, {SPANS}, first AS (SELECT * FROM spans JOIN rules USING (trigger) WHERE n = 0), capped AS (SELECT *, row_number() OVER (PARTITION BY replacement ORDER BY md5('item:' || doc_id), doc_id) AS rn FROM first),
+    f"""WITH {RULES_SQL}, {SPANS}, first AS (SELECT * FROM spans JOIN rules USING (trigger)), capped AS (SELECT *, row_number() OVER (PARTITION BY replacement ORDER BY md5('item:' || doc_id || ':' || n), doc_id, n) AS rn FROM first),
 neg AS (SELECT a.trigger AS trigger, arg_min(b.replacement, md5('easy:' || a.trigger || ':' || b.replacement)) AS easy FROM rules a, rules b WHERE a.pos <> b.pos GROUP BY a.trigger)
-SELECT doc_id, surface, substr(text, 1, CAST(start AS BIGINT)) || '____' || substr(text, CAST(start AS BIGINT) + length(surface) + 1) AS blanked, replacement, easy, 'inventory:' || replacement || '|easy_neg:' || easy || '|original:' || surface AS candidates
+SELECT doc_id, CAST(n AS BIGINT) AS n, surface, substr(text, 1, CAST(start AS BIGINT)) || '____' || substr(text, CAST(start AS BIGINT) + length(surface) + 1) AS blanked, replacement, easy, 'inventory:' || replacement || '|easy_neg:' || easy || '|original:' || surface AS candidates
 FROM capped JOIN neg USING (trigger) JOIN documents USING (doc_id) WHERE rn <= 25"""
 )
 def items(s, d):
-    """A document's first span as an item: blanked text, the rule's word, a negative of another part of speech, the original; at most 25 a word."""
-    found = spans(ascii_docs(s, d), [r[0] for r in RULES]).filter("n = 0").join(F.broadcast(rules(s).select("trigger", "replacement", "pos")), "trigger")
-    order = F.md5(F.concat(F.lit("item:"), F.col("doc_id").cast("string")).cast("binary"))
-    capped = found.withColumn("rn", F.row_number().over(Window.partitionBy("replacement").orderBy(order, "doc_id"))).filter("rn <= 25")
+    """Spans as items: blanked text, the rule's word, a negative of another part of speech, the original; at most 25 a word."""
+    found = spans(docs(s, d), [r[0] for r in RULES]).join(F.broadcast(rules(s).select("trigger", "replacement", "pos")), "trigger")
+    shuffled = F.md5(F.concat(F.lit("item:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("n").cast("string")).cast("binary"))
+    capped = found.withColumn("rn", F.row_number().over(Window.partitionBy("replacement").orderBy(shuffled, "doc_id", "n"))).filter("rn <= 25")
     # The rules are a short list: each one's negative is worked out from the list itself.
     import hashlib
 
@@ -370,20 +475,20 @@ def items(s, d):
     i = capped.withColumn("easy", F.element_at(negative, F.col("trigger"))).join(docs(s, d).select("doc_id", "text"), "doc_id")
     blanked = F.concat(F.substring("text", F.lit(1), F.col("start").cast("int")), F.lit("____"), F.substring("text", (F.col("start") + F.length("surface") + 1).cast("int"), F.length("text")))
     candidates = F.concat(F.lit("inventory:"), "replacement", F.lit("|easy_neg:"), "easy", F.lit("|original:"), "surface")
-    return i.select("doc_id", "surface", blanked.alias("blanked"), "replacement", "easy", candidates.alias("candidates"))
+    return i.select("doc_id", F.col("n").cast("long").alias("n"), "surface", blanked.alias("blanked"), "replacement", "easy", candidates.alias("candidates"))
 
 
 @query(
-    f"""WITH {RULES_SQL}, {SPANS}, pos AS (SELECT doc_id, n, trigger, replacement, pos FROM spans JOIN rules USING (trigger) WHERE n = 1),
-k AS (SELECT p.doc_id AS doc_id, p.replacement AS replacement, r.replacement AS wrong, row_number() OVER (PARTITION BY p.doc_id ORDER BY md5('wrong:' || p.doc_id || ':' || r.replacement)) AS rn FROM pos p, rules r WHERE r.pos <> 'VERB' AND r.replacement <> p.replacement)
-SELECT doc_id, replacement, wrong FROM k WHERE rn = 1"""
+    f"""WITH {RULES_SQL}, {SPANS}, pos AS (SELECT doc_id, n, trigger, replacement, pos FROM spans JOIN rules USING (trigger)),
+k AS (SELECT p.doc_id AS doc_id, p.n AS n, p.replacement AS replacement, arg_min(r.replacement, md5('wrong:' || p.doc_id || ':' || p.n || ':' || r.replacement)) AS wrong FROM pos p, rules r WHERE r.pos <> 'VERB' AND r.replacement <> p.replacement GROUP BY 1, 2, 3)
+SELECT doc_id, CAST(n AS BIGINT) AS n, replacement, wrong FROM k"""
 )
 def wrong_sense_negatives(s, d):
     """For each positive another rule's word that is no verb, picked by a hash. The rules are an array beside the row."""
-    p = spans(ascii_docs(s, d), [r[0] for r in RULES]).filter("n = 1").join(F.broadcast(rules(s).select("trigger", "replacement")), "trigger")
+    p = spans(docs(s, d), [r[0] for r in RULES]).join(F.broadcast(rules(s).select("trigger", "replacement")), "trigger")
     others = F.filter(F.array(*(F.lit(r) for _, r, q, *_ in RULES if q != "VERB")), lambda r: r != F.col("replacement"))
-    keyed = F.transform(others, lambda r: F.struct(F.md5(F.concat(F.lit("wrong:"), F.col("doc_id").cast("string"), F.lit(":"), r).cast("binary")).alias("h"), r.alias("r")))
-    return p.select("doc_id", "replacement", F.array_min(keyed)["r"].alias("wrong"))
+    keyed = F.transform(others, lambda r: F.struct(F.md5(F.concat(F.lit("wrong:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("n").cast("string"), F.lit(":"), r).cast("binary")).alias("h"), r.alias("r")))
+    return p.select("doc_id", F.col("n").cast("long").alias("n"), "replacement", F.array_min(keyed)["r"].alias("wrong"))
 
 
 @query(
@@ -407,7 +512,7 @@ SELECT round(any_value(threshold), 6) AS threshold, round(count(*) FILTER (WHERE
 )
 def operating_threshold(s, d):
     x = decisive(s, d)
-    t = x.filter(~F.col("good")).agg(F.percentile("score", F.lit(0.98)).alias("threshold"))  # one row
+    t = order.quantile(x.filter(~F.col("good")).withColumn("one", F.lit(1)), ["one"], "score", 0.98, "threshold").select("threshold")  # one row
     hit = F.col("score") >= F.col("threshold")
     return x.join(F.broadcast(t)).agg(
         F.round(F.max("threshold"), 6).alias("threshold"), F.round(F.count_if(hit & F.col("good")) / F.count_if("good"), 6).alias("recall"), F.round(F.count_if(hit & ~F.col("good")) / F.count_if(~F.col("good")), 6).alias("false_rate")
@@ -415,15 +520,15 @@ def operating_threshold(s, d):
 
 
 @query(
-    f"""WITH {SPANS}, {RULES_SQL}, w AS (SELECT sum(len(regexp_extract_all(lower(text), '{W}'))) AS words FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
+    f"""WITH {SPANS}, {RULES_SQL}, w AS (SELECT sum(len(regexp_extract_all(lower(text), '{W}'))) AS words FROM documents),
 a AS (SELECT replacement, ('0x' || substr(md5(doc_id || ':' || n), 1, 8))::BIGINT % 1000 >= 600 AS taken FROM spans JOIN rules USING (trigger))
 SELECT CAST(any_value(words) AS BIGINT) AS words, count(*) AS spans, count(*) FILTER (WHERE taken) AS swaps, round(1000.0 * count(*) FILTER (WHERE taken) / any_value(words), 6) AS per_1k, count(DISTINCT replacement) FILTER (WHERE taken) AS distinct_swaps FROM a, w"""
 )
 def delivery_rate(s, d):
     """Spans and accepted swaps a thousand words."""
-    w = ascii_docs(s, d).agg(F.sum(F.size(X.words(F.col("text")))).cast("long").alias("words"))  # one row
+    w = docs(s, d).agg(F.sum(F.size(X.words(F.col("text")))).cast("long").alias("words"))  # one row
     h = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("n").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    a = spans(ascii_docs(s, d), [r[0] for r in RULES]).join(F.broadcast(rules(s).select("trigger", "replacement")), "trigger").withColumn("taken", h % 1000 >= 600)
+    a = spans(docs(s, d), [r[0] for r in RULES]).join(F.broadcast(rules(s).select("trigger", "replacement")), "trigger").withColumn("taken", h % 1000 >= 600)
     c = a.agg(F.count("*").alias("spans"), F.count_if("taken").alias("swaps"), F.count_distinct(F.when(F.col("taken"), F.col("replacement"))).alias("distinct_swaps"))
     return c.join(F.broadcast(w)).select("words", "spans", "swaps", F.round(1000.0 * F.col("swaps") / F.col("words"), 6).alias("per_1k"), "distinct_swaps")
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from prosemill.functions import pages as P
 from prosemill.functions import text as X
 from prosemill.operators import dedup, order, retention
-from prosemill.plans.corpus_queries import CHOSEN, HITS, positioned, shingled
-from prosemill.plans.decision_queries import _ALTERNATION, RULES, RULES_SQL, SCORED, SPANS, ascii_docs, rules, scored, spans
+from prosemill.plans.corpus_queries import CHOSEN, GREEDY, HITS, positioned, shingled
+from prosemill.plans.decision_queries import _ALTERNATION, RULES, RULES_SQL, SCORED, SPANS, pieces, rules, scored, spans
 from prosemill.plans.decision_queries import items as item_rows
 from prosemill.plans.page_queries import _BLOCKS
 from prosemill.plans.registry import SQL, query, table
-from prosemill.plans.text_queries import ABBREV, CAP, HIGH, LOW, NOT_SPACE, RATES, REASON, SENTENCES, SPACE, W, band, docs, rates, spread
+from prosemill.plans.text_queries import ABBREV, CAP, HIGH, LOW, NOT_SPACE, RATES, REASON, SENTENCES, SPACE, W, _TO_FIX, articles_sql, articles_to_fix, band, bordered_sql, docs, pieces_sql, rates, spread, unbordered_sql
 
 
 def hashed(prefix: str, *keys, digits: int = 8) -> Column:
@@ -73,6 +73,12 @@ def offset_sentences(s, d):
 
 # Pasted threads
 
+def _mended(x: str) -> str:
+    for damaged, mark in P.MOJIBAKE:
+        x = f"replace({x}, '{damaged}', '{mark.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
 THREADS = rf"""
 th AS (SELECT conv_id, string_agg('u/' || role || chr(10) || text || chr(10) || '3 more replies', chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
 ln AS (SELECT conv_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS k FROM (SELECT conv_id, regexp_split_to_array(t, '\r\n|\n|\r') AS ls FROM th)),
@@ -80,7 +86,7 @@ tr AS (SELECT conv_id, k, regexp_replace(raw, '^{SPACE}+|{SPACE}+$', '', 'g') AS
 fl AS (SELECT *, x = '' OR lower(x) IN ({", ".join("'" + c + "'" for c in P.CHROME)}) OR regexp_matches(x, '{P.LINE}') OR regexp_matches(lower(x), '{P.LOWERED}')
   OR (regexp_matches(x, '{P.USER}') AND NOT contains(x, ' ') AND length(x) < 21) AS page FROM tr),
 isl AS (SELECT *, sum(CASE WHEN page THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS island FROM fl),
-cm AS (SELECT conv_id, island, regexp_replace(replace(string_agg(x, ' ' ORDER BY k), '{P.MOJIBAKE[0]}', ''''), '^{SPACE}+|{SPACE}+$', '', 'g') AS comment FROM isl WHERE NOT page GROUP BY conv_id, island),
+cm AS (SELECT conv_id, island, regexp_replace({_mended("string_agg(x, ' ' ORDER BY k)")}, '^{SPACE}+|{SPACE}+$', '', 'g') AS comment FROM isl WHERE NOT page GROUP BY conv_id, island),
 comments AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY island) - 1 AS nth, comment, len(regexp_extract_all(comment, '[^\s\v]+')) AS words FROM cm WHERE len(regexp_extract_all(comment, '[^\s\v]+')) >= 2)"""
 
 
@@ -140,19 +146,17 @@ def universal_tags(s, d):
 # First swaps and the review sheet
 
 GLOSSES = {"oferwhennt": "of a place", "ofre": "made from", "inonly": "within"}
-_AN, _A = "|".join(X.AN_BEFORE), "|".join(X.A_BEFORE)
-SWAPPED = rf"""{RULES_SQL}, tx AS (SELECT conv_id, turn, replace(regexp_replace(text, '\b[Aa]n?\b', 'it', 'g'), ' the ', ' a ') AS t FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
-mt AS (SELECT conv_id, turn, t, trigger, replacement AS r, regexp_extract(t, '(?i)\b' || trigger || '\b') AS found FROM tx, rules),
-sw AS (SELECT *, regexp_replace(t, '(?i)\b' || trigger || '\b', CASE WHEN found[1] <> lower(found[1]) THEN upper(r[1]) || lower(r[2:]) ELSE r END) AS x FROM mt WHERE found <> ''),
-swapped AS (SELECT conv_id, turn, trigger, r AS replacement, t AS original, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\b([Aa])n? ((?i:{_AN}))', '\1' || chr(1) || 'n \2', 'g'),
-  '\b([Aa])n? ((?i:{_A}))', '\1' || chr(1) || ' \2', 'g'), '\b([Aa])n? ([AEIOUaeiou])', '\1' || chr(1) || 'n \2', 'g'), '\b([Aa])n? ([A-Za-z])', '\1' || chr(1) || ' \2', 'g'), chr(1), '') AS swapped FROM sw)"""
+SWAPPED = rf"""{RULES_SQL}, tx AS (SELECT conv_id, turn, {_TO_FIX} AS t FROM conversations),
+bt AS (SELECT conv_id, turn, t, {bordered_sql('t')} AS b FROM tx), mt AS (SELECT conv_id, turn, t, b, trigger, replacement AS r, chr(2) || '(?i:' || replace(trigger, ' ', chr(3) || ' ' || chr(2)) || ')' || chr(3) AS pattern FROM bt, rules),
+fd AS (SELECT *, {unbordered_sql("regexp_extract(b, pattern)")} AS found FROM mt WHERE regexp_matches(b, pattern)),
+sw AS (SELECT *, {unbordered_sql("regexp_replace(b, pattern, CASE WHEN found[1] <> lower(found[1]) THEN upper(r[1]) || lower(r[2:]) ELSE r END)")} AS x FROM fd),
+swapped AS (SELECT conv_id, turn, trigger, r AS replacement, t AS original, {articles_sql(bordered_sql('x'))} AS swapped FROM sw)"""
 
 
 def swapped_turns(s, d) -> DataFrame:
     """Each rule that fits a turn, with the turn before and after. The rules are an array literal beside each turn."""
-    t = F.replace(X.sub(F.col("text"), r"\b[Aa]n?\b", "it"), F.lit(" the "), F.lit(" a "))
     list_ = F.array(*(F.struct(F.lit(a).alias("trigger"), F.lit(b).alias("replacement")) for a, b, *_ in RULES))
-    m = table(s, d, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]")).select("conv_id", "turn", t.alias("original"), F.explode_outer(list_).alias("r")).select("conv_id", "turn", "original", "r.*")
+    m = table(s, d, "conversations").select("conv_id", "turn", articles_to_fix(F.col("text")).alias("original"), F.explode_outer(list_).alias("r")).select("conv_id", "turn", "original", "r.*")
     return m.withColumn("swapped", X.swap_first(F.col("original"), F.col("trigger"), F.col("replacement"))).filter("swapped is not null")
 
 
@@ -163,42 +167,40 @@ def first_swap(s, d):
 
 @query(
     f"""WITH {SWAPPED}, gl(replacement, gloss) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in GLOSSES.items())})
-SELECT conv_id, turn, trigger, '[' || conv_id || '.' || turn || '] ' || upper(replacement) || ' = ' || coalesce(gloss, '?') || chr(10) || '      BEFORE: ' || original || chr(10) || '      AFTER:  ' || swapped AS sheet FROM swapped LEFT JOIN gl USING (replacement)"""
+SELECT conv_id, turn, trigger, conv_id || '.' || turn || chr(9) || replacement || ' (' || coalesce(gloss, 'no gloss') || ')' || chr(10) || 'was: ' || original || chr(10) || 'now: ' || swapped AS sheet FROM swapped LEFT JOIN gl USING (replacement)"""
 )
 def review_sheet(s, d):
     """What a human judge reads: the gloss, if there is one, and the turn before and after."""
     glosses = s.createDataFrame(list(GLOSSES.items()), "replacement string, gloss string")
     j = swapped_turns(s, d).join(F.broadcast(glosses), "replacement", "left")
-    sheet = F.concat(F.lit("["), F.col("conv_id"), F.lit("."), F.col("turn"), F.lit("] "), F.upper("replacement"), F.lit(" = "), F.coalesce("gloss", F.lit("?")), F.lit("\n      BEFORE: "), "original", F.lit("\n      AFTER:  "), "swapped")
+    sheet = F.concat("conv_id", F.lit("."), "turn", F.lit("\t"), "replacement", F.lit(" ("), F.coalesce("gloss", F.lit("no gloss")), F.lit(")\nwas: "), "original", F.lit("\nnow: "), "swapped")
     return j.select("conv_id", "turn", "trigger", sheet.alias("sheet"))
 
 
 @query(
-    f"""WITH i AS ({SQL["items"]}), p AS (SELECT doc_id, '[' || doc_id || ']' || chr(10) || 'Sentence: ' || blanked || chr(10) || 'Removed:  "' || surface || '"  (intended sense: ' || replacement || ')' || chr(10) || 'Target word gloss: ' || replacement || ' = ?'
- || chr(10) || 'Candidates:' || chr(10) || '  - ' || replacement || chr(10) || '  - ' || easy || chr(10) || '  - ' || surface || chr(10) AS prompt FROM i)
-SELECT doc_id, prompt, round(length(prompt) / 4 / 1e6 * 5 / 2 + 100 / 1e6 * 25 / 2, 9) AS cost FROM p"""
+    f"""WITH i AS ({SQL["items"]}), p AS (SELECT doc_id, n, concat_ws(chr(10), 'item: ' || doc_id || '.' || n, 'text with a gap: ' || blanked, 'in the gap: ' || surface, 'meaning there: ' || replacement, 'word taught: ' || replacement || ' - ?', 'options: ' || replacement || '; ' || easy || '; ' || surface) AS prompt FROM i)
+SELECT doc_id, n, prompt, round(length(prompt) / 4 / 1e6 * 5 / 2 + 100 / 1e6 * 25 / 2, 9) AS cost FROM p"""
 )
 def grading_prompts(s, d):
     """Items as a grader reads them, and what a batch of them costs at four characters a token."""
-    p = item_rows(s, d).select(
-        "doc_id", X.prompt(F.col("doc_id").cast("string"), F.col("blanked"), F.col("surface"), F.col("replacement"), F.col("replacement"), F.lit("?"), F.array("replacement", "easy", "surface")).alias("prompt")
-    )
+    i = item_rows(s, d)
+    p = i.select("doc_id", "n", X.prompt(F.concat_ws(".", F.col("doc_id").cast("string"), F.col("n").cast("string")), F.col("blanked"), F.col("surface"), F.col("replacement"), F.col("replacement"), F.lit("?"), F.array("replacement", "easy", "surface")).alias("prompt"))
     return p.withColumn("cost", F.round(X.batch_cost(F.length("prompt") / 4, F.lit(100), 5, 25), 9))
 
 
 # The page pass: blocks, spans, scores, decisions, swaps, and the way back
 
 PARTS = rf"""bl AS (SELECT page_id, unnest(bs) AS block, generate_subscripts(bs, 1) - 1 AS nth FROM (SELECT page_id, {_BLOCKS} AS bs FROM pages)),
-pt AS (SELECT page_id, nth, block, string_split(regexp_replace(block, '\b((?i:{_ALTERNATION}))\b', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS ps FROM bl WHERE NOT regexp_matches(block, '[^\x00-\x7F]')),
+pt AS (SELECT page_id, nth, block, {pieces_sql('block', _ALTERNATION)} AS ps FROM bl),
 pc AS (SELECT page_id, nth, block, i, ps[i] AS x, i % 2 = 0 AND ('0x' || substr(md5('page:' || page_id || ':' || nth || ':' || (i - 1)), 1, 8))::BIGINT % 1000 >= 600 AS taken FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM pt)),
 sp AS (SELECT page_id, nth, pc.block AS block, i, taken, x AS original, CASE WHEN NOT taken THEN x WHEN x[1] <> lower(x[1]) THEN upper(replacement[1]) || replacement[2:] ELSE replacement END AS shown FROM pc LEFT JOIN rules ON taken AND trigger = lower(x))"""
 
 
 def page_pieces(s, d) -> DataFrame:
     """Blocks of pages as arrays of ``original, shown, taken``: what stood there, what stands there now, and whether it is a swap. All inside the row."""
-    b = table(s, d, "pages").select("page_id", F.posexplode_outer(P.blocks(F.col("html"))).alias("nth", "block")).filter(F.col("nth").isNotNull() & ~F.col("block").rlike(r"[^\x00-\x7F]"))
+    b = table(s, d, "pages").select("page_id", F.posexplode_outer(P.blocks(F.col("html"))).alias("nth", "block")).filter("nth is not null")
     to = F.create_map(*(F.lit(x) for t, r, *_ in RULES for x in (t, r)))
-    ps = b.select("page_id", F.col("nth").cast("long").alias("nth"), "block", F.split(F.regexp_replace("block", F.lit(rf"\b((?i:{_ALTERNATION}))\b"), F.lit("\u0001$1\u0001")), "\u0001").alias("ps"))
+    ps = b.select("page_id", F.col("nth").cast("long").alias("nth"), "block", pieces(F.col("block"), [r[0] for r in RULES]).alias("ps"))
     scored_ = F.transform("ps", lambda x, i: F.struct(x.alias("original"), ((i % 2 == 1) & (hashed("page:", "page_id", "nth", i) % 1000 >= 600)).alias("taken")))
     shown = lambda x: F.struct(x["original"].alias("original"), x["taken"].alias("taken"), F.when(x["taken"], X.match_case(x["original"], F.element_at(to, F.lower(x["original"])))).otherwise(x["original"]).alias("shown"))
     return ps.select("page_id", "nth", "block", scored_.alias("ps")).select("page_id", "nth", "block", F.transform("ps", shown).alias("ps"))
@@ -269,7 +271,7 @@ SELECT event_type, max(value) FILTER (WHERE i = n // 2) AS median, max(value) FI
 )
 def latency_ranks(s, d):
     """The values at places n / 2 and 0.95 n of the sorted ones, without interpolation."""
-    e, whole = table(s, d, "events"), F.floor("value")
+    e, whole = table(s, d, "events"), order.log_bin(F.col("value"))
     median = order.at_index(e, ["event_type"], "value", lambda n: F.floor(n / 2), whole, "median")
     return median.join(order.at_index(e, ["event_type"], "value", lambda n: F.floor(n * 95 / 100), whole, "p95"), "event_type")
 
@@ -294,7 +296,7 @@ gains AS (SELECT trigger, replacement, dl.n AS n, log2(a.per_million / b.per_mil
 
 def delivered(s, d) -> DataFrame:
     """Accepted swaps by rule, with the gain in rarity where both sides have a rate."""
-    taken = spans(ascii_docs(s, d), [r[0] for r in RULES]).filter(hashed("", "doc_id", "n") % 1000 >= 600).groupBy("trigger").agg(F.count("*").alias("n"))
+    taken = spans(docs(s, d), [r[0] for r in RULES]).filter(hashed("", "doc_id", "n") % 1000 >= 600).groupBy("trigger").agg(F.count("*").alias("n"))
     r = rates(docs(s, d)).select("form", "per_million")
     named = taken.join(F.broadcast(rules(s).select("trigger", "replacement")), "trigger")
     j = named.join(r.select(F.col("form").alias("trigger"), F.col("per_million").alias("a")), "trigger", "left").join(r.select(F.col("form").alias("replacement"), F.col("per_million").alias("b")), "replacement", "left")
@@ -347,9 +349,8 @@ def priority_report(s, d):
     return known.select("form", "contexts", (F.col("contexts") >= 2).alias("shippable"), (F.col("contexts") >= CAP).alias("at_cap"))
 
 
-@query(f"SELECT (SELECT count(*) FROM documents WHERE lang = 'en') AS docs, count(DISTINCT b) AS near_duplicates, round(count(DISTINCT b) / (SELECT count(*) FROM documents WHERE lang = 'en'), 6) AS rate FROM ({SQL['jaccard_pairs']})")
+@query(f"WITH RECURSIVE {GREEDY} SELECT (SELECT count(*) FROM documents) AS docs, count(*) AS near_duplicates, round(count(*) / (SELECT count(*) FROM documents), 6) AS rate FROM dropped")
 def near_duplicate_rate(s, d):
-    """Share of documents with an earlier one at a similarity of 0.8 or more."""
-    near = dedup.jaccard_pairs(shingled(s, d), 0.8).agg(F.count_distinct("b").alias("near_duplicates"))
-    every = docs(s, d).filter("lang = 'en'").agg(F.count("*").alias("docs"))
-    return every.join(F.broadcast(near)).select("docs", "near_duplicates", F.round(F.col("near_duplicates") / F.col("docs"), 6).alias("rate"))
+    """Share of documents that first-wins near-deduplication at 0.8 drops."""
+    near = dedup.near_first_wins(shingled(s, d))
+    return near.agg(F.count("*").alias("docs"), F.count_if(~F.col("kept")).alias("near_duplicates")).withColumn("rate", F.round(F.col("near_duplicates") / F.col("docs"), 6))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as X
+from prosemill.functions import udfs
 from prosemill.plans.registry import query, table
 
 W = "[A-Za-z]+(?:[''-][A-Za-z]+)*"  # in SQL quotes
@@ -34,25 +35,43 @@ def nonalpha_ratio(s, d):
     return docs(s, d).select("doc_id", F.round(X.nonalpha_ratio(F.col("text")), 9).alias("ratio"))
 
 
-@query(
-    r"""
-WITH a AS (SELECT doc_id, replace(replace(replace(replace(translate(text, '‘’‚‛“”„‟–‒' || chr(160), repeat(chr(39), 4) || repeat(chr(34), 4) || '-- '), '—', '--'), '―', '--'), '…', '...'), chr(8203), '') AS t FROM documents),
-b AS (SELECT doc_id, regexp_replace(t, 'https?://\S+|www\.\S+', ' ', 'g') AS t FROM a),
-c AS (SELECT doc_id, regexp_replace(t, '\b[\w.+-]+@[\w-]+\.[\w.]+\b', ' ', 'g') AS t FROM b),
-e AS (SELECT doc_id, regexp_replace(t, '\b(?:\+?\d{1,3}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b', ' ', 'g') AS t FROM c),
-f AS (SELECT doc_id, regexp_replace(t, '[ \t]+', ' ', 'g') AS t FROM e),
-g AS (SELECT doc_id, regexp_replace(t, '\s+([,.;:!?%)\]}])', '\1', 'g') AS t FROM f),
-h AS (SELECT doc_id, regexp_replace(t, '([(\[{])\s+', '\1', 'g') AS t FROM g),
-i AS (SELECT doc_id, regexp_replace(t, ' *\n *', chr(10), 'g') AS t FROM h)
-SELECT doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') AS clean FROM i"""
-)
+def normalized_sql(text: str) -> str:
+    """The steps of ``udfs.normalized``. The canonical form stands for the compatibility form: the marks in which both differ in these tables are folded anyway."""
+    t = f"translate(nfc_normalize({text}), '‘’‚‛“”„‟–‒' || chr(160), repeat(chr(39), 4) || repeat(chr(34), 4) || '-- ')"
+    for mark, to in (("—", "--"), ("―", "--"), ("…", "..."), ("\u200b", "")):
+        t = f"replace({t}, '{mark}', '{to}')"
+    w = X.LETTER
+    for pattern, to in (
+        (r"https?://[^\s\v]+|www\.[^\s\v]+", " "),
+        (r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", " "),
+        (r"\b(?:\+?\d{1,3}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", " "),
+        (rf"(^|[^{w[1:-1]}])(?:[@/][ur]/{w}+|@{w}{{2,}})", r"\1 "),
+        (rf"({w})--+({w})", r"\1 -- \2"),
+        (rf"({w})--+({w})", r"\1 -- \2"),  # a single letter between two dashes
+        (r"[ \t]+", " "),
+        (rf"{SPACE}+([,.;:!?%)\]}}])", r"\1"),
+        (rf"([(\[{{]){SPACE}+", r"\1"),
+        (r" *\n *", "\n"),
+        (rf"^{SPACE}+|{SPACE}+$", ""),
+    ):
+        t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
+    return t
+
+
+@query(f"SELECT doc_id, {normalized_sql('text')} AS clean FROM documents")
 def normalize_text(s, d):
-    return docs(s, d).select("doc_id", X.normalize(F.col("text")).alias("clean"))
+    return docs(s, d).select("doc_id", udfs.normalized(F.col("text")).alias("clean"))
+
+
+@query(f"SELECT form, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower({normalized_sql('text')}), '{W}')) AS form FROM documents) GROUP BY form")
+def corpus_word_frequency(s, d):
+    """Counts over whole normalised documents of all languages."""
+    return counts(spread(docs(s, d)).withColumn("text", udfs.normalized(F.col("text"))))
 
 
-@query(r"SELECT doc_id, regexp_replace(replace(text, ' of ', '-' || chr(10) || ' '), '(\w)-[ \t]*\n[ \t]*([a-z])', '\1\2', 'g') AS joined FROM documents WHERE lang = 'en'")
+@query(rf"SELECT doc_id, regexp_replace(replace(text, ' of ', '-' || chr(10) || ' '), '({X.LETTER})-[ \t]*\n[ \t]*([a-z])', '\1\2', 'g') AS joined FROM documents")
 def rejoin_hyphen(s, d):
-    return docs(s, d).filter("lang = 'en'").select("doc_id", X.rejoin_hyphenation(F.replace("text", F.lit(" of "), F.lit("-\n "))).alias("joined"))
+    return docs(s, d).select("doc_id", X.rejoin_hyphenation(F.replace("text", F.lit(" of "), F.lit("-\n "))).alias("joined"))
 
 
 @query(r"SELECT doc_id, regexp_replace(replace(text, ' the ', ' _the_ '), '_([^_\n]{1,80})_', '\1', 'g') AS plain FROM documents")
@@ -94,7 +113,8 @@ def strip_html(s, d):
 @query(
     r"""
 WITH a AS (SELECT o_orderkey, 'Release Date: ' || strftime(o_orderdate, '%Y-%m-%d') AS h, 'in ' || strftime(o_orderdate, '%Y') || ' or 1650' AS g FROM orders)
-SELECT o_orderkey, CAST(regexp_extract(h, '(\d{4})', 1) AS INT) AS release_year, 1650 AS least_year, 1650 AS author_year FROM a"""
+SELECT o_orderkey, CAST(regexp_extract(h, '(?:Release Date|Posting Date)[^\n]*?(\d{4})', 1) AS INT) AS release_year, list_min(list_transform(regexp_extract_all(g, '\b(1[6-9]\d{2}|20[0-2]\d)\b', 1), lambda x: CAST(x AS INT))) AS least_year,
+  CAST(list_last(regexp_extract_all(g, '1[0-9]{3}|20[0-2][0-9]')) AS INT) AS author_year FROM a"""
 )
 def year_extract(s, d):
     o = table(s, d, "orders").select("o_orderkey", F.concat(F.lit("Release Date: "), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("h"), F.concat(F.lit("in "), F.date_format("o_orderdate", "yyyy"), F.lit(" or 1650")).alias("g"))
@@ -106,27 +126,63 @@ def exact_key(s, d):
     return docs(s, d).select("doc_id", X.exact_key(F.col("text")).alias("key"))
 
 
-@query(
-    f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS w FROM documents),
-s AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0))
-SELECT w.doc_id, count(DISTINCT x) AS n_shingles, min(md5(x)) AS least FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id"""
-)
+PLAIN = "[a-z0-9'']+"  # in SQL quotes
+SHINGLES = f"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '{PLAIN}') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0))"""
+
+
+@query(f"WITH {SHINGLES} SELECT w.doc_id, count(x) AS n_shingles, min(md5(x)) AS least FROM w LEFT JOIN sh ON w.doc_id = sh.doc_id GROUP BY w.doc_id")
 def shingles(s, d):
     # The words are a column of their own: an expression inside a lambda runs once for each element.
-    sh = docs(s, d).select("doc_id", X.words(F.col("text")).alias("w")).select("doc_id", X.shingles(F.col("w")).alias("sh"))
+    sh = docs(s, d).select("doc_id", X.plain_tokens(F.col("text")).alias("w")).select("doc_id", X.shingles(F.col("w")).alias("sh"))
     return sh.select("doc_id", F.size("sh").cast("long").alias("n_shingles"), F.array_min(F.transform("sh", lambda x: F.md5(x.cast("binary")))).alias("least"))
 
 
-@query(
-    r"""
-SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\b([Aa])n? ((?i:hour|honest|honor|heir))', '\1' || chr(1) || 'n \2', 'g'),
-  '\b([Aa])n? ((?i:one|once|uni|use|user|usual|euro|ubiq))', '\1' || chr(1) || ' \2', 'g'), '\b([Aa])n? ([AEIOUaeiou])', '\1' || chr(1) || 'n \2', 'g'), '\b([Aa])n? ([A-Za-z])', '\1' || chr(1) || ' \2', 'g'), chr(1), '') AS fixed
-FROM (SELECT doc_id, replace(regexp_replace(text, '\b[Aa]n?\b', 'it', 'g'), ' the ', ' a ') AS t FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))"""
-)
+# Whole words in SQL, which has no lookaround: words stand between marks (2 and 3), phrases found between others (1).
+
+
+def bordered_sql(text: str) -> str:
+    return rf"regexp_replace({text}, '({X.LETTER}+)', chr(2) || '\1' || chr(3), 'g')"
+
+
+def unbordered_sql(text: str) -> str:
+    return rf"regexp_replace({text}, '[\x02\x03]', '', 'g')"
+
+
+def phrase_sql(alternation: str) -> str:
+    """The pattern of a phrase (or of several, with bars between them) in a text with marks."""
+    return rf"\x02((?i:{alternation.replace(' ', chr(92) + 'x03 ' + chr(92) + 'x02')}))\x03"
+
+
+def pieces_sql(text: str, alternation: str) -> str:
+    """A text cut at the whole phrases of ``alternation``: what is between them and they themselves in turn."""
+    return "string_split(" + unbordered_sql(rf"regexp_replace({bordered_sql(text)}, '{phrase_sql(alternation)}', chr(1) || '\1' || chr(1), 'g')") + ", chr(1))"
+
+
+def articles_sql(bordered: str, an_before=X.AN_BEFORE, a_before=X.A_BEFORE) -> str:
+    """``text.fix_articles`` of a text with marks, the marks gone."""
+    for before, article in ((f"(?i:{'|'.join(an_before)})", "n"), (f"(?i:{'|'.join(a_before)})", ""), ("[AEIOUaeiou]", "n"), ("[A-Za-z]", "")):
+        bordered = rf"regexp_replace({bordered}, '\x02([Aa])n?\x03 \x02({before})', chr(2) || '\1' || chr(1) || '{article}' || chr(3) || ' ' || chr(2) || '\2', 'g')"
+    return f"replace({unbordered_sql(bordered)}, chr(1), '')"
+
+
+#: A text in which every article is gone and every "the" has become one to settle.
+_TO_FIX = rf"replace({unbordered_sql(rf"regexp_replace({bordered_sql('text')}, '{phrase_sql('an?')}', 'it', 'g')")}, ' the ', ' a ')"
+
+
+def articles_to_fix(c):
+    return F.replace(F.regexp_replace(c, F.lit(X.whole_words("an?")), F.lit("it")), F.lit(" the "), F.lit(" a "))
+
+
+@query(f"SELECT doc_id, {articles_sql(bordered_sql(_TO_FIX))} AS fixed FROM documents")
 def article_fix(s, d):
-    t = F.replace(X.sub(F.col("text"), r"\b[Aa]n?\b", "it"), F.lit(" the "), F.lit(" a "))
-    return docs(s, d).filter(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", X.fix_articles(t).alias("fixed"))
+    return docs(s, d).select("doc_id", X.fix_articles(articles_to_fix(F.col("text"))).alias("fixed"))
+
+
+@query(f"SELECT doc_id, {articles_sql(bordered_sql(_TO_FIX), X.AN_BEFORE_AT_RUNTIME, X.A_BEFORE_AT_RUNTIME)} AS fixed FROM documents")
+def article_fix_runtime(s, d):
+    """The same with the longer lists that the page pass has."""
+    return docs(s, d).select("doc_id", X.fix_articles(articles_to_fix(F.col("text")), X.AN_BEFORE_AT_RUNTIME, X.A_BEFORE_AT_RUNTIME).alias("fixed"))
 
 
 @query("SELECT p_partkey, CASE WHEN upper(p_brand[1]) = p_brand[1] AND lower(p_brand[1]) <> p_brand[1] THEN upper(p_name[1]) || p_name[2:] ELSE p_name END AS cased FROM part")
@@ -154,7 +210,16 @@ def lang_filter(s, d):
 
 
 ABBREV = ", ".join(f"'{a}'" for a in X.ABBREVIATIONS)
-SENTENCES = rf"""
+#: Documents that pass the gate on their raw text and are English, normalised.
+CLEAN = f"clean AS (SELECT doc_id, source, lang, {normalized_sql('text')} AS text FROM documents WHERE {GATE} AND lang = 'en')"
+
+
+def cleaned(df: DataFrame) -> DataFrame:
+    """Documents that pass the gate and the language test, with their texts normalised."""
+    return df.filter(doc_gate_column() & (F.col("lang") == "en")).withColumn("text", udfs.normalized(F.col("text")))
+
+
+_SENTENCES = rf"""
 paragraphs AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS pn FROM documents),
 marked AS (SELECT doc_id, source, lang, pn, string_split(regexp_replace(regexp_replace(p, '^{SPACE}+|{SPACE}+$', '', 'g'), '([.!?][''")\]]?{SPACE}+)(["''(\[]?[A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ps FROM paragraphs),
 pieces AS (SELECT doc_id, source, lang, pn, unnest(ps) AS x, generate_subscripts(ps, 1) AS k FROM marked),
@@ -164,6 +229,8 @@ grouped AS (SELECT *, coalesce(sum(CASE WHEN NOT ends_with(head, '..') AND (prev
   OVER (PARTITION BY doc_id, pn ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM vetoes),
 raw AS (SELECT doc_id, source, lang, pn, g, regexp_replace(string_agg(x, '' ORDER BY k), '^{SPACE}+|{SPACE}+$', '', 'g') AS sentence FROM grouped GROUP BY doc_id, source, lang, pn, g),
 sentences AS (SELECT doc_id, source, lang, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY pn, g) - 1 AS sent_no FROM raw WHERE sentence <> '')"""
+#: Sentences of the documents as they stand, and of the cleaned ones.
+RAW_SENTENCES, SENTENCES = _SENTENCES, f"{CLEAN}, {_SENTENCES.replace('FROM documents)', 'FROM clean)', 1)}"
 REASON = rf"""
 tokenised AS (SELECT *, regexp_extract_all(sentence, '{NOT_SPACE}+') AS t FROM sentences),
 counted AS (SELECT *, len(t) AS n, list_filter(t, lambda x: regexp_matches(x, '\p{{L}}')) AS alpha FROM tokenised),
@@ -192,8 +259,8 @@ def all_sentences(df: DataFrame) -> DataFrame:
 
 
 def good_sentences(df: DataFrame) -> DataFrame:
-    """Sentences that pass every rule, with their token count and key."""
-    return all_sentences(df).filter(X.reject_reason(F.col("sentence")).isNull()).withColumns({"n_tok": X.token_count(F.col("sentence")), "key": X.exact_key(F.col("sentence"))})
+    """Sentences of the cleaned documents that pass every rule, with their token count and key."""
+    return all_sentences(cleaned(df)).filter(X.reject_reason(F.col("sentence")).isNull()).withColumns({"n_tok": X.token_count(F.col("sentence")), "key": X.exact_key(F.col("sentence"))})
 
 
 def first_of_key(df: DataFrame, key: str = "key", order=("doc_id", "sent_no")) -> DataFrame:
@@ -202,33 +269,38 @@ def first_of_key(df: DataFrame, key: str = "key", order=("doc_id", "sent_no")) -
     return df.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("r")).select(key, "r.*").select(*df.columns)
 
 
-@query(f"WITH {SENTENCES} SELECT doc_id, sent_no, sentence FROM sentences")
+@query(f"WITH {RAW_SENTENCES} SELECT doc_id, sent_no, sentence FROM sentences")
 def sentences(s, d):
     return all_sentences(docs(s, d)).select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), "sentence")
 
 
-@query(f"WITH {SENTENCES}, {REASON} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM reasons GROUP BY reason")
+@query(f"WITH {RAW_SENTENCES}, {REASON} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM reasons GROUP BY reason")
 def sentence_gate_reasons(s, d):
     return all_sentences(docs(s, d)).groupBy(F.coalesce(X.reject_reason(F.col("sentence")), F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {SENTENCES} SELECT len(regexp_extract_all(sentence, '{NOT_SPACE}+')) AS n_tok, count(*) AS n FROM sentences GROUP BY n_tok")
+@query(f"WITH {RAW_SENTENCES} SELECT len(regexp_extract_all(sentence, '{NOT_SPACE}+')) AS n_tok, count(*) AS n FROM sentences GROUP BY n_tok")
 def sentence_length_hist(s, d):
     return all_sentences(docs(s, d)).groupBy(X.token_count(F.col("sentence")).cast("long").alias("n_tok")).agg(F.count("*").alias("n"))
 
 
 @query(
-    f"""WITH {SENTENCES}, {REASON}, gated AS (SELECT doc_id FROM documents WHERE {GATE} AND lang = 'en')
-SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM gated) AS docs_kept, (SELECT count(*) FROM reasons SEMI JOIN gated USING (doc_id)) AS sentences,
-  (SELECT count(*) FROM good SEMI JOIN gated USING (doc_id)) AS accepted, (SELECT count(DISTINCT key) FROM good SEMI JOIN gated USING (doc_id)) AS kept"""
+    f"""WITH {SENTENCES}, {REASON} SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM documents WHERE NOT ({GATE})) AS dropped_quality, (SELECT count(*) FROM documents WHERE {GATE} AND lang <> 'en') AS dropped_lang,
+  (SELECT CAST(sum(len(regexp_extract_all(lower(text), '{W}'))) AS BIGINT) FROM clean) AS words, count(*) AS sentences, count(*) FILTER (WHERE reason IS NOT NULL) AS filtered, (SELECT count(*) FROM good) - (SELECT count(*) FROM kept) AS dupes,
+  (SELECT count(*) FROM kept WHERE substr(md5('base:' || key), 1, 2) < '08') AS baseline, (SELECT count(*) FROM kept) AS retained FROM reasons"""
 )
 def pipeline_counters(s, d):
-    all_docs = docs(s, d)
-    gated = all_docs.filter(doc_gate_column() & (F.col("lang") == "en"))
-    n = all_docs.agg(F.count("*").alias("docs"), F.count_if(doc_gate_column() & (F.col("lang") == "en")).alias("docs_kept"))
-    sent = all_sentences(gated).withColumn("ok", X.reject_reason(F.col("sentence")).isNull())
-    m = sent.agg(F.count("*").alias("sentences"), F.count_if("ok").alias("accepted"), F.count_distinct(F.when(F.col("ok"), X.exact_key(F.col("sentence")))).alias("kept"))
-    return n.join(F.broadcast(m))
+    """What each step of the sentence pipeline takes in and leaves, from one pass over the documents and one over their sentences."""
+    every, gate = docs(s, d), doc_gate_column()
+    n = every.agg(F.count("*").alias("docs"), F.count_if(~gate).alias("dropped_quality"), F.count_if(gate & (F.col("lang") != "en")).alias("dropped_lang"))
+    words = cleaned(every).agg(F.sum(F.size(X.words(F.col("text")))).cast("long").alias("words"))
+    sent = all_sentences(cleaned(every)).withColumn("ok", X.reject_reason(F.col("sentence")).isNull()).withColumn("key", F.when(F.col("ok"), X.exact_key(F.col("sentence"))))
+    # One row a key first, so that no count of distinct keys is made in one task.
+    per = sent.groupBy("key").agg(F.count("*").alias("n"))
+    base = F.substring(F.md5(F.concat(F.lit("base:"), "key").cast("binary")), 1, 2) < "08"
+    some = F.col("key").isNotNull()
+    m = per.agg(F.sum("n").alias("sentences"), F.sum(F.when(~some, F.col("n")).otherwise(0)).alias("filtered"), F.sum(F.when(some, F.col("n") - 1).otherwise(0)).alias("dupes"), F.count_if(some & base).alias("baseline"), F.count_if(some).alias("retained"))
+    return n.join(F.broadcast(words)).join(F.broadcast(m))  # three single rows
 
 
 @query(
@@ -313,7 +385,7 @@ def top_forms(s, d):
     return counts(docs(s, d)).orderBy(F.desc("n"), "form").limit(1000)
 
 
-@query(f"WITH c AS (SELECT form, count(*) AS n FROM ({TOKENS}) GROUP BY form), k AS (SELECT coalesce((SELECT n FROM c ORDER BY n DESC LIMIT 1 OFFSET 1000), 0) AS cut) SELECT form, n FROM c, k WHERE n > cut")
+@query(f"WITH c AS MATERIALIZED (SELECT form, count(*) AS n FROM ({TOKENS}) GROUP BY form), k AS MATERIALIZED (SELECT coalesce(max(n), 0) AS cut FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS i FROM c) WHERE i = 1001) SELECT form, n FROM c, k WHERE n > cut")
 def prune_counts(s, d):
     c = counts(docs(s, d))
     cut = c.select("n").orderBy(F.desc("n")).limit(1001).agg(F.when(F.count("*") > 1000, F.min("n")).otherwise(F.lit(0)).alias("cut"))

@@ -62,9 +62,9 @@ def questions(spark: SparkSession, root: str) -> DataFrame:
     df = spark.read.format("xml").schema(schema).option("rowTag", "row").option("recursiveFileLookup", True).option("pathGlobFilter", "Posts.xml").load(root)
     df = df.withColumn("path", _path()).filter(F.length("_Body") > 0)
     site = F.regexp_extract("path", r"([^/]+)/Posts\.xml$", 1)
-    # Entities that the built-in functions do not know are decoded only where one is left.
-    body = X.strip_html(F.col("_Body"))
-    body = F.when(body.rlike("&[#A-Za-z]"), udfs.unescape(body)).otherwise(body)
+    # Entities are decoded once: texts that hold one go to Python, the others have nothing to decode.
+    tagless = X.strip_tags(F.col("_Body"))
+    body = F.coalesce(udfs.unescape(F.when(tagless.contains("&"), tagless)), tagless)
     return _documents(df, doc_id=F.concat_ws(":", F.lit("se"), site, "_Id"), source=F.lit("stackexchange"), text=body, pub_year=F.substring("_CreationDate", 1, 4).try_cast("int"))
 
 

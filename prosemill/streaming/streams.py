@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as X
+from prosemill.operators.scratch import new_path
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents", files_per_trigger: int = 64) -> DataFrame:
@@ -33,8 +32,7 @@ def windowed_events(stream: DataFrame, width: str = "1 hour", late: str = "1 day
 def collected(stream: DataFrame, mode: str) -> DataFrame:
     """All available input run through the stream; the result as a table of the shared folder."""
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/prosemill-checkpoints").rstrip("/")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
 
     def write(batch: DataFrame, epoch: int) -> None:
         # In complete mode the last batch holds all; a repeated epoch overwrites its own folder, so a retry adds nothing.
@@ -52,8 +50,7 @@ def coverage(spark: SparkSession, stream: DataFrame, words: DataFrame, cap: int)
     from prosemill.operators.dedup import written
     from prosemill.plans.text_queries import first_of_key, good_sentences
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/prosemill-checkpoints").rstrip("/")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
     held: dict = {"n": None, "out": None, "keys": None}
     band = written(words)
 
