@@ -18,22 +18,27 @@ from prosemill.llm.common import materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under the threshold by a field trained on ``labels``; null and empty texts stay, and with no labels all do."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of the least id of each group of near-duplicates; all null, empty and wordless texts are one group."""
     return simhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark`` within its edit budget; null and empty texts stay, and with no items all do."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's budget takes it; one without words stays once. A null source is a source."""
     return mixing.mixed(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with ``shard`` and ``slot``; repeated rows and null ids get places of their own."""
     return sharding.sharded(docs)
 
 

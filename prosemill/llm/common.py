@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosemill.operators.scratch import written as materialise
+
+__all__ = ["GROUP_BYTES", "Tokens", "U64", "WORD", "free_name", "grouped_texts", "held_out", "materialise", "mix", "n_groups", "table", "word_count"]
+
 #: Words of the contracts: maximal runs without ASCII white space. ``bytes.split()`` cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one group of documents aims at; a group is one Python call.
@@ -22,22 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = os.environ.get("PROSEMILL_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="prosemill-")
-        spark.conf.set("spark.checkpoint.dir", at) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return at.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, which survives lost executors."""
-    at = f"{shared_dir(df.sparkSession)}/prosemill-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def word_count(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, materialise, table
 
 #: Edits allowed, as a part of an item's characters.
 RATE = 0.05
@@ -120,6 +120,7 @@ def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tupl
 
 
 def finder(spark: SparkSession, items: list[tuple[int, str]], rate: float = RATE):
+    """A column function that finds ``items`` in texts, and the broadcast it holds."""
     sent = spark.sparkContext.broadcast(items)
 
     @F.pandas_udf(_HITS)
@@ -128,20 +129,26 @@ def finder(spark: SparkSession, items: list[tuple[int, str]], rate: float = RATE
         for batch in batches:
             yield pd.Series([[dict(zip(("item_id", "distance", "start", "end", "places"), h)) for h in matcher.find(t)] for t in batch], dtype=object)
 
-    return find
+    return find, sent
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, distance, start, end, places``: every document and item within the item's edit budget.
 
     A pair has one row for each row of ``docs``: its least distance, where that is, and the number
-    of places. Null texts and empty items match nothing; repeated items are one. No shuffle.
+    of places. Null texts and empty items match nothing; repeated items are one, repeated documents are not. Empty tables
+    on either side give an empty result; other columns of both are left out; texts are searched whole. No shuffle. Of a
+    benchmark of more than one block, each block's hits are written before the next block is sent.
     """
-    out = None
-    for items in blocks(benchmark):
-        hits = docs.select("doc_id", F.explode(finder(docs.sparkSession, items, rate)("text")).alias("hit")).select("doc_id", "hit.*")
-        out = hits if out is None else out.union(hits)
-    return out
+    out, last = None, None
+    for items in blocks(benchmark, chars):
+        if last is not None:
+            hits, sent = last
+            out = materialise(hits) if out is None else out.union(materialise(hits))
+            sent.unpersist()
+        find, sent = finder(docs.sparkSession, items, rate)
+        last = docs.select("doc_id", F.explode(find("text")).alias("hit")).select("doc_id", "hit.*"), sent
+    return last[0] if out is None else out.union(last[0])
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,9 +156,17 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents that hold no item of the benchmark."""
+def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that hold no item of the benchmark, with all their columns.
+
+    Null and empty texts stay, and an empty benchmark keeps all. What a block leaves is written before the next block is sent.
+    """
     (hit,) = free_name(docs, "hits")
-    for items in blocks(benchmark):
-        docs = docs.withColumn(hit, finder(docs.sparkSession, items, rate)("text")).filter(F.size(hit) == 0).drop(hit)
+    held = None
+    for items in blocks(benchmark, chars):
+        if held is not None:
+            docs = materialise(docs)
+            held.unpersist()
+        find, held = finder(docs.sparkSession, items, rate)
+        docs = docs.withColumn(hit, find("text")).filter(F.size(hit) == 0).drop(hit)
     return docs

@@ -55,8 +55,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
 
     ``taken`` counts the words of a document that the mix holds: its size for each whole epoch,
     and in the last one all, none or (the document at the cut) a part. A null text has size 0.
-    The order is that of the id's MD5; rows that share an id lie in the order of their size, and
-    equal rows are interchangeable. Input columns that clash with the new names are replaced.
+    The order is that of the id's MD5; rows that share an id lie in the order of their size and of a hash of their
+    text, and equal rows are interchangeable. An empty table gives an empty result. Input columns that clash with the new names are replaced.
     """
     if "text" in docs.columns:
         docs = docs.drop("size").withColumn("size", word_count(F.col("text")))
@@ -69,7 +69,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     earlier = Window.partitionBy(s).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = bins.withColumn(base, F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     starts = materialise(starts.join(goals.withColumnRenamed("source", "goal_source"), F.col(s).eqNullSafe(F.col("goal_source"))).drop("goal_source"))
-    inner = Window.partitionBy("source", bin_).orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    tie = [F.xxhash64("text")] if "text" in docs.columns else []
+    inner = Window.partitionBy("source", bin_).orderBy(key, "doc_id", "size", *tie).rowsBetween(Window.unboundedPreceding, -1)
     rows = keyed.withColumn(before, F.coalesce(F.sum("size").over(inner), F.lit(0)))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col(s)) & (F.col(bin_) == F.col(b)))
     budget = F.floor("target")

@@ -15,7 +15,8 @@ from .common import free_name, materialise, table
 
 #: Levels of the curve; three dimensions make 4,096 cells.
 BITS = 4
-#: Equal-width steps of a dimension's range whose exact counts give its equal-depth levels.
+#: Steps of a dimension's range whose exact counts give its equal-depth levels: of a number, 64 to each doubling of its distance
+#: from the least one, so that one huge value leaves the small ones apart; of a string, equally wide ones.
 STEPS = 4096
 #: A bin holds about this part of all rows at most, and LEAST_BIN rows at least.
 BIN_PART, LEAST_BIN = 16384, 32
@@ -73,9 +74,17 @@ def _numbers(df: DataFrame, dims: list[str]) -> tuple[list[Column], list[Column]
         else:
             number = F.floor(F.col(d).cast("double")).cast("long") if kinds[d] in ("float", "double") else F.col(d).cast("long")
             lo, hi = int(lo or 0), int(hi or 0)
-        width = -(-(hi - lo + 1) // (STEPS - 1))
         numbers.append(number)
-        steps.append(F.coalesce((F.floor((number - F.lit(lo)) / F.lit(width)) + 1).cast("int"), F.lit(0)))
+        if kinds[d] == "string":
+            width = -(-(hi - lo + 1) // (STEPS - 1))
+            step = F.floor((number - F.lit(lo)) / F.lit(width)) + 1
+        else:
+            # Where the distance's first bit is, and the six bits behind it.
+            x = number - F.lit(lo) + 1
+            top = F.length(F.bin(x)) - 1
+            right, left = F.call_function("shiftright", x, top - 6), F.call_function("shiftleft", x, 6 - top)
+            step = top * 64 + F.when(top >= 6, right).otherwise(left).bitwiseAND(F.lit(63)) + 1
+        steps.append(F.coalesce(step.cast("int"), F.lit(0)))
     return numbers, steps
 
 
@@ -83,9 +92,10 @@ def shard(df: DataFrame, dims: list[str], n_shards: int = N_SHARDS, id_col: str
     """``df`` plus ``shard`` (0 to ``n_shards`` - 1, counts at most one apart) and ``slot`` (its place in the shard, gapless from 0).
 
     ``dims`` are columns (numbers or strings) of ``df``. Rows of one cell lie in the order of a
-    hash of their id, so that a cell with any share of the rows is split; repeated rows take
-    neighbouring slots. Nulls come first in a dimension. An empty table gives an empty result.
-    Input columns that clash with the new names are replaced.
+    hash of the row, so that a cell with any share of the rows is split, also by rows of a null or repeated id; rows
+    that are equal in all columns take neighbouring slots and are interchangeable. Nulls come first in a dimension. An
+    empty table gives an empty result; texts of any length are only measured and hashed. Input columns
+    that clash with the new names are replaced.
     """
     df = df.drop("shard", "slot")
     cell, h, sub, size, rank, base, bin_ = free_name(df, "cell", "hash", "sub", "n_subs", "nth", "base", "bin")
@@ -102,7 +112,7 @@ def shard(df: DataFrame, dims: list[str], n_shards: int = N_SHARDS, id_col: str
     for i in range(len(dims)):  # at most STEPS rows each
         known = levels.filter(F.col("d") == i).select(F.col("s").alias(step_names[i]), F.col("level").alias(level_names[i]))
         out = out.join(F.broadcast(known), step_names[i]).drop(step_names[i])
-    out = out.withColumn(cell, hilbert_index([F.col(c) for c in level_names])).withColumn(h, F.xxhash64(F.col(id_col))).drop(*level_names)
+    out = out.withColumn(cell, hilbert_index([F.col(c) for c in level_names])).withColumn(h, F.xxhash64(id_col, *(c for c, t in df.dtypes if c != id_col and "map<" not in t and "variant" not in t))).drop(*level_names)
     cells = materialise(out.groupBy(F.col(cell).alias("c")).agg(F.count("*").alias("n")))  # at most 2 ** (BITS * dims) rows
     total = cells.agg(F.sum("n")).first()[0] or 0
     in_bin = max(LEAST_BIN, -(-total // BIN_PART))

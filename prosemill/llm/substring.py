@@ -1,18 +1,20 @@
 """Repeated passages by prefix-partitioned suffix trees.
 
-Suffixes start at every word. A suffix's prefix, as far as it decides its group, runs from its
-start to the end of the least 8-gram of its first 20 words: 8 to 20 words, so prefixes have
-variable lengths, equal 20-word sequences have equal prefixes, and neighbouring suffixes of a
-text mostly share the closing 8-gram (the anchor) and travel together.
-
-1. Every group of documents sends the hashes of its anchors to their partitions.
-2. An anchor that only one group has cannot open a repeat across groups; the rest are sent back.
-3. Each group sends, for these anchors, the words of the suffixes to the anchor's partition, once
-   for all equal windows that the group has. This is all that a passage with any number of copies
-   costs, so a frequent passage is as large as the number of groups and not of documents.
-4. Each partition, sized to fit in memory, builds its suffix tree, cut at depth 20: suffix array, longest
-   common prefixes, and the internal nodes at depth 20. A node's leaves are one word sequence;
-   all but the earliest leaf are marked and sent back to their group.
+Suffixes start at every word. A suffix's prefix decides its group. It runs at first from its start to the
+end of the least 8-gram of its first 20 words: 8 to 20 words, so equal 20-word sequences have equal
+prefixes, and neighbouring suffixes of a text mostly share the closing 8-gram (the anchor) and travel
+together. Prefixes are counted; one whose suffixes are over ``tree_rows`` is lengthened to 20 words.
+
+1. Every group of documents sends the hashes of its anchors, and how many suffixes end their prefix with each.
+2. An anchor that only one group has cannot open a repeat across groups; the rest are sent back, each with whether
+   its prefixes are to be lengthened.
+3. Each group sends, for these anchors, the suffixes to their prefix's partition, once for all equal
+   20-word windows that the group has: runs of neighbours as one stretch of words, and those with a lengthened
+   prefix, which is all that is asked of them, as its hash. So a passage with any number of copies costs as many rows as there
+   are groups and not documents.
+4. Each partition builds its suffix tree, cut at depth 20: suffix array, longest common prefixes, and the outermost
+   internal nodes of depth 20. A node's leaves are one word sequence; all but the earliest leaf are marked and sent
+   back to their group.
 5. Each group takes the words that marked windows cover out of its texts.
 """
 
@@ -32,6 +34,10 @@ WINDOW = 20
 ANCHOR = 8
 #: Text bytes of a group of documents.
 GROUP_BYTES = 2 << 20
+#: Suffixes of one prefix that a tree takes (about 100 bytes each) before the prefix is lengthened.
+TREE_ROWS = 200_000
+#: Partitions of prefixes, at least; otherwise as many as there are groups.
+LEAST_PARTS = 192
 _PART = "part int, g int, data binary"
 _HEAD = np.dtype([("null", "u1"), ("n", "u1"), ("doc_id", "<i8"), ("start", "<i4"), ("pos", "<i4")])
 
@@ -78,19 +84,35 @@ class _Group:
 
 def _send_anchors(parts: int, window: int, anchor: int):
     def send(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.unique(_Group(pdf, window, anchor).anchor_hash)
-        return _rows(_part(h, parts), key[0], lambda i, j: h[i:j].tobytes())
+        s = _Group(pdf, window, anchor)
+        h, n = np.unique(s.anchor_hash[~s.marked], return_counts=True)
+        return _rows(_part(h, parts), key[0], lambda i, j: h[i:j].tobytes() + n[i:j].astype("<u4").tobytes())
 
     return send
 
 
-def _common_anchors(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    each = [np.frombuffer(b, U64) for b in pdf["data"]]
-    h, n = np.unique(np.concatenate(each), return_counts=True)
-    common = h[n > 1]
-    kept = [x[np.isin(x, common, assume_unique=True)] for x in each]
-    out = pdf.assign(data=[x.tobytes() for x in kept])
-    return out[[len(x) > 0 for x in kept]][["part", "g", "data"]]
+def _anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors' hashes and their numbers."""
+    m = len(data) // 12
+    return np.frombuffer(data, U64, m), np.frombuffer(data, "<u4", m, 8 * m)
+
+
+def _common_anchors(tree_rows: int):
+    def common(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The anchors of more than one group, each with 1 if its prefixes are to be lengthened and else 0."""
+        each = [_anchors(b) for b in pdf["data"]]
+        h, where, groups = np.unique(np.concatenate([x for x, _ in each]), return_inverse=True, return_counts=True)
+        rows = np.bincount(where, np.concatenate([n for _, n in each]).astype(float), len(h))
+        long = (rows > tree_rows).astype("<u4")
+        out, at = [], 0
+        for x, _ in each:
+            k = where[at : at + len(x)]
+            k = k[groups[k] > 1]
+            out.append(h[k].tobytes() + long[k].tobytes())
+            at += len(x)
+        return pdf.assign(data=out)[[len(b) > 0 for b in out]][["part", "g", "data"]]
+
+    return common
 
 
 def _send_suffixes(parts: int, window: int, anchor: int):
@@ -98,10 +120,16 @@ def _send_suffixes(parts: int, window: int, anchor: int):
         if not len(docs) or not len(common):
             return _rows(np.zeros(0, int), 0, None)
         s = _Group(docs, window, anchor)
-        wanted = ~s.marked & np.isin(s.anchor_hash, np.concatenate([np.frombuffer(b, U64) for b in common["data"]]))
-        k = np.flatnonzero(wanted)
+        known, is_long = (np.concatenate(x) for x in zip(*map(_anchors, common["data"])))
+        order = np.argsort(known)
+        known, is_long = known[order], is_long[order] > 0
+        place = np.minimum(np.searchsorted(known, s.anchor_hash), len(known) - 1)
+        wanted = ~s.marked & (known[place] == s.anchor_hash)
+        whole = np.flatnonzero(wanted & is_long[place])
+        leaves = _leaf_rows(s, whole, parts, key[0])
+        k = np.flatnonzero(wanted & ~is_long[place])
         if not len(k):
-            return _rows(np.zeros(0, int), 0, None)
+            return leaves
         # A run: neighbouring windows with the same anchor.
         cut = np.concatenate([[0], np.flatnonzero((np.diff(s.at[k]) != 1) | (np.diff(s.anchor[k]) != 0)) + 1])
         n = np.diff(np.concatenate([cut, [len(k)]]))
@@ -119,30 +147,54 @@ def _send_suffixes(parts: int, window: int, anchor: int):
         def pack(i: int, j: int) -> bytes:
             return b"".join([np.int64(j - i).tobytes(), head[i:j].tobytes(), np.concatenate(word_at[i:j]).tobytes(), np.concatenate(hash_at[i:j]).tobytes()])
 
-        return _rows(p[order], key[0], pack)
+        return pd.concat([leaves, _rows(p[order], key[0], pack)])
 
     return send
 
 
-def deep_nodes(words: np.ndarray, last: np.ndarray, tie: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix tree of suffixes cut to the rows of ``words`` plus the symbol ``last``.
+def _leaf_rows(s: _Group, k: np.ndarray, parts: int, g: int) -> pd.DataFrame:
+    """The windows ``k`` by their hash, for the partitions behind those of the shorter prefixes."""
+    p = _part(s.hash[k], parts)
+    k = k[order] if len(order := np.argsort(p, kind="stable")) else k
+    head = np.zeros(len(k), _HEAD)
+    head["null"], head["doc_id"], head["start"], head["pos"], head["n"] = s.t.null[s.doc[k]], s.t.ids[s.doc[k]], s.start[k], s.at[k], 1
+    return _rows(np.sort(p) + U64(parts), g, lambda i, j: head[i:j].tobytes() + s.hash[k[i:j]].tobytes())
+
 
-    Returns the suffix array, the leaves of a node in the order of ``tie``, and for each place in it whether
-    the longest common prefix with the one before is the whole row, that is whether both
-    are leaves of one internal node at full depth.
+def suffix_array(words: np.ndarray, last: np.ndarray, tie: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of suffixes cut to the rows of ``words`` plus the symbol ``last``, leaves of a node in the order of ``tie``; and longest common prefixes.
+
+    The prefix with the one before is counted in symbols, ``last`` included; that of the first one is 0.
     """
     n, k = words.shape
     pairs = [words[:, i].astype(U64) << U64(32) | (words[:, i + 1].astype(U64) if i + 1 < k else U64(0)) for i in range(0, k, 2)]
     order = np.lexsort([*reversed(tie), last, *reversed(pairs)])
     same = words[order[1:]] == words[order[:-1]]
-    lcp = np.where(same.all(axis=1), k, same.argmin(axis=1))
-    return order, np.concatenate([[False], (lcp == k) & (last[order[1:]] == last[order[:-1]])])[:n]
+    all_ = same.all(axis=1) if k else np.ones(max(0, n - 1), bool)
+    lcp = np.where(all_, k + (last[order[1:]] == last[order[:-1]]), same.argmin(axis=1) if k else 0)
+    return order, np.concatenate([[0], lcp])[:n].astype(np.int64)
+
+
+def deep_nodes(lcp: np.ndarray, depth: int) -> np.ndarray:
+    """First leaf, as a place of the suffix array, of the outermost internal node of at least ``depth`` that each place lies under; of a place under none, itself.
+
+    Such a node is a run of common prefixes that all reach the depth.
+    """
+    return np.maximum.accumulate(np.where(lcp >= depth, 0, np.arange(len(lcp))))
 
 
-def _trees(window: int):
+def _trees(window: int, parts: int):
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         heads, words, lasts, groups = [], [], [], []
         for g, b in zip(pdf["g"], pdf["data"]):
+            if key[0] >= parts:  # whole prefixes: nothing is left below them but the leaves
+                m = len(b) // (_HEAD.itemsize + 8)
+                wide = np.frombuffer(b, _HEAD, m)
+                heads.append((wide["null"], wide["doc_id"], wide["start"].astype(np.int64), wide["pos"].astype(np.int64)))
+                lasts.append(np.frombuffer(b, U64, m, m * _HEAD.itemsize))
+                words.append(np.zeros((m, 0), np.uint32))
+                groups.append(np.full(m, g, np.int32))
+                continue
             m = int(np.frombuffer(b, "<i8", 1)[0])
             head = np.frombuffer(b, _HEAD, m, 8)
             n = head["n"].astype(np.int64)
@@ -158,9 +210,10 @@ def _trees(window: int):
             groups.append(np.full(len(nth), g, np.int32))
         null, doc, start, pos = (np.concatenate(x) for x in zip(*heads))
         g, rows, last = np.concatenate(groups), np.concatenate(words), np.concatenate(lasts)
-        order, deep = deep_nodes(rows, last, [null, doc, start])
-        first = order[np.maximum.accumulate(np.where(deep, 0, np.arange(len(order))))]
-        later = deep & ~((null[order] == null[first]) & (doc[order] == doc[first]) & (start[order] == start[first]))
+        order, lcp = suffix_array(rows, last, [null, doc, start])
+        node = deep_nodes(lcp, rows.shape[1] + 1)
+        first = order[node]
+        later = (node != np.arange(len(node))) & ~((null[order] == null[first]) & (doc[order] == doc[first]) & (start[order] == start[first]))
         k = order[later]
         k = k[np.lexsort([pos[k], g[k]])]
         spans = _spans(g[k])
@@ -205,21 +258,23 @@ def _clean(window: int, anchor: int):
     return clean
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, group_bytes: int = GROUP_BYTES, tree_rows: int = TREE_ROWS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` of every row of ``docs(doc_id, text)``; ``kept`` is the text left.
 
     A word goes if a window of ``window`` words that covers it also starts earlier: in a smaller
     id, or in the same id at an earlier word. A null text has no words; null ids come after all
     others; rows that share an id count as one document, so copies under one id do not remove each
-    other at the same start. Shorter documents lose nothing.
+    other at the same start. Shorter documents lose nothing. Other columns of the input are left out, an empty table gives an
+    empty result, and a text is never cut: a group holds at least one document, whatever its length.
     """
     n = n_groups(docs, group_bytes)
+    parts = max(n, LEAST_PARTS)
     texts = grouped_texts(docs, n)
     by_g = texts.groupBy("g")
-    anchors = by_g.applyInPandas(_send_anchors(n, window, anchor), _PART)
-    common = materialise(anchors.groupBy("part").applyInPandas(_common_anchors, _PART))
-    suffixes = by_g.cogroup(common.groupBy("g")).applyInPandas(_send_suffixes(n, window, anchor), _PART)
-    marks = suffixes.groupBy("part").applyInPandas(_trees(window), "g int, data binary")
+    anchors = by_g.applyInPandas(_send_anchors(parts, window, anchor), _PART)
+    common = materialise(anchors.groupBy("part").applyInPandas(_common_anchors(tree_rows), _PART))
+    suffixes = by_g.cogroup(common.groupBy("g")).applyInPandas(_send_suffixes(parts, window, anchor), _PART)
+    marks = suffixes.groupBy("part").applyInPandas(_trees(window, parts), "g int, data binary")
     return by_g.cogroup(marks.groupBy("g")).applyInPandas(_clean(window, anchor), "doc_id long, n_words long, n_removed long, kept string")
 
 

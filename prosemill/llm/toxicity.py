@@ -345,7 +345,12 @@ def _most(model: Model, docs: list[list[str]]) -> list[float]:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` plus a struct ``toxicity`` of ``score`` and ``spans`` (offsets into the text). A null text is empty."""
+    """``docs`` plus a struct ``toxicity`` of ``score`` and ``spans`` (offsets into the text).
+
+    A null text is empty, and an empty one scores what a text without any toxic token does. Rows are scored each by itself, repeated
+    ones alike; texts of any length are scored whole. An empty table gives an empty result. An input column ``toxicity``
+    is replaced, all others stay.
+    """
 
     @F.pandas_udf("score double, spans array<struct<start: int, end: int, p: double>>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -372,7 +377,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score is under the threshold."""
+    """The documents whose score is under the threshold, with all their columns, one called ``toxicity`` included."""
     whole = docs.columns
     (kept,) = free_name(docs, "kept_toxicity")
     out = scored(docs.withColumnRenamed("toxicity", kept), model).filter(F.col("toxicity.score") < threshold).drop("toxicity")

@@ -156,15 +156,17 @@ def test_substring_against_all_windows(make):
     passages = [prose(100 + k, r.randint(18, 70)) for k in range(12)]
     docs = [(i, " ".join(x for _ in range(r.randint(0, 4)) for x in (prose(r.random(), r.randint(0, 40)), r.choice(passages)))) for i in range(120)]
     docs += [(3, docs[3][1]), (200, docs[7][1]), (201, docs[7][1]), *((i, t) for i, t, _ in ODD if i != 3)]
-    got = substring.remove_repeats(make(docs), group_bytes=2000).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))
-    assert rows(got) == plain_repeats(docs)
+    for tree_rows in (200_000, 6, 0):  # none, some and all prefixes are lengthened
+        got = substring.remove_repeats(make(docs), group_bytes=2000, tree_rows=tree_rows).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))
+        assert rows(got) == plain_repeats(docs)
     assert substring.remove_repeats(make([])).count() == 0
 
 
 def test_suffix_tree_nodes():
     x = np.array([[1, 2, 3], [1, 2, 4], [1, 2, 3], [0, 2, 3], [1, 2, 3]], np.uint32)
-    order, deep = substring.deep_nodes(x, np.array([5, 5, 5, 5, 6], np.uint64), [np.arange(5)[::-1]])
-    assert list(order) == [3, 2, 0, 4, 1] and list(deep) == [False, False, True, False, False]
+    order, lcp = substring.suffix_array(x, np.array([5, 5, 5, 5, 6], np.uint64), [np.arange(5)[::-1]])
+    assert list(order) == [3, 2, 0, 4, 1] and list(lcp) == [0, 0, 4, 3, 2]
+    assert list(substring.deep_nodes(lcp, 4)) == [0, 1, 1, 3, 4] and list(substring.deep_nodes(lcp, 2)) == [0, 1, 1, 1, 1]
 
 
 # 4
