@@ -1,102 +1,237 @@
-"""Stupid-backoff scores against n-gram counts of the whole corpus, as a relational plan.
+"""Stupid-backoff scores against n-gram counts of the whole corpus.
 
 With the corpus scored against itself and nothing pruned, the n-gram that ends at a word has a count at the
 longest order that the word's place allows, so a word scores log10 of count(n-gram) / count(context), and
 the first words of a document, which have fewer words before them, score at a lower order. Their ratios
 cancel but for the first whole context: a document's sum is the log-ratios of its n-grams of the highest
-order, and of the count of its first n-gram to the number of all words.
-
-1. Documents are exploded to one row an n-gram: hash of the context, hash of the word, id of the document.
-   A document's last context has a row without a word, since it counts as a context too.
-2. Rows are partitioned by the hash of the context. The count tables lie there as windowed sums over
-   the exploded rows themselves, so that joining both moves nothing.
-3. The log-ratios are added up for each document, within the partitions and then between them.
-
-A context with over ``1 / HEAVY`` of the rows is dealt out by its next word, and an n-gram that frequent by its
-document. Their counts, a bounded table, come from an aggregate that adds up before it shuffles. A sample of documents
-says which they are, which decides the route of a row and no result.
+order, and of the count of its first context to the number of all words.
+
+1. Documents are exploded, where they are read, to one row an n-gram: hash of the context, hash of the word, number of
+   the document's row. A document's last context has a row without a word, since it counts as a context too.
+   The rows travel as columns, a block for each partition of the contexts' hashes: one row each in
+   Spark's format would be five times the text (the README has the figures).
+2. In each partition the count tables of contexts and of n-grams are made by sorting, and joined to the
+   rows where they lie.
+3. The log-ratios are added up for each document, in the partitions and then by an aggregate over all of them.
+
+A context with over ``1 / HEAVY`` of the rows is dealt out by its next word, and an n-gram that frequent stays
+with its document; their counts are added up before they are shuffled and joined as a bounded table. A sample of documents says
+which they are, which decides the route of a row and no result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WORD, materialise, table
+from .common import U64, Tokens, materialise, mix, n_groups, table
 
 ORDER = 3
 BACKOFF = 0.4
-#: A key with this part of the sampled rows, and LEAST_HEAVY of them, takes a route of its own: at most HEAVY keys.
+#: A key with this part of the sampled rows, and LEAST_HEAVY of them, takes a route of its own: at most HEAVY contexts and as many n-grams.
 HEAVY, LEAST_HEAVY, SAMPLED = 2048, 64, 64
-#: Parts that a frequent context is dealt out to.
-SPREAD = 64
-
-
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def word_hashes(text: Column) -> Column:
-    """64-bit hashes of the words; a null text has none."""
-    return F.coalesce(F.transform(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)), F.array().cast("array<long>"))
-
-
-def _gram(h: Column, at: Column, k: int) -> Column:
-    """Hash of ``k`` words from ``at`` (from 0) on."""
-    return F.xxhash64(*(F.get(h, at + j) for j in range(k)))
-
-
-def exploded(docs: DataFrame, order: int) -> DataFrame:
-    """``doc, alt, ctx, word, first`` of every n-gram of order ``order``; ``word`` is null behind the last context of a document."""
-
-    def grams(h: Column) -> Column:
-        n = F.size(h) - (order - 2)  # places of a context
-        row = lambda i: F.struct(_gram(h, i, order - 1).alias("ctx"), F.get(h, i + order - 1).alias("word"), (i == 0).alias("first"))
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), row))
-
-    # The inner array binds the hashes once a document.
-    rows = F.flatten(F.transform(F.array(word_hashes(F.col("text"))), grams))
-    return docs.select("doc", "alt", F.inline(rows))
-
-
-def low_counts(docs: DataFrame, order: int, contexts: list[int], grams: list[tuple[int, int]]) -> DataFrame:
-    """``k, h, h2, n``: counts of all n-grams under order ``order - 1``, and of the frequent contexts and n-grams asked for (k = 0 and -1)."""
-
-    def low_grams(h: Column, k: int) -> Column:
-        n = F.size(h) - (k - 1)
-        row = lambda i: F.struct(F.lit(k).alias("k"), (F.get(h, i) if k == 1 else _gram(h, i, k)).alias("h"), F.lit(None).cast("long").alias("h2"))
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), row))
-
-    every = lambda h: F.flatten(F.filter(F.array(*(low_grams(h, k) for k in range(1, max(2, order - 1)))), lambda a: a.isNotNull()))
-    low = docs.select(F.inline(F.flatten(F.transform(F.array(word_hashes(F.col("text"))), every))))
-    if contexts:  # both lists are short
-        spark = docs.sparkSession
-        e = exploded(docs, order).select("ctx", "word").join(F.broadcast(spark.createDataFrame([(c,) for c in contexts], "ctx long")), "ctx")
-        low = low.unionByName(e.select(F.lit(0).alias("k"), F.col("ctx").alias("h"), F.lit(None).cast("long").alias("h2")))
-        if grams:
-            e = e.join(F.broadcast(spark.createDataFrame(grams, "ctx long, word long")), ["ctx", "word"])
-            low = low.unionByName(e.select(F.lit(-1).alias("k"), F.col("ctx").alias("h"), F.col("word").alias("h2")))
-    return low.groupBy("k", "h", "h2").agg(F.count("*").alias("n"))
-
-
-def frequent(docs: DataFrame, order: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Contexts, and n-grams of these, that a sample of documents shows to be frequent: at most HEAVY of each."""
-    part = docs.filter(F.pmod(F.xxhash64("doc", "alt"), F.lit(SAMPLED)) == 0)
-    by_gram = materialise(exploded(part, order).groupBy("ctx", "word").agg(F.count("*").alias("n")))
-    total = by_gram.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_HEAVY, -(-total // HEAVY))
-    contexts = [r[0] for r in by_gram.groupBy("ctx").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("ctx").collect()]
-    grams = [(r[0], r[1]) for r in by_gram.filter((F.col("n") >= least) & F.col("word").isNotNull()).select("ctx", "word").collect()]
-    return sorted(contexts), sorted(grams)
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc, alt, text``: ``doc_id`` and, only where an id is null or repeated, a hash that tells its texts apart. Rows with equal keys are equal."""
-    again = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("again"), F.lit(True).alias("is_again")))
-    j = docs.select("doc_id", "text").join(again, F.col("doc_id").eqNullSafe(F.col("again")), "left")
-    alt = F.when(F.col("is_again"), F.xxhash64(F.col("doc_id").isNull(), "text")).otherwise(F.lit(0))
-    return j.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), alt.alias("alt"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+#: Text bytes that are exploded at a time, unless a document has more; and that a partition of n-grams stands for.
+BATCH_BYTES, PART_BYTES, LEAST_PARTS = 8 << 20, 12 << 20, 96
+#: Bits of a word's hash beside its context's 64; the largest value stands for the end of a document.
+WORD_BITS = 48
+_END = U64((1 << WORD_BITS) - 1)
+_FIRST, _HOT = 1, 2
+#: Kinds of blocks: n-grams; counts of lower orders; whole documents too short for a context; rows' ids and sizes; frequent keys.
+GRAMS, LOW, SHORT, ROWS, FREQUENT = range(5)
+_BLOCK = "part int, kind int, base long, m int, data binary"
+_SUMS = "row long, value double, doc_id long, n_words long, hot array<struct<key: long, n: long, w: long>>"
+
+
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of numbers, all first bytes first: planes of zeros compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :size].T).tobytes()
+
+
+def _unplanes(data: memoryview, at: int, m: int, size: int) -> np.ndarray:
+    out = np.zeros((m, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8, m * size, at).reshape(size, m).T
+    return out.view("<u8").ravel()
+
+
+#: Bytes of the four columns of a block: a sorted key as differences, a second key, a number, flags.
+_SIZES = (8, WORD_BITS // 8, 4, 1)
+
+
+def _pack(key: np.ndarray, second: np.ndarray, number: np.ndarray, flag: np.ndarray) -> bytes:
+    columns = (np.diff(key, prepend=U64(0)), second, number, flag)
+    return b"".join(_planes(c, size) for c, size in zip(columns, _SIZES))
+
+
+def _unpack(m: int, data: bytes) -> tuple[np.ndarray, ...]:
+    at, out = 0, []
+    for size in _SIZES:
+        out.append(_unplanes(memoryview(data), at, m, size))
+        at += m * size
+    return np.cumsum(out[0], dtype=U64), *out[1:]
+
+
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    return (((h >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+
+
+class Grams:
+    """The n-grams of the highest order of a batch of documents, and all of lower orders under a context's."""
+
+    def __init__(self, docs: pd.DataFrame, order: int):
+        self.t = t = Tokens(docs, lower=True)
+        self.at = t.fits(order - 1)
+        self.ctx = t.grams(order - 1)[self.at] if len(self.at) else np.zeros(0, U64)
+        self.doc = t.doc[self.at]
+        after = self.at + order - 1
+        inside = after < t.ends[self.doc] if len(self.at) else np.zeros(0, bool)
+        word = t.hash[np.minimum(after, max(0, t.n - 1))] >> U64(64 - WORD_BITS) if len(self.at) else np.zeros(0, U64)
+        self.word = np.where(inside, np.minimum(word, _END - U64(1)), _END)
+        self.first = self.at == t.starts[self.doc] if len(self.at) else np.zeros(0, bool)
+
+    def low(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all n-grams that can be a whole document without a context, with their orders mixed in; and the documents that are one, by their row."""
+        t = self.t
+        every, short = [np.zeros(0, U64)], [np.zeros((0, 2), U64)]
+        for k in range(1, order - 1):
+            at = t.fits(k)
+            if len(at):
+                h = mix(t.grams(k)[at], np.full(len(at), k, U64))
+                every.append(h)
+                whole = (at == t.starts[t.doc[at]]) & (at + k == t.ends[t.doc[at]])
+                short.append(np.stack([h[whole], t.doc[at][whole].astype(U64)], axis=1))
+        return np.concatenate(every), np.concatenate(short)
+
+
+def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``of``."""
+    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x if len(of) else np.zeros(len(x), bool)
+
+
+def explode(order: int, parts: int, contexts: np.ndarray, grams: np.ndarray):
+    """Batches of ``doc_id, text`` to blocks. ``contexts`` and ``grams`` are the sorted keys of the frequent ones."""
+
+    def blocks(docs: pd.DataFrame, base: int) -> Iterator[tuple]:
+        g = Grams(docs, order)
+        t = g.t
+        size = t.ends - t.starts
+        gram = mix(g.ctx, g.word)
+        hot = _member(g.ctx, contexts)
+        own = hot & _member(gram, grams)  # stays with its document
+        # A frequent context is spread by its next word.
+        p = np.where(hot, _part(gram, parts), _part(g.ctx, parts))
+        k = np.flatnonzero(~own)
+        k = k[np.lexsort((g.ctx[k], p[k]))]
+        flag = (g.first * _FIRST + hot * _HOT).astype(np.uint8)
+        yield from _cut(p[k], GRAMS, base, g.ctx[k], g.word[k], g.doc[k], flag[k])
+        every, short = g.low(order)
+        h, n = np.unique(every, return_counts=True)
+        yield from _cut(_part(h, parts), LOW, base, h, np.zeros(len(h), U64), n, np.zeros(len(h)))
+        short = short[np.argsort(short[:, 0])]
+        yield from _cut(_part(short[:, 0], parts), SHORT, base, short[:, 0], np.zeros(len(short), U64), short[:, 1], np.zeros(len(short)))
+        rows = np.arange(len(size))
+        here = base % parts
+        ids = np.where(t.null, 0, t.ids).astype("<i8").tobytes() + t.null.astype(np.uint8).tobytes() + size.astype("<i8").tobytes()
+        yield here, ROWS, base, len(rows), ids
+        # Frequent keys: how often a document has one, and with what weight its count's logarithm enters.
+        has = g.word != _END
+        key = np.concatenate([g.ctx[hot], gram[own]])
+        doc = np.concatenate([g.doc[hot], g.doc[own]])
+        weight = np.concatenate([g.first[hot].astype(np.int64) - has[hot], has[own].astype(np.int64)])
+        if len(key):
+            at = np.lexsort((key, doc))
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[at]) != 0) | (key[at][1:] != key[at][:-1])]))
+            n, w = np.diff(np.append(new, len(at))), np.add.reduceat(weight[at], new)
+            yield here, FREQUENT, base, len(new), b"".join(x.astype("<i8").tobytes() for x in (key[at][new].view(np.int64), doc[at][new], n, w))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = TaskContext.get().partitionId() << 40
+        for pdf in batches:
+            bytes_ = pdf["text"].str.len().fillna(0).cumsum().to_numpy() // BATCH_BYTES
+            for _, docs in pdf.groupby(bytes_, sort=True):
+                out = pd.DataFrame(list(blocks(docs, base)), columns=["part", "kind", "base", "m", "data"])
+                base += len(docs)
+                yield out.astype({"part": "int32", "kind": "int32", "m": "int32"})
+
+    return run
+
+
+def _cut(p: np.ndarray, kind: int, base: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """A block for each run of equal partitions."""
+    ends = np.flatnonzero(np.diff(p)) + 1
+    for i, j in zip([0, *ends], [*ends, len(p)]) if len(p) else ():
+        yield int(p[i]), kind, base, j - i, _pack(*(c[i:j] for c in columns))
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """For each place of sorted keys, how many places have the same ones."""
+    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    at = np.flatnonzero(new)
+    return np.diff(np.append(at, len(new)))[np.cumsum(new) - 1]
+
+
+def _by_row(row: np.ndarray, value: np.ndarray) -> pd.DataFrame:
+    rows, where = np.unique(row, return_inverse=True)
+    total = np.bincount(where, value, len(rows))
+    return pd.DataFrame({"row": rows[total != 0], "value": total[total != 0]})
+
+
+def join_counts(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Counts of a partition's contexts and n-grams, joined to its rows, as each row's sum of logarithms; rows' ids and frequent keys pass through."""
+    out = []
+    of = {kind: list(zip(own["base"], own["m"], own["data"])) for kind, own in pdf.groupby("kind")}
+    for kind, blocks in of.items():
+        if kind in (GRAMS, SHORT, LOW):
+            ctx, word, number, flag = (np.concatenate(c) for c in zip(*(_unpack(m, d) for _, m, d in blocks)))
+            base = np.repeat([b for b, *_ in blocks], [m for _, m, _ in blocks])
+        if kind == GRAMS:
+            order = np.lexsort((word, ctx))
+            ctx, word, row, flag = ctx[order], word[order], base[order] + number[order].astype(np.int64), flag[order]
+            c2, c3 = np.log10(_runs(ctx)), np.log10(_runs(ctx, word))
+            c2[flag & U64(_HOT) > 0] = 0.0  # comes with the frequent keys
+            out.append(_by_row(row, np.where(word != _END, c3 - c2, 0.0) + np.where(flag & U64(_FIRST) > 0, c2, 0.0)))
+        elif kind == LOW:
+            low, where = np.unique(ctx, return_inverse=True)
+            n = np.bincount(where, number.astype(float), len(low))
+        elif kind == ROWS:
+            for b, m, d in blocks:
+                ids, null, size = np.frombuffer(d, "<i8", m), np.frombuffer(d, np.uint8, m, 8 * m), np.frombuffer(d, "<i8", m, 9 * m)
+                out.append(pd.DataFrame({"row": b + np.arange(m), "doc_id": pd.array(ids, "Int64").copy(), "n_words": size}))
+                out[-1].loc[null > 0, "doc_id"] = pd.NA
+        elif kind == FREQUENT:
+            for b, m, d in blocks:
+                hot, doc, times, weight = np.frombuffer(d, "<i8", 4 * m).reshape(4, m)
+                each = pd.DataFrame({"row": b + doc, "hot": [{"key": k, "n": x, "w": w} for k, x, w in zip(hot.tolist(), times.tolist(), weight.tolist())]})
+                out.append(each.groupby("row", as_index=False)["hot"].agg(list))
+    if SHORT in of:
+        ctx, _, number, _ = (np.concatenate(c) for c in zip(*(_unpack(m, d) for _, m, d in of[SHORT])))
+        row = np.repeat([b for b, *_ in of[SHORT]], [m for _, m, _ in of[SHORT]]) + number.astype(np.int64)
+        out.append(_by_row(row, np.log10(n[np.searchsorted(low, ctx)])))
+    got = pd.concat(out) if out else pd.DataFrame({"row": []})
+    got = got.reindex(columns=["row", "value", "doc_id", "n_words", "hot"])
+    got["hot"] = pd.Series([h if isinstance(h, list) else None for h in got["hot"]], index=got.index, dtype=object)
+    return got.astype({"row": "int64", "value": "Float64", "doc_id": "Int64", "n_words": "Int64"})
+
+
+def frequent(docs: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the contexts, and of n-grams of these, that a sample of documents shows to be frequent: at most HEAVY of each."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            g = Grams(pdf, order)
+            for kind, keys in ((0, g.ctx), (1, mix(g.ctx, g.word)[g.word != _END])):
+                h, at, n = np.unique(keys, return_index=True, return_counts=True)
+                yield pd.DataFrame({"kind": kind, "key": h.view(np.int64), "n": n}).astype({"kind": "int32"})
+
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
+    n = materialise(sample.mapInPandas(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    total = n.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
+    rows = n.filter(F.col("n") >= max(LEAST_HEAVY, -(-total // HEAVY))).collect()
+    return tuple(np.sort(np.array([r["key"] for r in rows if r["kind"] == kind], np.int64).view(U64)) for kind in (0, 1))
 
 
 def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -107,48 +242,23 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     ``docs`` itself, repeated rows included, and no n-gram is pruned, whatever its count; so no word has to
     back off (the factor would be ``BACKOFF``) but those at the start of a document, which have no longer n-gram.
     Null and empty texts have no words; an empty table gives an empty result; texts of any length are read whole; other
-    columns of the input are left out.
+    columns of the input are left out. Rows are numbered within the scan's partitions, so ``docs`` is to be a written
+    table, which a repeated task reads in the same order.
     """
-    docs = keyed(docs)
-    contexts, grams = frequent(docs, order)
-    low = materialise(low_counts(docs, order, contexts, grams))
-    total = low.filter("k = 1").agg(F.sum("n")).first()[0] or 0
-
-    e = exploded(docs, order)
-    salt: Column = F.lit(0)
-    c2 = c3 = F.lit(None).cast("long")
-    if contexts:  # at most HEAVY rows each
-        hot2 = low.filter("k = 0").select(F.col("h").alias("ctx"), F.col("n").alias("hot2"))
-        hot3 = low.filter("k = -1").select(F.col("h").alias("ctx"), F.col("h2").alias("word"), F.col("n").alias("hot3"))
-        e = e.join(F.broadcast(hot2), "ctx", "left").join(F.broadcast(hot3), ["ctx", "word"], "left")
-        c2, c3 = F.col("hot2"), F.col("hot3")
-        # Salts of their own keep the three kinds of rows apart.
-        salt = F.when(c3.isNotNull(), F.lit(-1)).when(c2.isNotNull(), 1 + F.pmod(F.coalesce("word", F.lit(0)), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
-        e = e.withColumn("salt", salt).withColumn("ctx", F.when(F.col("salt") == -1, F.xxhash64("doc", "alt")).otherwise(F.col("ctx")))
-    else:
-        e = e.withColumn("salt", salt)
-    n3 = F.coalesce(c3, F.count("*").over(Window.partitionBy("ctx", "salt", "word")))
-    e = e.withColumn("n3", n3)
-    e = e.withColumn("n2", F.coalesce(c2, F.count("*").over(Window.partitionBy("ctx", "salt"))))
-    # The first context is there for all words before it.
-    ratio = F.when(F.col("word").isNotNull(), F.log10(F.col("n3") / F.col("n2"))).otherwise(F.lit(0.0))
-    ratio = ratio + F.when(F.col("first"), F.log10(F.col("n2") / F.lit(float(max(total, 1))))).otherwise(F.lit(0.0))
-    sums = e.groupBy("doc", "alt").agg(F.sum(ratio).alias("sum"))
-
-    # Documents too short for a context, as one n-gram.
-    h = word_hashes(F.col("text"))
-    rows = docs.withColumn("h", F.transform(F.array(h), lambda x: F.struct(F.size(x).alias("n"), F.when(F.size(x) < order - 1, x).alias("short")))[0]).select("doc", "alt", "doc_id", F.col("h.n").alias("n_words"), F.col("h.short").alias("short"))
-    rows = rows.groupBy("doc", "alt", "doc_id", "n_words", "short").agg(F.count("*").alias("times"))
-    key = F.coalesce(*(F.when(F.col("n_words") == k, F.get("short", F.lit(0)) if k == 1 else _gram(F.col("short"), F.lit(0), k)) for k in range(1, max(2, order - 1))))
-    short = rows.filter((F.col("n_words") > 0) & (F.col("n_words") < order - 1)).withColumn("h", key)
-    counts = low.filter("k > 0").select(F.col("k").alias("n_words"), "h", F.col("n").alias("c"))
-    short = short.join(counts, ["n_words", "h"]).select("doc", "alt", (F.log10(F.col("c") / F.lit(float(max(total, 1)))) * F.col("times")).alias("sum"))
-    out = rows.join(sums.unionByName(short), ["doc", "alt"], "left")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = n_groups(docs, PART_BYTES, LEAST_PARTS)
+    blocks = docs.mapInPandas(explode(order, parts, *frequent(docs, order)), _BLOCK)
+    sums = blocks.groupBy("part").applyInPandas(join_counts, _SUMS)
+    per = sums.groupBy("row").agg(F.sum("value").alias("value"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hot")).alias("hot"))
+    per = materialise(per)
+    total = float(max(1, per.agg(F.sum("n_words")).first()[0] or 0))
+    hot = per.select("row", F.explode("hot").alias("h")).select("row", "h.*")
+    known = hot.groupBy("key").agg(F.sum("n").alias("total"))  # at most 2 * HEAVY rows
+    extra = hot.join(F.broadcast(known), "key").groupBy("row").agg(F.sum(F.col("w") * F.log10("total")).alias("extra"))
     n = F.col("n_words")
+    prob = F.when(n > 0, F.coalesce("value", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0)) - F.log10(F.lit(total))).otherwise(F.lit(0.0))
     by_order = F.array(*(F.least(F.lit(1), F.greatest(n - (k - 1), F.lit(0))).cast("long") for k in range(1, order)), F.greatest(n - (order - 1), F.lit(0)).cast("long"))
-    prob = F.coalesce(F.col("sum") / F.col("times"), F.lit(0.0))
-    out = out.select("doc_id", n.cast("long").alias("n_words"), by_order.alias("n_by_order"), prob.alias("log10_prob"), F.when(n > 0, prob / n).alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"))
-    return out.drop("copy")
+    return per.join(extra, "row", "left").select("doc_id", "n_words", by_order.alias("n_by_order"), prob.alias("log10_prob"), F.when(n > 0, prob / n).alias("score"))
 
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
