@@ -12,7 +12,7 @@ order, and of the count of its first context to the number of all words.
    Spark's format would be five times the text (the README has the figures).
 2. In each partition the count tables of contexts and of n-grams are made by sorting, and joined to the
    rows where they lie.
-3. The log-ratios are added up for each document, in the partitions and then by an aggregate over all of them.
+3. The log-ratios are added up for each document, in the partitions and then over all of them.
 
 A context with over ``1 / HEAVY`` of the rows is dealt out by its next word, and an n-gram that frequent stays
 with its document; their counts are added up before they are shuffled and joined as a bounded table. A sample of documents says
@@ -36,7 +36,7 @@ BACKOFF = 0.4
 #: A key with this part of the sampled rows, and LEAST_HEAVY of them, takes a route of its own: at most HEAVY contexts and as many n-grams.
 HEAVY, LEAST_HEAVY, SAMPLED = 2048, 64, 64
 #: Text bytes that are exploded at a time, unless a document has more; and that a partition of n-grams stands for.
-BATCH_BYTES, PART_BYTES, LEAST_PARTS = 8 << 20, 12 << 20, 96
+BATCH_BYTES, PART_BYTES, LEAST_PARTS = 3 << 20, 12 << 20, 96
 #: Bits of a word's hash beside its context's 64; the largest value stands for the end of a document.
 WORD_BITS = 48
 _END = U64((1 << WORD_BITS) - 1)
@@ -44,7 +44,10 @@ _FIRST, _HOT = 1, 2
 #: Kinds of blocks: n-grams; counts of lower orders; whole documents too short for a context; rows' ids and sizes; frequent keys.
 GRAMS, LOW, SHORT, ROWS, FREQUENT = range(5)
 _BLOCK = "part int, kind int, base long, m int, data binary"
-_SUMS = "row long, value double, doc_id long, n_words long, hot array<struct<key: long, n: long, w: long>>"
+_SUM = "base long, kind int, m int, data binary"
+_ROW = "doc_id long, n_words long, value double, hot array<struct<key: long, n: long, w: long>>"
+#: Sums travel as multiples of 2 ** -SCALE, which is exact to nine digits behind the point.
+SCALE = 32
 
 
 def _planes(x: np.ndarray, size: int) -> bytes:
@@ -174,47 +177,61 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.diff(np.append(at, len(new)))[np.cumsum(new) - 1]
 
 
-def _by_row(row: np.ndarray, value: np.ndarray) -> pd.DataFrame:
-    rows, where = np.unique(row, return_inverse=True)
-    total = np.bincount(where, value, len(rows))
-    return pd.DataFrame({"row": rows[total != 0], "value": total[total != 0]})
+def _sums(base: np.ndarray, number: np.ndarray, value: np.ndarray) -> Iterator[tuple]:
+    """A block of sums by row for each batch, rows that sum to 0 left out."""
+    order = np.lexsort((number, base))
+    base, number, value = base[order], number[order], value[order]
+    new = np.flatnonzero(np.concatenate([[True], (base[1:] != base[:-1]) | (number[1:] != number[:-1])]))
+    total = np.rint(np.add.reduceat(value, new) * (1 << SCALE)).astype(np.int64)
+    new, total = new[total != 0], total[total != 0]
+    base, number = base[new], number[new]
+    ends = np.flatnonzero(np.diff(base)) + 1
+    for i, j in zip([0, *ends], [*ends, len(base)]) if len(base) else ():
+        x = (total[i:j] << 1 ^ total[i:j] >> 63).view(U64)  # the sign in the lowest bit
+        size = (int(x.max()).bit_length() + 7) // 8
+        yield int(base[i]), GRAMS, j - i, bytes([size]) + _planes(np.diff(number[i:j], prepend=U64(0)), 4) + _planes(x, size)
 
 
 def join_counts(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """Counts of a partition's contexts and n-grams, joined to its rows, as each row's sum of logarithms; rows' ids and frequent keys pass through."""
-    out = []
-    of = {kind: list(zip(own["base"], own["m"], own["data"])) for kind, own in pdf.groupby("kind")}
-    for kind, blocks in of.items():
-        if kind in (GRAMS, SHORT, LOW):
-            ctx, word, number, flag = (np.concatenate(c) for c in zip(*(_unpack(m, d) for _, m, d in blocks)))
-            base = np.repeat([b for b, *_ in blocks], [m for _, m, _ in blocks])
+    out = [r for r in zip(pdf["base"], pdf["kind"], pdf["m"], pdf["data"]) if r[1] in (ROWS, FREQUENT)]
+    of = {}
+    for kind, own in pdf.groupby("kind"):
+        if kind in (GRAMS, LOW, SHORT):
+            columns = [np.concatenate(c) for c in zip(*(_unpack(m, d) for m, d in zip(own["m"], own["data"])))]
+            of[kind] = np.repeat(own["base"].to_numpy(), own["m"].to_numpy()), *columns
+    if GRAMS in of:
+        base, ctx, word, number, flag = of.pop(GRAMS)
+        order = np.lexsort((word, ctx))
+        ctx, word, base, number, flag = ctx[order], word[order], base[order], number[order], flag[order]
+        c2, c3 = np.log10(_runs(ctx)), np.log10(_runs(ctx, word))
+        c2[flag & U64(_HOT) > 0] = 0.0  # comes with the frequent keys
+        out += _sums(base, number, np.where(word != _END, c3 - c2, 0.0) + np.where(flag & U64(_FIRST) > 0, c2, 0.0))
+    if SHORT in of:
+        _, h, _, times, _ = of[LOW]
+        low, where = np.unique(h, return_inverse=True)
+        n = np.bincount(where, times.astype(float), len(low))
+        base, asked, _, number, _ = of[SHORT]
+        out += _sums(base, number, np.log10(n[np.searchsorted(low, asked)]))
+    return pd.DataFrame(out, columns=["base", "kind", "m", "data"]).astype({"base": "int64", "kind": "int32", "m": "int32"})
+
+
+def add_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A batch's documents with the sums of all partitions and their frequent keys."""
+    (m, d), = ((m, d) for kind, m, d in zip(pdf["kind"], pdf["m"], pdf["data"]) if kind == ROWS)
+    ids, null, size = np.frombuffer(d, "<i8", m), np.frombuffer(d, np.uint8, m, 8 * m), np.frombuffer(d, "<i8", m, 9 * m)
+    total, hot = np.zeros(m, np.int64), [[] for _ in range(m)]
+    for kind, n, d in zip(pdf["kind"], pdf["m"], pdf["data"]):
         if kind == GRAMS:
-            order = np.lexsort((word, ctx))
-            ctx, word, row, flag = ctx[order], word[order], base[order] + number[order].astype(np.int64), flag[order]
-            c2, c3 = np.log10(_runs(ctx)), np.log10(_runs(ctx, word))
-            c2[flag & U64(_HOT) > 0] = 0.0  # comes with the frequent keys
-            out.append(_by_row(row, np.where(word != _END, c3 - c2, 0.0) + np.where(flag & U64(_FIRST) > 0, c2, 0.0)))
-        elif kind == LOW:
-            low, where = np.unique(ctx, return_inverse=True)
-            n = np.bincount(where, number.astype(float), len(low))
-        elif kind == ROWS:
-            for b, m, d in blocks:
-                ids, null, size = np.frombuffer(d, "<i8", m), np.frombuffer(d, np.uint8, m, 8 * m), np.frombuffer(d, "<i8", m, 9 * m)
-                out.append(pd.DataFrame({"row": b + np.arange(m), "doc_id": pd.array(ids, "Int64").copy(), "n_words": size}))
-                out[-1].loc[null > 0, "doc_id"] = pd.NA
+            number = np.cumsum(_unplanes(memoryview(d), 1, n, 4), dtype=U64).astype(np.int64)
+            x = _unplanes(memoryview(d), 1 + 4 * n, n, d[0])
+            total[number] += (x >> U64(1)).view(np.int64) ^ -(x & U64(1)).view(np.int64)
         elif kind == FREQUENT:
-            for b, m, d in blocks:
-                hot, doc, times, weight = np.frombuffer(d, "<i8", 4 * m).reshape(4, m)
-                each = pd.DataFrame({"row": b + doc, "hot": [{"key": k, "n": x, "w": w} for k, x, w in zip(hot.tolist(), times.tolist(), weight.tolist())]})
-                out.append(each.groupby("row", as_index=False)["hot"].agg(list))
-    if SHORT in of:
-        ctx, _, number, _ = (np.concatenate(c) for c in zip(*(_unpack(m, d) for _, m, d in of[SHORT])))
-        row = np.repeat([b for b, *_ in of[SHORT]], [m for _, m, _ in of[SHORT]]) + number.astype(np.int64)
-        out.append(_by_row(row, np.log10(n[np.searchsorted(low, ctx)])))
-    got = pd.concat(out) if out else pd.DataFrame({"row": []})
-    got = got.reindex(columns=["row", "value", "doc_id", "n_words", "hot"])
-    got["hot"] = pd.Series([h if isinstance(h, list) else None for h in got["hot"]], index=got.index, dtype=object)
-    return got.astype({"row": "int64", "value": "Float64", "doc_id": "Int64", "n_words": "Int64"})
+            for k, doc, times, w in np.frombuffer(d, "<i8", 4 * n).reshape(4, n).T.tolist():
+                hot[doc].append({"key": k, "n": times, "w": w})
+    out = pd.DataFrame({"doc_id": pd.array(ids, "Int64").copy(), "n_words": size, "value": total / (1 << SCALE), "hot": pd.Series(hot, dtype=object)})
+    out.loc[null > 0, "doc_id"] = pd.NA
+    return out
 
 
 def frequent(docs: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,17 +265,16 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = n_groups(docs, PART_BYTES, LEAST_PARTS)
     blocks = docs.mapInPandas(explode(order, parts, *frequent(docs, order)), _BLOCK)
-    sums = blocks.groupBy("part").applyInPandas(join_counts, _SUMS)
-    per = sums.groupBy("row").agg(F.sum("value").alias("value"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hot")).alias("hot"))
-    per = materialise(per)
+    sums = blocks.groupBy("part").applyInPandas(join_counts, _SUM)
+    per = materialise(sums.groupBy("base").applyInPandas(add_up, _ROW))
     total = float(max(1, per.agg(F.sum("n_words")).first()[0] or 0))
-    hot = per.select("row", F.explode("hot").alias("h")).select("row", "h.*")
-    known = hot.groupBy("key").agg(F.sum("n").alias("total"))  # at most 2 * HEAVY rows
-    extra = hot.join(F.broadcast(known), "key").groupBy("row").agg(F.sum(F.col("w") * F.log10("total")).alias("extra"))
+    known = per.select(F.explode("hot").alias("h")).groupBy("h.key").agg(F.sum("h.n").alias("n"))  # at most 2 * HEAVY rows
+    logs = known.agg(F.map_from_entries(F.collect_list(F.struct("key", F.log10("n").alias("log")))).alias("logs"))  # one row
+    extra = F.aggregate("hot", F.lit(0.0), lambda a, h: a + h["w"] * F.element_at("logs", h["key"]))
     n = F.col("n_words")
-    prob = F.when(n > 0, F.coalesce("value", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0)) - F.log10(F.lit(total))).otherwise(F.lit(0.0))
+    prob = F.when(n > 0, F.col("value") + F.when(F.size("hot") > 0, extra).otherwise(F.lit(0.0)) - F.log10(F.lit(total))).otherwise(F.lit(0.0))
     by_order = F.array(*(F.least(F.lit(1), F.greatest(n - (k - 1), F.lit(0))).cast("long") for k in range(1, order)), F.greatest(n - (order - 1), F.lit(0)).cast("long"))
-    return per.join(extra, "row", "left").select("doc_id", "n_words", by_order.alias("n_by_order"), prob.alias("log10_prob"), F.when(n > 0, prob / n).alias("score"))
+    return per.join(F.broadcast(logs)).select("doc_id", "n_words", by_order.alias("n_by_order"), prob.alias("log10_prob"), F.when(n > 0, prob / n).alias("score"))
 
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
