@@ -382,7 +382,12 @@ def calibration_summary(s, d):
 
 @query(f"SELECT form, count(*) AS n FROM ({TOKENS}) GROUP BY form ORDER BY n DESC, form LIMIT 1000")
 def top_forms(s, d):
-    return counts(docs(s, d)).orderBy(F.desc("n"), "form").limit(1000)
+    return top_counts(counts(docs(s, d)), 1000)
+
+
+def top_counts(c: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most frequent forms, in the order of the alphabet among equals."""
+    return c.orderBy(F.desc("n"), "form").limit(n)
 
 
 @query(f"WITH c AS MATERIALIZED (SELECT form, count(*) AS n FROM ({TOKENS}) GROUP BY form), k AS MATERIALIZED (SELECT coalesce(max(n), 0) AS cut FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS i FROM c) WHERE i = 1001) SELECT form, n FROM c, k WHERE n > cut")

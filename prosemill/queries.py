@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prosemill.plans import corpus_queries, decision_queries, evaluation_queries, page_queries, stream_queries, text_queries  # noqa: F401
+from prosemill.plans import corpus_queries, decision_queries, evaluation_queries, judging_queries, page_queries, stream_queries, text_queries  # noqa: F401
 from prosemill.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
