@@ -30,3 +30,10 @@ def stream_event_windows(s, d):
 def stream_coverage(s, d):
     kept = streams.coverage(s, streams.documents(s, d), band(docs(s, d)).select("form"), CAP)
     return kept.select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), "sentence")
+
+
+@query("SELECT count(*) AS rows, 1 AS in_order FROM documents")
+def stream_progress(s, d):
+    """Rows that the micro-batches took, and whether their numbers rise without a gap."""
+    p = streams.progress(streams.documents(s, d))
+    return p.agg(F.sum("rows").alias("rows"), (F.max("batch") - F.min("batch") + 1 == F.count("*")).cast("int").alias("in_order"))

@@ -156,7 +156,7 @@ def test_first_wins_equals_the_scan(spark):
 
 
 def test_first_wins_on_a_long_chain(spark):
-    n = 107
+    n = 203
     kept = dedup.first_wins(spark.range(n).withColumnRenamed("id", "doc_id"), spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long"))
     assert sorted(r[0] for r in kept.collect()) == list(range(0, n, 2))
 
@@ -168,12 +168,128 @@ def test_near_dedup_reads_all_languages(spark, tmp_path):
     assert sorted(r[0] for r in Q.QUERIES["near_dedup_greedy"](spark, str(tmp_path)).collect()) == [1, 3, 5]
 
 
+def test_texts_that_differ_in_numbers_are_not_copies(spark, tmp_path):
+    rows = [(i, f"row {i} of {i} and {i} more {i} items {i} here", "en", "s", 0) for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert Q.QUERIES["near_dedup_greedy"](spark, str(tmp_path)).count() == 3
+
+
 def test_jaccard_pairs_equal_all_pairs(spark):
     r = random.Random(2)
     sets = [sorted({r.randrange(14) for _ in range(10)}) for _ in range(60)]
     df = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in enumerate(sets)], "doc_id long, sh array<string>")
-    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.8}
+    rep = {i: min(j for j in range(60) if sets[j] == sets[i]) for i in range(60)}
+    assert dict(map(tuple, dedup.set_classes(df).collect())) == rep
+    reps = sorted(set(rep.values()))
+    want = {(a, b) for a in reps for b in reps if a < b and len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.8}
     assert {(x["a"], x["b"]) for x in dedup.jaccard_pairs(df, 0.8).collect()} == want and want
+    kept = []
+    for b in range(60):
+        if not any(len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.8 for a in kept):
+            kept.append(b)
+    assert sorted(x["doc_id"] for x in dedup.near_first_wins(df).filter("kept").collect()) == kept
+
+
+def test_minhash_bands_find_the_similar(spark):
+    r = random.Random(4)
+    sets = []
+    for _ in range(60):
+        base = [r.getrandbits(62) for _ in range(60)]
+        sets += [base, base[:57] + [r.getrandbits(62) for _ in range(3)]]  # 57 of 63
+    df = spark.createDataFrame(list(enumerate(sets)) + [(900, [])], "doc_id long, sh array<long>")
+    sig = df.select("doc_id", dedup.minhash(F.col("sh")).alias("sig"))
+    assert set(sig.filter("doc_id = 900").first()["sig"]) == {-1}
+    got = {(x["a"], x["b"]) for x in dedup.lsh_pairs(sig.filter("doc_id < 900")).collect()}
+    assert got <= {(i, i + 1) for i in range(0, 120, 2)} and len(got) >= 54
+
+
+def test_quantiles_interpolate(spark):
+    from prosemill.operators import order
+
+    r = random.Random(8)
+    rows = [(k, r.choice([None, r.uniform(-50, 1e6), float(r.randrange(4))])) for k in "aab" for _ in range(40)] + [("one", 2.5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for share in (0.0, 0.3, 0.98, 1.0):
+        want = dict(df.groupBy("k").agg(F.percentile("v", F.lit(share))).collect())
+        assert dict(order.quantile(df, ["k"], "v", share, "q").collect()) == pytest.approx(want)
+
+
+def write_documents(spark, path, n=60, files=5):
+    r = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
+    text = lambda: "\n".join(" ".join(r.choices(words, k=r.randint(6, 12))).capitalize() + "." for _ in range(6))
+    rows = [(i, text(), "en", "s", 0) for i in range(n)]
+    rows = [*rows, (n, rows[0][1], "en", "s", 0), (n + 1, "", "en", "s", 0), (n + 2, None, "en", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(files, "doc_id").write.parquet(str(path))
+    return df
+
+
+def test_streams_over_several_batches(spark, tmp_path):
+    from prosemill.plans.text_queries import band, counts
+    from prosemill.streaming import streams
+
+    df = write_documents(spark, tmp_path / "documents.parquet")
+    stream = lambda: streams.documents(spark, str(tmp_path), files_per_trigger=1)
+    marks = streams.progress(stream()).collect()
+    assert len(marks) > 2 and sum(r["rows"] for r in marks) == 63
+    assert sorted(map(tuple, streams.collected(streams.word_counts(stream()), "complete").collect())) == sorted(map(tuple, counts(df).collect()))
+    keys = streams.collected(streams.distinct_texts(stream()), "append").collect()
+    assert len(keys) == len({r["text"] for r in df.collect()})
+    words = band(df, 0, 1e6).select("form")
+    kept = streams.coverage(spark, stream(), words, 2)
+    # Each word has as many contexts as it can, or the cap at least, in whatever order the files came.
+    have, every = retention.hits(kept, words).groupBy("form").count(), retention.hits(Q.QUERIES and __import__("prosemill.plans.corpus_queries", fromlist=["x"]).positioned(spark, str(tmp_path)), words).groupBy("form").count()
+    n, most = dict(map(tuple, have.collect())), dict(map(tuple, every.collect()))
+    assert n and all(n.get(w, 0) >= min(2, k) for w, k in most.items())
+    streams.stored(stream(), str(tmp_path / "store"), 10)
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 63
+
+
+def test_streams_without_rows(spark, tmp_path):
+    from prosemill.streaming import streams
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    empty = lambda: streams.documents(spark, str(tmp_path))
+    assert streams.collected(streams.distinct_texts(empty()), "append").count() == 0
+    assert streams.coverage(spark, empty(), spark.createDataFrame([("a",)], "form string"), 2).count() == 0
+
+
+def test_scratch_deletes_its_tables(spark, tmp_path):
+    from prosemill.operators import scratch
+
+    with scratch.scratch(spark):
+        df = scratch.written(spark.range(3))
+        files = df.inputFiles()
+        assert df.count() == 3
+    assert not os.path.exists(files[0].removeprefix("file://"))
+
+
+def test_scorer_inputs_against_a_plain_tokenizer(spark):
+    from prosemill.plans import judging_queries as J
+
+    v = J.piece_vocabulary(spark, SF)
+    texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    rows = J.scorer_inputs(spark, SF).collect()
+    assert rows
+    for r in rows[:40]:
+        import re
+
+        text = texts[r["conv_id"], r["turn"]]
+        m = re.search(X.whole_words(D._ALTERNATION).replace(r"[\p{L}\p{M}\p{N}_]", r"\w"), text)
+        marked = f"{text[: m.start()]}<t> {m.group(1)} </t>{text[m.end() :]}"
+        ids, types = udfs.encode_pair(marked, r["replacement"], v, 64)
+        assert (r["ids"], r["mask"], r["types"]) == (ids + [0] * (64 - len(ids)), [1] * len(ids) + [0] * (64 - len(ids)), types)
+
+
+def test_a_tagger_of_its_own_process(spark):
+    script = "import json, sys; print(json.dumps([None if t is None else t[::-1] for t in json.load(sys.stdin)]))"
+    tag = udfs.piped([sys.executable, "-c", script], "string")
+    assert of(spark, tag, "abc", None, "") == ["cba", None, ""]
+
+
+def test_models_plug_in(spark):
+    assert of(spark, udfs.model(lambda ts: ["en" if t and " the " in t else "xx" for t in ts], "string"), "on the road", "x", None) == ["en", "xx", "xx"]
 
 
 def test_budget_and_interleave(spark):
@@ -207,6 +323,18 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "se/cooking/Posts.xml").write_text('<posts>\n<row Id="1" CreationDate="2012-01-01" Body="&lt;p&gt;Salt &amp;amp; caf&amp;eacute;&lt;/p&gt;" />\n<row Id="2" CreationDate="x" Body="" />\n</posts>')
     (post,) = readers.questions(spark, str(tmp_path / "se")).collect()
     assert (post["doc_id"], post["pub_year"], post["text"].strip()) == ("se:cooking:1", 2012, "Salt & café")
+    (tmp_path / "se2/x").mkdir(parents=True)
+    (tmp_path / "se2/x/Posts.xml").write_text('<posts>\n<row Id="1" CreationDate="2012-01-01" Body="x &amp;amp;lt; y &amp;eacute;" />\n</posts>')
+    assert readers.questions(spark, str(tmp_path / "se2")).first()["text"] == "x &lt; y é"
+    assert readers.word_list(spark, str(tmp_path / "none.txt")).count() == readers.deferred_words(spark, str(tmp_path / "none.tsv")).count() == 0
+    (tmp_path / "w.txt").write_text("B \n\na\nc\n")
+    assert sorted(r[0] for r in readers.word_list(spark, str(tmp_path / "w.txt"), 3).collect()) == ["a", "b"]
+    (tmp_path / "n.jsonl").write_text("".join(json.dumps({"url": f"u{i}", "timestamp": f"20{i:02d}-01-01", "text": "one two"}) + "\n" for i in range(5)))
+    assert [(r["doc_id"], r["pub_year"]) for r in readers.news(spark, str(tmp_path / "n.jsonl"), 3).orderBy("doc_id").collect()] == [("c4:0", 2000), ("c4:1", 2001), ("c4:2", 2002)]
+    assert readers.documents(spark, {"c4news": str(tmp_path / "n.jsonl")}, budget=5).count() == 3
+    spark.createDataFrame([("a", 90), ("b", 9), ("c", 1)], "form string, n long").write.parquet(str(tmp_path / "freq"))
+    band = readers.stored_band(spark, str(tmp_path / "freq"), 1e4, 1e5, readers.word_list(spark, str(tmp_path / "w.txt")))
+    assert sorted(map(tuple, band.collect())) == [("a", True), ("b", False), ("c", False)]
     (tmp_path / "d").mkdir()
     (tmp_path / "d/a.jsonl").write_text(json.dumps({"doc_id": "1", "text": "x"}) + "\n")
     assert tuple(readers.documents(spark, {"mine": str(tmp_path / "d")}).first()) == ("1", "mine", "x", None, None)
@@ -216,7 +344,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(x["trigger"], x["block_context"], x["require_context"]) for x in rules.collect()] == [("big", ["apple", "city hall"], [])]
     assert json.loads(sinks.runtime_rules(rules).first()["entries"]) == [{"r": "vast", "w": "vast", "p": "ADJ", "b": ["apple", "city hall"], "q": []}]
     store = spark.createDataFrame([("s", "t")] * 7, "source string, text string")
-    sinks.sentence_store(store.coalesce(1), str(tmp_path / "store"), 3)
+    held = sinks.sentence_store(store.coalesce(1), str(tmp_path / "store"), 3)
+    assert held["rows"] == 7 and held["bytes"] > 0
+    sinks.report(spark.createDataFrame([(1,)], "n int"), str(tmp_path / "report"))
+    with pytest.raises(ValueError):
+        sinks.report(store, str(tmp_path / "report2"))
+    sinks.names(spark.createDataFrame([("b",), ("a",)], "form string"), str(tmp_path / "names"))
+    assert [p.read_text() for p in (tmp_path / "names").glob("part-*")] == ["a\nb\n"]
+    assert json.loads(sinks.gloss_map(spark.createDataFrame([("x", "2"), ("x", "1"), ("a", "3")], "word string, gloss string")).first()[0]) == {"a": "3", "x": "1"}
     assert len(list((tmp_path / "store/source=s").glob("*.parquet"))) == 3 and spark.read.parquet(str(tmp_path / "store")).count() == 7
 
 
@@ -251,7 +386,7 @@ def test_blocks_of_a_page(spark):
 
 def test_alignment_of_two_tokenisations(spark):
     assert udfs.aligned(["a", "the", "sea", "xx", "end"], ["The", "sea", "yy", "End"]) == [(1, 0), (2, 1), (4, 3)]
-    assert udfs.aligned(["Do", "n't", "go"], ["don't", "go"]) == []
+    assert udfs.aligned(["Do", "n't", "go"], ["don't", "go"]) == [(2, 1)]
     df = spark.createDataFrame([(["a", "b"], ["A", "c", "b"]), (None, ["x"])], "l array<string>, r array<string>")
     assert [[tuple(p) for p in r[0]] for r in df.select(udfs.align(F.col("l"), F.col("r"))).collect()] == [[(0, 0), (1, 2)], []]
 
@@ -262,7 +397,7 @@ def test_swaps_prompts_and_tags(spark):
     got = spark.createDataFrame([(["Noun", "Verb"],), (["ProperNoun", "Noun"],), (["Copula", "Verb"],), ([],), (None,)], "t array<string>").select(X.universal_pos(F.col("t"))).collect()
     assert [r[0] for r in got] == ["VERB", "PROPN", "AUX", "X", "X"]
     one = X.prompt(F.lit("7"), F.lit("a ____ b"), F.lit("x"), F.lit("s"), F.lit("w"), F.lit("g"), F.array(F.lit("p"), F.lit("q")))
-    assert spark.range(1).select(one).first()[0] == '[7]\nSentence: a ____ b\nRemoved:  "x"  (intended sense: s)\nTarget word gloss: w = g\nCandidates:\n  - p\n  - q\n'
+    assert spark.range(1).select(one).first()[0] == "item: 7\ntext with a gap: a ____ b\nin the gap: x\nmeaning there: s\nword taught: w - g\noptions: p; q"
 
 
 def test_sentences_with_offsets(spark):
