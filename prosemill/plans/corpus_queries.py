@@ -196,9 +196,9 @@ phrases AS (SELECT w1, w2, n, pmi, 2 * (n * ln(n / e) - (n - e)) AS llr FROM ass
 
 def fixed_phrase_table(df: DataFrame) -> DataFrame:
     """Word pairs with strong association, without stopwords on either side."""
-    big = bigram_counts(df).filter(F.col("n") >= MIN_BIGRAM)
+    big = dedup.written(bigram_counts(df).filter(F.col("n") >= MIN_BIGRAM))
     pairs = big.agg(F.sum("n").alias("pairs"))
-    uni = counts(df)
+    uni = dedup.written(counts(df))
     total = uni.agg(F.sum("n").alias("total"))
     side = lambda w, p: uni.select(F.col("form").alias(w), F.col("n").alias(p))
     b = big.filter(~F.col("w1").isin(X.STOPWORDS) & ~F.col("w2").isin(X.STOPWORDS)).join(side("w1", "c1"), "w1").join(side("w2", "c2"), "w2").join(F.broadcast(pairs)).join(F.broadcast(total))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prosemill.functions import text as X
 from prosemill.functions import udfs
+from prosemill.operators.scratch import written
 from prosemill.plans.registry import query, table
 
 W = "[A-Za-z]+(?:[''-][A-Za-z]+)*"  # in SQL quotes
@@ -345,8 +346,8 @@ def freq_grouping_sets(s, d):
 
 
 def rates(df: DataFrame) -> DataFrame:
-    """Counts and rates per million; the total is one row, joined by broadcast."""
-    c = counts(df)
+    """Counts and rates per million; the total is one row, joined by broadcast. The counts are written, so that the texts are read once."""
+    c = written(counts(df))
     return c.join(F.broadcast(c.agg(F.sum("n").alias("total")))).withColumn("per_million", F.col("n") / F.col("total") * 1e6)
 
 
@@ -392,7 +393,7 @@ def top_counts(c: DataFrame, n: int) -> DataFrame:
 
 @query(f"WITH c AS MATERIALIZED (SELECT form, count(*) AS n FROM ({TOKENS}) GROUP BY form), k AS MATERIALIZED (SELECT coalesce(max(n), 0) AS cut FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS i FROM c) WHERE i = 1001) SELECT form, n FROM c, k WHERE n > cut")
 def prune_counts(s, d):
-    c = counts(docs(s, d))
+    c = written(counts(docs(s, d)))
     cut = c.select("n").orderBy(F.desc("n")).limit(1001).agg(F.when(F.count("*") > 1000, F.min("n")).otherwise(F.lit(0)).alias("cut"))
     return c.join(F.broadcast(cut)).filter("n > cut").select("form", "n")
 
