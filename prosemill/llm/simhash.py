@@ -137,16 +137,24 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: that of the least id; rows of one id are told apart by their text.
+    """One row of each group of near-duplicates, with all its columns: that of the least id; rows of one id are told apart by their text.
 
-    Rows whose group has no id at all keep one row of each fingerprint.
+    Rows whose group has no id at all keep one row of each fingerprint. Survivors are chosen on ids and hashes; texts are only
+    read again and joined to them.
     """
     whole = docs.columns
-    [own] = free_name(docs, "class")
-    out = near_duplicates(docs, class_name=own)
+    own, k, th, n, i, h = free_name(docs, "class", "class_key", "text_hash", "times", "chosen_id", "chosen_hash")
+    rows = near_duplicates(docs.select("doc_id", F.xxhash64("text").alias(th), "text"), keep_text=False, class_name=own)
     # Not the least id: where an id is repeated, two components can share it.
     key = F.when(F.col("component_id").isNull(), F.concat(F.lit("fp"), "fingerprint")).otherwise(F.col(own).cast("string"))
-    k, r = free_name(out, "class_key", "nth")
-    # Only rows that could be the one kept reach the window: the class's least id.
-    first = out.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).withColumn(k, key)
-    return first.withColumn(r, F.row_number().over(Window.partitionBy(k).orderBy(F.xxhash64("text"), F.length("text")))).filter(F.col(r) == 1).select(*whole)
+    first = rows.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).withColumn(k, key)
+    times = first.groupBy(k, "doc_id", th).agg(F.count("*").alias(n))
+    chosen = times.groupBy(k).agg(F.min(F.struct(F.col(th).alias(h), F.col("doc_id").alias(i), n)).alias("c")).select(f"c.{h}", f"c.{i}", f"c.{n}")
+    chosen = materialise(chosen)
+    out = docs.withColumn(th, F.xxhash64("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(th) == F.col(h)))
+    kept = out.filter(F.col(n) == 1).select(*whole)
+    if chosen.filter(F.col(n) > 1).isEmpty():
+        return kept
+    # A row that stands there several times, text and id: one of them.
+    again = out.filter(F.col(n) > 1).withColumn(k, F.row_number().over(Window.partitionBy(i, h).orderBy(F.length("text"))))
+    return kept.unionByName(again.filter(F.col(k) == 1).select(*whole))

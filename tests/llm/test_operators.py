@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -44,8 +46,18 @@ def test_hash_is_the_engines(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("abc déf ghi"))).first()[0] & (2**64 - 1) == xxhash.xxh64_intdigest("abc déf ghi".encode(), 42)
 
 
+def plain_fingerprint(text):
+    """By the definition, bit by bit, with another binding of the hash."""
+    from xxhash import xxh64
+
+    x = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))
+    grams = [b" ".join(x[i : i + 3]) for i in range(len(x) - 2)] or ([b" ".join(x)] if x else [])
+    hashes = [int(xxh64(g, seed=42).hexdigest(), 16) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def plain_classes(docs):
-    fp = [simhash.fingerprint(t) & (2**64 - 1) for _, t, *_ in docs]
+    fp = [plain_fingerprint(t) for _, t, *_ in docs]
     label = list(range(len(docs)))
     while True:
         new = [min(label[j] for j in range(len(docs)) if (fp[i] ^ fp[j]).bit_count() <= 3) for i in range(len(docs))]
@@ -122,6 +134,69 @@ def test_shards_are_even_and_gapless(make, n):
         assert sorted(own["slot"]) == list(range(len(own)))
 
 
+def plain_curve(levels, bits):
+    """Place of a point on the curve: its quadrant's place among the quadrants in their order, then the rest turned into the quadrant's frame."""
+    x, n = list(levels), len(levels)
+    q = 1 << bits - 1
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    q = 1 << bits - 1
+    while q > 1:
+        if x[-1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_shards_against_a_plain_sort(make):
+    r = random.Random(7)
+    docs = [(i, prose(i, r.choice([0, 1, 3, 9, 40, 200])), r.choice(["s1", "s1", "s1", "s2", "s3", None])) for i in range(500)] + ODD
+    df = make(docs)
+    out = sharding.shard(sharding.sized(df), ["source", "size"]).collect()
+
+    def steps(values, step):
+        known = [v for v in values if v is not None]
+        return [0 if v is None else 1 + step(v, min(known), max(known)) for v in values]
+
+    def of_number(v, lo, hi):
+        x = v - lo + 1
+        top = x.bit_length() - 1
+        return top * 64 + ((x << 6 >> top) & 63)
+
+    def of_string(v, lo, hi):
+        skip = len(os.path.commonprefix([lo, hi]))
+        num = lambda t: int.from_bytes(t.encode()[skip : skip + 6].ljust(6, b"\0"), "big")
+        width = -(-(num(hi) - num(lo) + 1) // 4095)
+        return (num(v) - num(lo)) // width
+
+    both = [steps([row["source"] for row in out], of_string), steps([row["size"] for row in out], of_number)]
+    levels = [[sum(y < x for y in s) * 16 // len(s) for x in s] for s in both]
+    cell = [plain_curve(p, 4) for p in zip(*levels)]
+    order = sorted(range(len(out)), key=lambda k: (out[k]["shard"], out[k]["slot"]))
+    assert [cell[k] for k in order] == sorted(cell)
+    assert [out[k]["shard"] for k in order] == [k * 24 // len(out) for k in range(len(out))]
+    again = {(x["doc_id"], x["text_crc32"], x["shard"], x["slot"]) for x in sharding.shard(sharding.sized(df.repartition(7)), ["source", "size"]).collect()}
+    assert {(x["doc_id"], x["text_crc32"], x["shard"], x["slot"]) for x in out} == again
+
+
+def test_one_huge_size_leaves_the_others_apart(make):
+    docs = make([(i, "x" * (i % 50) * 10, "s") for i in range(400)] + [(999, "y" * 3_000_000, "s")])
+    out = sharding.shard(sharding.sized(docs), ["size"]).toPandas()
+    spread = sorted(out.groupby("shard")["size"].agg(lambda x: x.max() - x.min()))
+    # Only the shard that holds it is wide; any other lies in two of the 16 levels at most, of some 31 bytes each.
+    assert spread[-1] > 2_000_000 and spread[-2] <= 62
+
+
 def test_shard_order_follows_the_curve_and_prunes(make):
     docs = make([(i, prose(i, 10 + i % 90), f"s{i % 8}") for i in range(800)])
     out = sharding.sharded(docs.withColumn("slot", F.lit("mine"))).toPandas()
@@ -210,6 +285,50 @@ def test_cotraining_on_held_out_rows(spark, make):
     assert np.mean([(got[i] >= 0.5) != bad(i) for i in range(300, 400)]) > 0.95
 
 
+def test_empty_tables_and_clashing_columns(spark, make):
+    none, some = make([]), make([(1, "one two three " * 9, "s"), (2, None, None)])
+    labels, items = labelled(spark, 0, int), spark.createDataFrame([], "item_id long, text string")
+    clash = some.withColumns({c: F.lit("mine") for c in ("rules", "toxicity", "license", "quality_score", "hits", "g", "part", "kept", "n_words", "row", "base", "taken", "size", "fp", "class")})
+    model, quality_model = toxicity.fit(some, labels), quality.fit(some, labels)
+    assert repetition.repetition_rules(none).count() == toxicity.scored(none, model).count() == toxicity.without_toxic(none, model).count() == quality.scored(none, quality_model).count() == 0
+    assert decontaminate.contaminated(none, items).count() == decontaminate.contaminated(some, items).count() == decontaminate.decontaminated(none, items).count() == simhash.keep_one(none).count() == mixing.mixed(none).count() == 0
+    assert rows(decontaminate.decontaminated(clash, items)) == rows(clash) and decontaminate.decontaminated(clash, items).columns == clash.columns
+    assert quality.scored(clash, quality_model).filter("quality_score = 'mine'").count() == 0
+    assert repetition.repetition_rules(clash).select("rules.n_words", "doc_id").orderBy("doc_id").collect() == [(27, 1), (0, 2)]
+    assert substring.remove_repeats(clash).select("doc_id", "n_words").orderBy("doc_id").collect() == [(1, 27), (2, 0)]
+    assert language_model.backoff_scores(clash).select("doc_id", "n_words").orderBy("doc_id").collect() == [(1, 27), (2, 0)]
+    assert rows(toxicity.without_toxic(clash, model)) == rows(clash) and rows(simhash.keep_one(clash)) == rows(clash)
+    assert mixing.mixed(clash).columns == clash.columns and sharding.sharded(clash).columns == [*clash.columns, "shard", "slot"]
+
+
+def test_blocks_of_a_benchmark_give_one_result(spark, make):
+    items = spark.createDataFrame([(k, prose(k, 12, 4000)) for k in range(6)], "item_id long, text string")
+    docs = make([(i, f"{prose(i + 90, 9)} {prose(i % 9, 12, 4000)}") for i in range(30)])
+    whole, parts = (rows(decontaminate.contaminated(docs, items, chars=n)) for n in (1 << 20, 60))
+    assert whole == parts and whole
+    assert rows(decontaminate.decontaminated(docs, items, chars=60)) == rows(decontaminate.decontaminated(docs, items))
+
+
+def test_quality_calibrates_on_rows_kept_apart():
+    y = np.array([0] * 20 + [1] * 40)
+    apart = quality.Model._apart(y)
+    assert len(apart) == 15 and set(y[apart]) == {0, 1}
+    assert list(quality.Model._apart(np.array([0, 1, 1]))) == [0, 1, 2]
+
+
+def test_toxic_sample_is_in_the_order_of_the_hash(spark, make):
+    docs = make([(i, f"{'ab'[i % 2]} text {i}") for i in range(300)] + [(999, "x" * 900)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(300), 999]], "doc_id long, quality int, toxic int")
+    open_ = sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert toxicity.sample(docs, labels, "toxic", 0, 40, 500) == [f"{'ab'[i % 2]} text {i}" for _, i in open_[:40]]
+
+
+def test_toxic_spans_are_places_of_the_text():
+    field = toxicity.Field({"w:vile": 20.0}, -8.0, np.zeros((2, 2)), np.zeros(2))
+    ((_, spans),) = toxicity.Model(field, 1.0, 0.0).score(["İİ İstanbul vile VILE end"])
+    assert [("İİ İstanbul vile VILE end")[s["start"] : s["end"]] for s in spans] == ["vile VILE"]
+
+
 def test_cotraining_without_labels(spark, make):
     docs = make([(1, "a b"), (2, None)])
     none = labelled(spark, 0, int)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
 from test_operators import plain_classes, plain_targets, prose, words
 
 import corpus_pipeline
@@ -59,3 +60,16 @@ def test_run_equals_its_stages(spark, make, tmp_path):
         df = stage(spark, df, str(tmp_path))
     key = lambda r: repr(tuple(r))
     assert sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=key) == sorted(df.collect(), key=key)
+
+
+def test_stages_without_labels_items_or_rows(spark, make, tmp_path):
+    odd = [(None, None, None), (None, "a b", "s"), (1, "a b", "s"), (1, "a b", "s"), (2, "", "t")]
+    for name, rows in (("rows", odd), ("none", [])):
+        at = tmp_path / name
+        make(rows).withColumn("shard", F.lit("mine")).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, str(at))
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert set(got) == ({(1, "a b"), (2, "")} if rows else set())
