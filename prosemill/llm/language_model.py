@@ -36,7 +36,9 @@ BACKOFF = 0.4
 #: A key with this part of the sampled rows, and LEAST_HEAVY of them, takes a route of its own: at most HEAVY contexts and as many n-grams.
 HEAVY, LEAST_HEAVY, SAMPLED = 2048, 64, 64
 #: Text bytes that are exploded at a time, unless a document has more; and that a partition of n-grams stands for.
-BATCH_BYTES, PART_BYTES, LEAST_PARTS = 3 << 20, 12 << 20, 96
+BATCH_BYTES, PART_BYTES, LEAST_PARTS = 2 << 20, 12 << 20, 96
+#: Bits of a hash by which n-grams are left out that no short document is.
+SLOT_BITS = 20
 #: Bits of a word's hash beside its context's 64; the largest value stands for the end of a document.
 WORD_BITS = 48
 _END = U64((1 << WORD_BITS) - 1)
@@ -55,10 +57,12 @@ def _planes(x: np.ndarray, size: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :size].T).tobytes()
 
 
-def _unplanes(data: memoryview, at: int, m: int, size: int) -> np.ndarray:
-    out = np.zeros((m, 8), np.uint8)
+def _unplanes(data: bytes, at: int, m: int, size: int) -> np.ndarray:
+    """Numbers of the least type that holds ``size`` bytes."""
+    wide = next(w for w in (1, 2, 4, 8) if w >= size)
+    out = np.zeros((m, wide), np.uint8)
     out[:, :size] = np.frombuffer(data, np.uint8, m * size, at).reshape(size, m).T
-    return out.view("<u8").ravel()
+    return out.view(f"<u{wide}").ravel()
 
 
 #: Bytes of the four columns of a block: a sorted key as differences, a second key, a number, flags.
@@ -73,7 +77,7 @@ def _pack(key: np.ndarray, second: np.ndarray, number: np.ndarray, flag: np.ndar
 def _unpack(m: int, data: bytes) -> tuple[np.ndarray, ...]:
     at, out = 0, []
     for size in _SIZES:
-        out.append(_unplanes(memoryview(data), at, m, size))
+        out.append(_unplanes(data, at, m, size))
         at += m * size
     return np.cumsum(out[0], dtype=U64), *out[1:]
 
@@ -115,8 +119,10 @@ def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x if len(of) else np.zeros(len(x), bool)
 
 
-def explode(order: int, parts: int, contexts: np.ndarray, grams: np.ndarray):
-    """Batches of ``doc_id, text`` to blocks. ``contexts`` and ``grams`` are the sorted keys of the frequent ones."""
+def explode(order: int, parts: int, contexts: np.ndarray, grams: np.ndarray, slots: np.ndarray):
+    """Batches of ``doc_id, text`` to blocks. ``contexts`` and ``grams`` are the sorted keys of the frequent ones, ``slots`` those of ``short_slots``."""
+    frequent_keys = np.concatenate([contexts, grams])
+    by_key = np.argsort(frequent_keys)
 
     def blocks(docs: pd.DataFrame, base: int) -> Iterator[tuple]:
         g = Grams(docs, order)
@@ -132,7 +138,7 @@ def explode(order: int, parts: int, contexts: np.ndarray, grams: np.ndarray):
         flag = (g.first * _FIRST + hot * _HOT).astype(np.uint8)
         yield from _cut(p[k], GRAMS, base, g.ctx[k], g.word[k], g.doc[k], flag[k])
         every, short = g.low(order)
-        h, n = np.unique(every, return_counts=True)
+        h, n = np.unique(every[slots[_slot(every)]], return_counts=True)
         yield from _cut(_part(h, parts), LOW, base, h, np.zeros(len(h), U64), n, np.zeros(len(h)))
         short = short[np.argsort(short[:, 0])]
         yield from _cut(_part(short[:, 0], parts), SHORT, base, short[:, 0], np.zeros(len(short), U64), short[:, 1], np.zeros(len(short)))
@@ -146,16 +152,21 @@ def explode(order: int, parts: int, contexts: np.ndarray, grams: np.ndarray):
         doc = np.concatenate([g.doc[hot], g.doc[own]])
         weight = np.concatenate([g.first[hot].astype(np.int64) - has[hot], has[own].astype(np.int64)])
         if len(key):
+            key = by_key[np.searchsorted(frequent_keys, key, sorter=by_key)]
             at = np.lexsort((key, doc))
             new = np.flatnonzero(np.concatenate([[True], (np.diff(doc[at]) != 0) | (key[at][1:] != key[at][:-1])]))
             n, w = np.diff(np.append(new, len(at))), np.add.reduceat(weight[at], new)
-            yield here, FREQUENT, base, len(new), b"".join(x.astype("<i8").tobytes() for x in (key[at][new].view(np.int64), doc[at][new], n, w))
+            # n + w is 0, 1 or 2 n or near it: small, and never negative.
+            columns = (key[at][new], 2), (np.diff(doc[at][new], prepend=0), 4), (n, 4), (n + w, 4)
+            yield here, FREQUENT, base, len(new), b"".join(_planes(c, size) for c, size in columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = TaskContext.get().partitionId() << 40
         for pdf in batches:
-            bytes_ = pdf["text"].str.len().fillna(0).cumsum().to_numpy() // BATCH_BYTES
-            for _, docs in pdf.groupby(bytes_, sort=True):
+            part = pdf["text"].str.len().fillna(0).cumsum().to_numpy() // BATCH_BYTES
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(pdf)]]) if len(pdf) else [0]
+            for i, j in zip(cut, cut[1:]):
+                docs = pdf.iloc[i:j]
                 out = pd.DataFrame(list(blocks(docs, base)), columns=["part", "kind", "base", "m", "data"])
                 base += len(docs)
                 yield out.astype({"part": "int32", "kind": "int32", "m": "int32"})
@@ -177,19 +188,19 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.diff(np.append(at, len(new)))[np.cumsum(new) - 1]
 
 
-def _sums(base: np.ndarray, number: np.ndarray, value: np.ndarray) -> Iterator[tuple]:
-    """A block of sums by row for each batch, rows that sum to 0 left out."""
-    order = np.lexsort((number, base))
-    base, number, value = base[order], number[order], value[order]
-    new = np.flatnonzero(np.concatenate([[True], (base[1:] != base[:-1]) | (number[1:] != number[:-1])]))
+def _sums(row: np.ndarray, value: np.ndarray, bases: np.ndarray) -> Iterator[tuple]:
+    """A block of sums by row for each batch, rows that sum to 0 left out. ``row`` is the batch's place in ``bases`` and the row's number in it."""
+    order = np.argsort(row, kind="stable")
+    row, value = row[order], value[order]
+    new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     total = np.rint(np.add.reduceat(value, new) * (1 << SCALE)).astype(np.int64)
-    new, total = new[total != 0], total[total != 0]
-    base, number = base[new], number[new]
-    ends = np.flatnonzero(np.diff(base)) + 1
-    for i, j in zip([0, *ends], [*ends, len(base)]) if len(base) else ():
+    row, total = row[new][total != 0], total[total != 0]
+    batch, number = row >> 32, (row & 0xFFFFFFFF).astype(U64)
+    ends = np.flatnonzero(np.diff(batch)) + 1
+    for i, j in zip([0, *ends], [*ends, len(batch)]) if len(batch) else ():
         x = (total[i:j] << 1 ^ total[i:j] >> 63).view(U64)  # the sign in the lowest bit
         size = (int(x.max()).bit_length() + 7) // 8
-        yield int(base[i]), GRAMS, j - i, bytes([size]) + _planes(np.diff(number[i:j], prepend=U64(0)), 4) + _planes(x, size)
+        yield int(bases[batch[i]]), GRAMS, j - i, bytes([size]) + _planes(np.diff(number[i:j], prepend=U64(0)), 4) + _planes(x, size)
 
 
 def join_counts(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -199,36 +210,42 @@ def join_counts(key, pdf: pd.DataFrame) -> pd.DataFrame:
     for kind, own in pdf.groupby("kind"):
         if kind in (GRAMS, LOW, SHORT):
             columns = [np.concatenate(c) for c in zip(*(_unpack(m, d) for m, d in zip(own["m"], own["data"])))]
-            of[kind] = np.repeat(own["base"].to_numpy(), own["m"].to_numpy()), *columns
+            bases, m = own["base"].to_numpy(), own["m"].to_numpy()
+            of[kind] = bases, np.repeat(np.arange(len(bases)) << 32, m) + columns[2], *columns
     if GRAMS in of:
-        base, ctx, word, number, flag = of.pop(GRAMS)
+        bases, row, ctx, word, _, flag = of.pop(GRAMS)
         order = np.lexsort((word, ctx))
-        ctx, word, base, number, flag = ctx[order], word[order], base[order], number[order], flag[order]
-        c2, c3 = np.log10(_runs(ctx)), np.log10(_runs(ctx, word))
-        c2[flag & U64(_HOT) > 0] = 0.0  # comes with the frequent keys
-        out += _sums(base, number, np.where(word != _END, c3 - c2, 0.0) + np.where(flag & U64(_FIRST) > 0, c2, 0.0))
+        ctx, word, row, flag = ctx[order], word[order], row[order], flag[order]
+        c2, value = np.log10(_runs(ctx)), np.log10(_runs(ctx, word))
+        c2[flag & _HOT > 0] = 0.0  # comes with the frequent keys
+        value -= c2
+        value[word == _END] = 0.0
+        value += np.where(flag & _FIRST > 0, c2, 0.0)
+        del ctx, word, order, c2, flag
+        out += _sums(row, value, bases)
     if SHORT in of:
-        _, h, _, times, _ = of[LOW]
+        _, _, h, _, times, _ = of[LOW]
         low, where = np.unique(h, return_inverse=True)
         n = np.bincount(where, times.astype(float), len(low))
-        base, asked, _, number, _ = of[SHORT]
-        out += _sums(base, number, np.log10(n[np.searchsorted(low, asked)]))
+        bases, row, asked, *_ = of[SHORT]
+        out += _sums(row, np.log10(n[np.searchsorted(low, asked)]), bases)
     return pd.DataFrame(out, columns=["base", "kind", "m", "data"]).astype({"base": "int64", "kind": "int32", "m": "int32"})
 
 
 def add_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A batch's documents with the sums of all partitions and their frequent keys."""
+    """A batch's documents with the sums of all partitions, and their frequent keys by the place in the list of all."""
     (m, d), = ((m, d) for kind, m, d in zip(pdf["kind"], pdf["m"], pdf["data"]) if kind == ROWS)
     ids, null, size = np.frombuffer(d, "<i8", m), np.frombuffer(d, np.uint8, m, 8 * m), np.frombuffer(d, "<i8", m, 9 * m)
     total, hot = np.zeros(m, np.int64), [[] for _ in range(m)]
     for kind, n, d in zip(pdf["kind"], pdf["m"], pdf["data"]):
         if kind == GRAMS:
-            number = np.cumsum(_unplanes(memoryview(d), 1, n, 4), dtype=U64).astype(np.int64)
-            x = _unplanes(memoryview(d), 1 + 4 * n, n, d[0])
+            number = np.cumsum(_unplanes(d, 1, n, 4), dtype=U64).astype(np.int64)
+            x = _unplanes(d, 1 + 4 * n, n, d[0]).astype(U64)
             total[number] += (x >> U64(1)).view(np.int64) ^ -(x & U64(1)).view(np.int64)
         elif kind == FREQUENT:
-            for k, doc, times, w in np.frombuffer(d, "<i8", 4 * n).reshape(4, n).T.tolist():
-                hot[doc].append({"key": k, "n": times, "w": w})
+            k, doc, times, both = (_unplanes(d, at * n, n, size).astype(np.int64) for at, size in ((0, 2), (2, 4), (6, 4), (10, 4)))
+            for place, i, x, w in zip(k.tolist(), np.cumsum(doc).tolist(), times.tolist(), (both - times).tolist()):
+                hot[i].append({"key": place, "n": x, "w": w})
     out = pd.DataFrame({"doc_id": pd.array(ids, "Int64").copy(), "n_words": size, "value": total / (1 << SCALE), "hot": pd.Series(hot, dtype=object)})
     out.loc[null > 0, "doc_id"] = pd.NA
     return out
@@ -251,6 +268,28 @@ def frequent(docs: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.sort(np.array([r["key"] for r in rows if r["kind"] == kind], np.int64).view(U64)) for kind in (0, 1))
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def short_slots(docs: DataFrame, order: int) -> np.ndarray:
+    """A table of bits in which those of the n-grams are set that are whole documents, too short for a context. Its size is fixed."""
+    out = np.zeros(1 << SLOT_BITS, bool)
+    if order < 3:
+        return out
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    # Fails at the first word too many.
+    few = docs.filter(F.col("text").rlike(rf"\A{space}*+(?:{word}++{space}++){{0,{order - 3}}}+{word}*+{space}*+\z"))
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            _, short = Grams(pdf, order).low(order)
+            yield pd.DataFrame({"slot": np.unique(_slot(short[:, 0]))})
+
+    out[[r[0] for r in few.mapInPandas(slots, "slot long").distinct().collect()]] = True
+    return out
+
+
 def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``doc_id, n_words, n_by_order, log10_prob, score`` of every row of ``docs(doc_id, text)``; ``order`` is 2 or more.
 
@@ -264,7 +303,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = n_groups(docs, PART_BYTES, LEAST_PARTS)
-    blocks = docs.mapInPandas(explode(order, parts, *frequent(docs, order)), _BLOCK)
+    blocks = docs.mapInPandas(explode(order, parts, *frequent(docs, order), short_slots(docs, order)), _BLOCK)
     sums = blocks.groupBy("part").applyInPandas(join_counts, _SUM)
     per = materialise(sums.groupBy("base").applyInPandas(add_up, _ROW))
     total = float(max(1, per.agg(F.sum("n_words")).first()[0] or 0))
