@@ -20,8 +20,6 @@ together. Prefixes are counted; one whose suffixes are over ``tree_rows`` is len
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
