@@ -20,7 +20,6 @@ together. Prefixes are counted; one whose suffixes are over ``tree_rows`` is len
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
