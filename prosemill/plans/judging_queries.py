@@ -375,3 +375,46 @@ def source_projection(s, d):
     grown = F.col("forms") * F.sqrt(F.lit(1e9) / F.col("total"))
     share, per = F.col("words") / F.col("total"), F.col("bytes") / F.col("words")
     return w.join(F.broadcast(x)).select("source", "words", F.round(share, 6).alias("share"), F.round(per, 6).alias("bytes_a_word"), F.round(share * 1e9 * per / 1e9, 6).alias("gb_at_1b"), F.round(grown * 0.15, 4).alias("forms_low"), F.round(grown * 0.35, 4).alias("forms_high"))
+
+
+@query(f"SELECT w1, w2, n, llr FROM ({SQL['fixed_phrases']}) ORDER BY llr DESC, w1, w2 LIMIT 20")
+def phrase_top(s, d):
+    """The twenty phrases of the strongest association: the report's limit."""
+    t = fixed_phrase_table(docs(s, d)).select("w1", "w2", "n", F.round("llr", 4).alias("llr"))
+    return t.orderBy(F.desc("llr"), "w1", "w2").limit(20)
+
+
+def _side_by_side(*rows: DataFrame) -> DataFrame:
+    """Reports of one row each as one row."""
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.join(F.broadcast(row))
+    return out
+
+
+@query(f"SELECT * FROM ({SQL['classification_metrics']}), ({SQL['auc']}), ({SQL['top1_abstain']}), ({SQL['substitution_recall']}), ({SQL['operating_threshold'].replace(' AS recall', ' AS recall_at_threshold')})")
+def model_report(s, d):
+    """A scorer's figures in one row: accuracy, area, best option, proposed candidates, and the operating threshold."""
+    from prosemill.plans import decision_queries as D
+    from prosemill.plans import evaluation_queries as E
+
+    return _side_by_side(D.classification_metrics(s, d), D.auc(s, d), D.top1_abstain(s, d), E.substitution_recall(s, d), D.operating_threshold(s, d).withColumnRenamed("recall", "recall_at_threshold"))
+
+
+@query(f"SELECT a.words AS words, spans, a.swaps AS swaps, per_1k, distinct_swaps, median_gain, no_gain FROM ({SQL['delivery_rate']}) a, ({SQL['delivery_gain']}) b")
+def delivery_report(s, d):
+    """What a pass delivers, and what it gains, in one row."""
+    from prosemill.plans import decision_queries as D
+    from prosemill.plans import evaluation_queries as E
+
+    return _side_by_side(D.delivery_rate(s, d), E.delivery_gain(s, d).drop("swaps"))
+
+
+@query(f"SELECT *, (SELECT count(*) FROM ({SQL['collocations']})) AS collocations, (SELECT count(*) FROM ({SQL['fixed_phrases']})) AS phrases, (SELECT count(*) FROM ({SQL['names']})) AS names FROM ({SQL['coverage_report']})")
+def finish_report(s, d):
+    """Coverage of the rare words beside the sizes of the finished tables."""
+    from prosemill.plans import corpus_queries as C
+    from prosemill.plans import text_queries as T
+
+    size = lambda df, name: df.agg(F.count("*").alias(name))
+    return _side_by_side(C.coverage_report(s, d), size(C.collocations(s, d), "collocations"), size(fixed_phrase_table(docs(s, d)), "phrases"), size(T.names(s, d), "names"))

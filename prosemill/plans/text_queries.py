@@ -254,9 +254,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def all_sentences(df: DataFrame) -> DataFrame:
-    """``doc_id, source, lang, sent_no, sentence`` of every sentence."""
-    return spread(df.select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", F.posexplode_outer(X.document_sentences(F.col("text"))).alias("sent_no", "sentence")).filter("sent_no is not null")
+def all_sentences(df: DataFrame, backend: str = "rules") -> DataFrame:
+    """``doc_id, source, lang, sent_no, sentence`` of every sentence, cut by one of ``text.SPLITTERS``."""
+    return spread(df.select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", F.posexplode_outer(X.splitter(backend)(F.col("text"))).alias("sent_no", "sentence")).filter("sent_no is not null")
 
 
 def good_sentences(df: DataFrame) -> DataFrame:

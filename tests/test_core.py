@@ -282,6 +282,17 @@ def test_scorer_inputs_against_a_plain_tokenizer(spark):
         assert (r["ids"], r["mask"], r["types"]) == (ids + [0] * (64 - len(ids)), [1] * len(ids) + [0] * (64 - len(ids)), types)
 
 
+def test_splitters_by_name(spark, monkeypatch):
+    from prosemill.plans.text_queries import all_sentences
+
+    monkeypatch.setitem(X.SPLITTERS, "lines", udfs.model(lambda ts: [t.split("|") for t in ts], "array<string>"))
+    df = spark.createDataFrame([(1, "s", "en", "a. B|c")], "doc_id long, source string, lang string, text string")
+    assert [r["sentence"] for r in all_sentences(df, "lines").orderBy("sent_no").collect()] == ["a. B", "c"]
+    assert [r["sentence"] for r in all_sentences(df).orderBy("sent_no").collect()] == ["a.", "B|c"]
+    with pytest.raises(KeyError):
+        all_sentences(df, "none")
+
+
 def test_a_tagger_of_its_own_process(spark):
     script = "import json, sys; print(json.dumps([None if t is None else t[::-1] for t in json.load(sys.stdin)]))"
     tag = udfs.piped([sys.executable, "-c", script], "string")
