@@ -47,7 +47,7 @@ _FIRST, _HOT = 1, 2
 GRAMS, LOW, SHORT, ROWS, FREQUENT = range(5)
 _BLOCK = "part int, kind int, base long, m int, data binary"
 _SUM = "base long, kind int, m int, data binary"
-_ROW = "doc_id long, n_words long, value double, hot array<struct<key: long, n: long, w: long>>"
+_ROW = "doc_id long, n_words long, value double, hot binary"
 #: Sums travel as multiples of 2 ** -SCALE, which is exact to nine digits behind the point.
 SCALE = 32
 
@@ -236,7 +236,7 @@ def add_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """A batch's documents with the sums of all partitions, and their frequent keys by the place in the list of all."""
     (m, d), = ((m, d) for kind, m, d in zip(pdf["kind"], pdf["m"], pdf["data"]) if kind == ROWS)
     ids, null, size = np.frombuffer(d, "<i8", m), np.frombuffer(d, np.uint8, m, 8 * m), np.frombuffer(d, "<i8", m, 9 * m)
-    total, hot = np.zeros(m, np.int64), [[] for _ in range(m)]
+    total, hot = np.zeros(m, np.int64), np.full(m, None, object)
     for kind, n, d in zip(pdf["kind"], pdf["m"], pdf["data"]):
         if kind == GRAMS:
             number = np.cumsum(_unplanes(d, 1, n, 4), dtype=U64).astype(np.int64)
@@ -244,13 +244,43 @@ def add_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
             total[number] += (x >> U64(1)).view(np.int64) ^ -(x & U64(1)).view(np.int64)
         elif kind == FREQUENT:
             k, doc, times, both = (_unplanes(d, at * n, n, size).astype(np.int64) for at, size in ((0, 2), (2, 4), (6, 4), (10, 4)))
-            for place, i, x, w in zip(k.tolist(), np.cumsum(doc).tolist(), times.tolist(), (both - times).tolist()):
-                hot[i].append({"key": place, "n": x, "w": w})
-    out = pd.DataFrame({"doc_id": pd.array(ids, "Int64").copy(), "n_words": size, "value": total / (1 << SCALE), "hot": pd.Series(hot, dtype=object)})
+            rows, doc = np.stack([k, times, both - times], axis=1).astype("<i4"), np.cumsum(doc)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [n]])
+            for i, j in zip(cut, cut[1:]):
+                hot[doc[i]] = rows[i:j].tobytes()
+    out = pd.DataFrame({"doc_id": pd.array(ids, "Int64").copy(), "n_words": size, "value": total / (1 << SCALE), "hot": hot})
     out.loc[null > 0, "doc_id"] = pd.NA
     return out
 
 
+def frequent_logs(per: DataFrame, keys: int) -> np.ndarray:
+    """Logarithms of how often each frequent key stands in all documents; ``keys``, at most 2 * HEAVY, rows come to the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(keys, np.int64)
+        for pdf in batches:
+            rows = np.frombuffer(b"".join(pdf["hot"].dropna()), "<i4").reshape(-1, 3)
+            n += np.bincount(rows[:, 0], rows[:, 1].astype(float), keys).astype(np.int64)
+        yield pd.DataFrame({"key": np.flatnonzero(n), "n": n[n > 0]})
+
+    out = np.zeros(keys)
+    if keys:
+        for key, n in per.select("hot").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n")).collect():
+            out[key] = np.log10(n)
+    return out
+
+
+def with_frequent(logs: np.ndarray):
+    """Sum of the logarithms of a document's frequent keys, by their weights."""
+
+    @F.pandas_udf("double")
+    def extra(hot: pd.Series) -> pd.Series:
+        rows = [np.frombuffer(b or b"", "<i4").reshape(-1, 3) for b in hot]
+        return pd.Series([float(r[:, 2] @ logs[r[:, 0]]) if len(r) else 0.0 for r in rows], dtype=float)
+
+    return extra
+
+
 def frequent(docs: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of the contexts, and of n-grams of these, that a sample of documents shows to be frequent: at most HEAVY of each."""
 
@@ -303,17 +333,16 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = n_groups(docs, PART_BYTES, LEAST_PARTS)
-    blocks = docs.mapInPandas(explode(order, parts, *frequent(docs, order), short_slots(docs, order)), _BLOCK)
+    contexts, grams = frequent(docs, order)
+    blocks = docs.mapInPandas(explode(order, parts, contexts, grams, short_slots(docs, order)), _BLOCK)
     sums = blocks.groupBy("part").applyInPandas(join_counts, _SUM)
     per = materialise(sums.groupBy("base").applyInPandas(add_up, _ROW))
     total = float(max(1, per.agg(F.sum("n_words")).first()[0] or 0))
-    known = per.select(F.explode("hot").alias("h")).groupBy("h.key").agg(F.sum("h.n").alias("n"))  # at most 2 * HEAVY rows
-    logs = known.agg(F.map_from_entries(F.collect_list(F.struct("key", F.log10("n").alias("log")))).alias("logs"))  # one row
-    extra = F.aggregate("hot", F.lit(0.0), lambda a, h: a + h["w"] * F.element_at("logs", h["key"]))
+    extra = with_frequent(frequent_logs(per, len(contexts) + len(grams)))
     n = F.col("n_words")
-    prob = F.when(n > 0, F.col("value") + F.when(F.size("hot") > 0, extra).otherwise(F.lit(0.0)) - F.log10(F.lit(total))).otherwise(F.lit(0.0))
+    prob = F.when(n > 0, F.col("value") + F.col("extra") - F.log10(F.lit(total))).otherwise(F.lit(0.0))
     by_order = F.array(*(F.least(F.lit(1), F.greatest(n - (k - 1), F.lit(0))).cast("long") for k in range(1, order)), F.greatest(n - (order - 1), F.lit(0)).cast("long"))
-    return per.join(F.broadcast(logs)).select("doc_id", "n_words", by_order.alias("n_by_order"), prob.alias("log10_prob"), F.when(n > 0, prob / n).alias("score"))
+    return per.withColumn("extra", extra("hot")).select("doc_id", "n_words", by_order.alias("n_by_order"), prob.alias("log10_prob"), F.when(n > 0, prob / n).alias("score"))
 
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
