@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Tokens, grouped_texts, materialise, n_groups, table
+from .common import U64, Tokens, grouped_texts, n_groups, table
 
 WINDOW = 20
 ANCHOR = 8
@@ -267,9 +267,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     n = n_groups(docs, group_bytes)
     parts = max(n, LEAST_PARTS)
     texts = grouped_texts(docs, n)
+    # One query, with no written table between its passes, so that all three read one exchange of the texts.
     by_g = texts.groupBy("g")
     anchors = by_g.applyInPandas(_send_anchors(parts, window, anchor), _PART)
-    common = materialise(anchors.groupBy("part").applyInPandas(_common_anchors(tree_rows), _PART))
+    common = anchors.groupBy("part").applyInPandas(_common_anchors(tree_rows), _PART)
     suffixes = by_g.cogroup(common.groupBy("g")).applyInPandas(_send_suffixes(parts, window, anchor), _PART)
     marks = suffixes.groupBy("part").applyInPandas(_trees(window, parts), "g int, data binary")
     return by_g.cogroup(marks.groupBy("g")).applyInPandas(_clean(window, anchor), "doc_id long, n_words long, n_removed long, kept string")

@@ -237,6 +237,20 @@ def test_substring_against_all_windows(make):
     assert substring.remove_repeats(make([])).count() == 0
 
 
+def test_substring_shuffles_the_texts_once(spark, make):
+    def sent():
+        """Rows that each stage has sent, by its number; old stages may drop out."""
+        sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+        sc.listenerBus().waitUntilEmpty()
+        none = jvm.java.util.ArrayList()
+        stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    docs, before = make([(i, "too short for a window") for i in range(3000)]), sent()
+    assert substring.remove_repeats(docs).agg(F.sum("n_words")).first()[0] == 15000
+    assert 3000 <= sum(n for k, n in sent().items() if k > max(before, default=-1)) < 3100
+
+
 def test_suffix_tree_nodes():
     x = np.array([[1, 2, 3], [1, 2, 4], [1, 2, 3], [0, 2, 3], [1, 2, 3]], np.uint32)
     order, lcp = substring.suffix_array(x, np.array([5, 5, 5, 5, 6], np.uint64), [np.arange(5)[::-1]])
