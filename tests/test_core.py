@@ -190,6 +190,23 @@ def test_jaccard_pairs_equal_all_pairs(spark):
     assert sorted(x["doc_id"] for x in dedup.near_first_wins(df).filter("kept").collect()) == kept
 
 
+def test_jaccard_classes_hold_every_document(spark, tmp_path):
+    import duckdb
+
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, a), (2, a + " "), (3, f"{a} more"), (4, "other words"), (5, ""), (6, None), (7, " \n "), (8, ""), (9, None)]
+    path = tmp_path / "documents.parquet"
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(path))
+    got = sorted(map(tuple, Q.QUERIES["jaccard_classes"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 3, 1), *((i, i, 0) for i in range(4, 10))]
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS FROM '{path}/*.parquet'")
+    assert got == sorted(c.sql(Q.SQL["jaccard_classes"]).fetchall())
+    for name in ("near_dedup_greedy", "near_duplicate_rate", "minhash_signature", "shingles"):
+        want = c.sql(Q.SQL[name])
+        assert sorted(map(repr, map(tuple, Q.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_minhash_bands_find_the_similar(spark):
     r = random.Random(4)
     sets = []
