@@ -220,6 +220,21 @@ def test_minhash_bands_find_the_similar(spark):
     assert got <= {(i, i + 1) for i in range(0, 120, 2)} and len(got) >= 54
 
 
+def test_minhash_loses_no_link_of_equal_signatures(spark, tmp_path):
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(4000)]
+    changed = [[*base[:k], "other", *base[k + 1 :]] for k in (1000, 2000, 3000)]
+    texts = [" ".join(w) for w in (base, *changed, base)] + ["", None, "no words like those above"]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = {(x["a"], x["b"]) for x in Q.QUERIES["lsh_pairs"](spark, str(tmp_path)).collect()}
+    rows = {x["doc_id"]: (x["rep"], x["links"]) for x in Q.QUERIES["lsh_classes"](spark, str(tmp_path)).collect()}
+    assert sorted(rows) == list(range(8)) and all(rows[i] == (i, 0) for i in (5, 6, 7))
+    rep = [rows[i][0] for i in range(5)]
+    assert len(set(rep)) < 4  # different texts of an equal signature
+    assert all(rep[a] == rep[b] or tuple(sorted((rep[a], rep[b]))) in pairs for a in range(5) for b in range(a))
+    assert all(rows[i][1] == sum(rep[i] in p for p in pairs) for i in range(5))
+
+
 def test_quantiles_interpolate(spark):
     from prosemill.operators import order
 
