@@ -472,3 +472,30 @@ def test_rules_with_comment_lines(spark, tmp_path):
     assert part.read_text().split("\n")[:3] == ["# made by hand", "# second line", "\t".join(columns)]
     (row,) = readers.rule_table(spark, str(tmp_path / "rules")).collect()
     assert (row["trigger"], row["block_context"], row["require_context"]) == ("big", ["apple"], [])
+
+
+def test_vectors_are_compared_in_tiles(spark, tmp_path, monkeypatch):
+    import duckdb
+    import numpy as np
+
+    r = random.Random(7)
+    points = [[r.gauss(0, 1) for _ in range(4)] for _ in range(40)]
+    rows = [(i, r.choice(points), r.choice([0, 1, 2, None])) for i in range(400)]  # many equal vectors
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(D, "_TILE", (3, 50))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("knn_neighbours", "bank_percentile", "context_gate"):
+        want = c.sql(Q.SQL[name])
+        assert sorted(map(repr, map(tuple, Q.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+    ids = np.arange(2000)
+    rows = __import__("pandas").DataFrame({"vec_id": np.arange(5000), "label": np.arange(5000) % 300, "e": list(np.random.default_rng(0).normal(size=(5000, 8)))})
+    import tracemalloc
+
+    for f in (D._nearest(ids, np.stack(rows["e"][:2000])), D._most(ids, np.stack(rows["e"][:2000]), ids % 300)):
+        tracemalloc.start()
+        for part in f(iter([rows])):
+            del part
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 40e6  # all products at once are 80 MB
