@@ -499,3 +499,45 @@ def test_vectors_are_compared_in_tiles(spark, tmp_path, monkeypatch):
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert most < 40e6  # all products at once are 80 MB
+
+
+ODD = [None, "", " .. ", "one", "a b c d", "É A b c d e", "x" * 400 + " y z", "a b " * 9, "\n", "w" * 50 + " q q q q 1", "K İ don't 'tis 3rd_4th naïve-x end"]
+
+
+def test_shingles_in_bytes_equal_those_of_columns(spark):
+    from prosemill.functions import shingling
+
+    r = random.Random(9)
+    texts = [*ODD, *(" ".join("".join(r.choices("abcXYZ0'É ", k=r.choice([1, 3, 9, 30, 60]))) for _ in range(r.randrange(40))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    sh = df.select("doc_id", "text", X.plain_tokens(F.col("text")).alias("w")).select("doc_id", "text", X.shingles(F.col("w")).alias("sh"))
+    want = sh.select("doc_id", F.sort_array(F.transform("sh", lambda x: F.xxhash64(x))), dedup.minhash_md5(F.col("sh"), 8)).collect()
+    got = df.select("doc_id", shingling.hashed(F.col("text")), shingling.minhash_md5(F.col("text"), 8)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
+
+
+def test_signatures_are_worked_out_once_in_batches(spark):
+    plan = Q.QUERIES["minhash_signature"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambdafunction" not in plan
+
+
+def test_only_sets_that_may_be_in_a_pair_are_compared(spark):
+    r = random.Random(10)
+    sets = [sorted(r.sample(range(10**6), 300)) for _ in range(30)]
+    near = [[*sets[0][:-9], *range(2 * 10**6, 2 * 10**6 + 9)], [*sets[1][:30], *range(3 * 10**6, 3 * 10**6 + 270)]]  # the second shares a tenth
+    every = [*sets, *near, sets[2], sets[2]]
+    df = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in enumerate(every)], "doc_id long, sh array<string>")
+    assert {x["doc_id"] for x in dedup.pairable(dedup.briefed(df), 0.8).collect()} == {0, 30}
+    assert [(x["a"], x["b"]) for x in dedup.jaccard_pairs(df, 0.8).collect()] == [(0, 30)]
+
+
+def test_dedup_counters_count_wordless_texts_as_sql(spark, tmp_path):
+    import duckdb
+
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, a), (2, a.upper()), (3, f"{a} more"), (4, "other words"), (5, ""), (6, None), (7, " \n "), (8, "other, words"), (9, None)]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(Q.SQL["dedup_counters"])
+    assert list(map(tuple, Q.QUERIES["dedup_counters"](spark, str(tmp_path)).select(*want.columns).collect())) == want.fetchall()
