@@ -27,6 +27,13 @@ def coverage_capped(sentences: DataFrame, words: DataFrame, cap: int, order=("do
     return sentences.join(chosen, list(order), "left_semi")
 
 
+def coverage_hits(sentences: DataFrame, words: DataFrame, cap: int, order=("doc_id", "sent_no")) -> DataFrame:
+    """The ``hits`` of the sentences that ``coverage_capped`` keeps. They are written, so that the sentences are made once."""
+    every = written(hits(sentences, words, order))
+    rank = F.row_number().over(Window.partitionBy("form").orderBy(*order))
+    return every.join(every.withColumn("rn", rank).filter(F.col("rn") <= cap).select(*order).distinct(), list(order), "left_semi")
+
+
 def running(df: DataFrame, by: str, order: str, value: Column | str, out: str) -> DataFrame:
     """``df`` plus ``out``: the sum of ``value`` over the earlier rows of the same ``by``, in the order of ``order``.
 

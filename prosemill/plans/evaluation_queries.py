@@ -154,10 +154,15 @@ swapped AS (SELECT conv_id, turn, trigger, r AS replacement, t AS original, {art
 
 
 def swapped_turns(s, d) -> DataFrame:
-    """Each rule that fits a turn, with the turn before and after. The rules are an array literal beside each turn."""
-    list_ = F.array(*(F.struct(F.lit(a).alias("trigger"), F.lit(b).alias("replacement")) for a, b, *_ in RULES))
-    m = table(s, d, "conversations").select("conv_id", "turn", articles_to_fix(F.col("text")).alias("original"), F.explode_outer(list_).alias("r")).select("conv_id", "turn", "original", "r.*")
-    return m.withColumn("swapped", X.swap_first(F.col("original"), F.col("trigger"), F.col("replacement"))).filter("swapped is not null")
+    """Each rule that fits a turn, with the turn before and after. All rules are tried inside the row, so that a turn's text is made once and each rule keeps its own pattern."""
+
+    def tried(x: Column) -> Column:
+        swap = lambda a, b: F.when(F.contains(x["low"], F.lit(a)), X.swap_first(x["t"], F.lit(a), F.lit(b)))
+        every = F.array(*(F.struct(x["t"].alias("original"), F.lit(a).alias("trigger"), F.lit(b).alias("replacement"), swap(a, b).alias("swapped")) for a, b, *_ in RULES))
+        return F.filter(every, lambda r: r["swapped"].isNotNull())
+
+    found = X.let(articles_to_fix(F.col("text")), lambda t: X.let(F.struct(t.alias("t"), F.lower(t).alias("low")), tried))
+    return table(s, d, "conversations").select("conv_id", "turn", F.explode_outer(found).alias("r")).filter("r is not null").select("conv_id", "turn", "r.*")
 
 
 @query(f"WITH {SWAPPED} SELECT conv_id, turn, trigger, replacement, swapped FROM swapped")
@@ -343,8 +348,8 @@ SELECT form, coalesce(n, 0) AS contexts, coalesce(n, 0) >= 2 AS shippable, coale
 )
 def priority_report(s, d):
     """Contexts kept for each priority word, the uncovered ones included."""
-    words = target_words(s, d).select("form")
-    per = retention.hits(retention.coverage_capped(positioned(s, d), words, CAP), words).groupBy("form").agg(F.count("*").alias("contexts"))
+    words = dedup.written(target_words(s, d).select("form"))
+    per = retention.coverage_hits(positioned(s, d), words, CAP).groupBy("form").agg(F.count("*").alias("contexts"))
     known = priority(s, d).join(per, "form", "left").select("form", F.coalesce("contexts", F.lit(0)).alias("contexts"))
     return known.select("form", "contexts", (F.col("contexts") >= 2).alias("shippable"), (F.col("contexts") >= CAP).alias("at_cap"))
 

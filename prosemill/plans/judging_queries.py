@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from prosemill.functions import pages as P
 from prosemill.functions import text as X
 from prosemill.functions import udfs
+from prosemill.operators.scratch import written
 from prosemill.plans.corpus_queries import PHRASES, STOP, fixed_phrase_table
 from prosemill.plans.decision_queries import _ALTERNATION, FIRSTS, NAMES, RULES, SCORED, name_forms, pieces, rules, scored, spans
 from prosemill.plans.evaluation_queries import SWAPPED, hashed, swapped_turns
@@ -156,7 +157,7 @@ def gate_scores(s, d):
     kept = first_of_key(good_sentences(docs(s, d))).select("doc_id", "sent_no", content.alias("ws"))
     hit = kept.select("doc_id", "sent_no", "ws", F.explode("ws").alias("form")).join(r.filter(F.col("per_million").between(LOW, HIGH)).select("form"), "form", "left_semi")
     w = Window.partitionBy("form")
-    bank = hit.withColumns({"rn": F.row_number().over(w.orderBy("doc_id", "sent_no")), "n": F.count("*").over(w)}).filter((F.col("rn") <= BANK) & (F.col("n") >= HELD + LEAST_REST))
+    bank = written(hit.withColumns({"rn": F.row_number().over(w.orderBy("doc_id", "sent_no")), "n": F.count("*").over(w)}).filter((F.col("rn") <= BANK) & (F.col("n") >= HELD + LEAST_REST)))
     idf = r.select(F.col("form").alias("x"), F.log(F.col("total") / F.col("n")).alias("idf"))
     kw = bank.select("form", "rn", F.explode("ws").alias("x")).filter("x <> form").join(idf, "x", "left").withColumn("idf", F.coalesce("idf", F.lit(12.0)))
     per = kw.groupBy("form", "rn").agg(F.collect_list(F.struct("x", "idf")).alias("k"), F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))  # a sentence's words
@@ -417,4 +418,7 @@ def finish_report(s, d):
     from prosemill.plans import text_queries as T
 
     size = lambda df, name: df.agg(F.count("*").alias(name))
-    return _side_by_side(C.coverage_report(s, d), size(C.collocations(s, d), "collocations"), size(fixed_phrase_table(docs(s, d)), "phrases"), size(T.names(s, d), "names"))
+    uni, big = written(counts(docs(s, d))), C.frequent_pairs(docs(s, d))
+    # Collocations are the frequent pairs up to the report's limit.
+    collocations = size(big.limit(C.MOST_COLLOCATIONS), "collocations")
+    return _side_by_side(C.coverage_row(s, d, uni), collocations, size(fixed_phrase_table(docs(s, d), big, uni), "phrases"), size(T.names(s, d), "names"))

@@ -541,3 +541,52 @@ def test_dedup_counters_count_wordless_texts_as_sql(spark, tmp_path):
     c.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = c.sql(Q.SQL["dedup_counters"])
     assert list(map(tuple, Q.QUERIES["dedup_counters"](spark, str(tmp_path)).select(*want.columns).collect())) == want.fetchall()
+
+
+def test_pairs_counted_as_hashes_equal_those_of_columns(spark):
+    from prosemill.functions import shingling
+    from prosemill.plans.corpus_queries import bigram_counts
+
+    texts = [*ODD, "don't -stop- it's a-b-c a--b 'x' o' 'n", "A b\na B", "x-y 'z-", "-", "'", "a", "a-"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = shingling.word_pairs(df).collect()
+    want = bigram_counts(df).select(F.xxhash64("w1"), F.xxhash64("w2"), "n").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 20
+
+
+def test_texts_are_normalised_as_by_all_patterns(spark):
+    def plainly(c):
+        c = F.translate(c, X.FOLD_FROM, X.FOLD_TO)
+        for mark, to in X.FOLD_LONG.items():
+            c = F.replace(c, F.lit(mark), F.lit(to))
+        for pattern, to in (
+            (r"(?U)https?://\S+|www\.\S+", " "),
+            (r"(?U)\b[\w.+-]+@[\w-]+\.[\w.]+\b", " "),
+            (r"(?U)\b(?:\+?\d{1,3}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", " "),
+            (rf"(?<!{X.LETTER})(?:[@/][ur]/{X.LETTER}+|@{X.LETTER}{{2,}})", " "),
+            (rf"(?<={X.LETTER})--+(?={X.LETTER})", " -- "),
+            (r"[ \t]+", " "),
+            (r"(?U)\s+([,.;:!?%)\]}])", "$1"),
+            (r"(?U)([(\[{])\s+", "$1"),
+            (r" *\n *", "\n"),
+            (r"(?U)^\s+|\s+\z", ""),
+        ):
+            c = X.sub(c, pattern, to)
+        return c
+
+    r = random.Random(11)
+    parts = [" ", "  ", "\t", "\n", " \n", " ", "a", "Bc", "é", "-", "--", "—", "…", "“", "’", "(", " )", ",", " .", "@", "/u/", "/r/", "@user", "www.", "http://", "x@y.z", "555", "1234", "555-123-4567", "(555) 123 4567", "5551234"]
+    texts = [None, "", *("".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(600))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert not [x for x in df.select("t", X.normalize(F.col("t")), plainly(F.col("t"))).collect() if x[1] != x[2]]
+
+
+def test_articles_before_words_of_any_letters(spark):
+    assert of(spark, X.fix_articles, "éa hour, a hour", "xa apple a apple _a egg", "A one.a egg", "ba an a n apple") == ["éa hour, an hour", "xa apple an apple _a egg", "A one.an egg", "ba an a n apple"]
+
+
+def test_reports_read_the_texts_as_often_as_they_must(spark):
+    plan = lambda name: Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan("pipeline_counters").count("documents.parquet") == 2  # once for the gates, once for the sentences
+    assert "documents.parquet" not in plan("band_sweep") + plan("coverage_report")  # all is counted over written sentences and hits
+    assert plan("finish_report").count("documents.parquet") == 1  # the names
